@@ -305,13 +305,14 @@ def exact_percentiles(df: DataFrame, value: str, ps: Sequence[float], groups: Co
         F.max("_v").alias("_max"),
     )
     m = len(ps)
+    few = F.col("_n") <= 2 * accuracy  # rank rounding matters in small groups, so they keep all values
     brackets = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
                 (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"),
-                (F.col("_min") if lows[i] == 0.0 else F.col("_q")[i]).alias("lo"),
-                (F.col("_max") if highs[i] == 1.0 else F.col("_q")[m + i]).alias("hi"),
+                F.when(few | F.lit(lows[i] == 0.0), F.col("_min")).otherwise(F.col("_q")[i]).alias("lo"),
+                F.when(few | F.lit(highs[i] == 1.0), F.col("_max")).otherwise(F.col("_q")[m + i]).alias("hi"),
             )
             for i, p in enumerate(ps)
         ]
