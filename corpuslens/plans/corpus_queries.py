@@ -217,7 +217,7 @@ STRUCT = (
     "s7 AS (SELECT *, CASE WHEN kind<>'heading' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) IS NOT DISTINCT FROM kind THEN 0 ELSE 1 END AS c2 FROM s6)",
     "s8 AS (SELECT *, sum(c2) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM s7)",
     f"s9 AS (SELECT *, CASE kind WHEN 'bullet' THEN '- ' || trim(regexp_extract(t, {S.q(BUL)}, 2)) WHEN 'numbered' THEN regexp_extract(t, {S.q(NUM)}, 1) || '. ' || trim(regexp_extract(t, {S.q(NUM)}, 2)) WHEN 'implicit' THEN '- ' || t ELSE t END AS sx FROM s8 WHERE kind<>'blank')",
-    "sa AS (SELECT doc_id, b, kind, min(h) AS h, CASE WHEN kind='para' THEN string_agg(sx,' ' ORDER BY line_no) ELSE string_agg(sx,chr(10) ORDER BY line_no) END AS text FROM s9 GROUP BY ALL)",
+    "sa AS (SELECT doc_id, b, kind, min(h) AS h, CASE WHEN kind='para' THEN string_agg(sx,' ' ORDER BY line_no) ELSE string_agg(sx,chr(10) ORDER BY line_no) END AS text FROM s9 GROUP BY doc_id, b, kind)",
     "sb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS block_no FROM sa)",
     rf"sc AS (SELECT *, block_no=1 AND kind IN ('para','heading') AND text<>'' AND length(text)<=80 AND NOT regexp_matches(text, {S.q(PUN)}) AND regexp_matches(text,'[\p{{L}}\p{{N}}_]') AS ttl FROM sb)",
 )
@@ -437,7 +437,7 @@ def assign_chunks_to_units(spark, sf):
         "doc_id", order.alias("unit_order"), F.concat(F.lit("u"), order.cast("string")).alias("unit_id"), F.lit("t").alias("title"), F.lit("section").alias("unit_type"),
         F.lit("section").alias("role"), "char_start", (F.col("e") - F.when(F.col("k") % 3 == 1, 400).otherwise(0)).alias("char_end"),
         (order * 2).alias("page_start"), (order * 2 + 2).alias("page_end"),
-    ).filter("char_end >= char_start")
+    )
     c = views.chunks(spark, sf).withColumn("page", F.col("chunk_index"))
     return C.assign_chunks_to_units(c, u).select("doc_id", "chunk_index", "parent_id", "parent_page_start")
 
@@ -530,7 +530,7 @@ def summary_evidence_overall(spark, sf):
 
 @query(
     "w6_chapter_units",
-    S.ctes(*EVIDENCE[:5])
+    S.ctes(*EVIDENCE[:7])
     + "SELECT doc_id, CAST(grp AS BIGINT) AS group_no, min(k) AS group_key, arg_min(parent_title, -length(parent_title)*1000000+chunk_index) AS title, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages, count(*) AS chunk_count FROM e3 GROUP BY doc_id, grp",
 )
 def chapter_units(spark, sf):
