@@ -342,19 +342,24 @@ def exact_percentiles(df: DataFrame, value: str, ps: Sequence[float], groups: Co
 
 
 def generation_aggregate(scored: DataFrame) -> DataFrame:
-    """Answer-quality proportions; false refusals are measured over answerable tasks only."""
+    """Answer-quality proportions and mean concept coverage; false refusals count over answerable tasks only."""
     every = F.lit(True)
-    return rates(
+    out = rates(
         scored,
         [
+            ("normalized_answer_match", F.col("normalized_answer_match"), every),
             ("acceptable_answer_match", F.col("acceptable_answer_match"), every),
-            ("required_concepts_covered", F.col("required_concept_coverage") == 1.0, every),
-            ("forbidden_claims_present", F.col("forbidden_claim_present"), every),
-            ("false_refusal", F.col("false_refusal"), F.col("answerable")),
-            ("truncation", F.col("truncated"), every),
-            ("generic_failure", F.col("generic_failure"), every),
+            ("forbidden_claim_rate", F.col("forbidden_claim"), every),
+            ("generic_failure_rate", F.col("generic_failure"), every),
+            ("false_refusal_rate", F.col("false_refusal"), F.col("answerable")),
+            ("truncation_rate", F.col("truncation"), every),
         ],
     )
+    mean = scored.agg(
+        F.lit("required_concept_coverage_mean").alias("metric"),
+        F.coalesce(F.avg("required_concept_coverage"), F.lit(0.0)).alias("value"),
+    )
+    return out.unionByName(mean, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------------------------------------------

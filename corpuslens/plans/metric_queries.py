@@ -170,14 +170,15 @@ def percentile_overall(spark, sf):
     "a8_generation_aggregate",
     rate_sql(
         [
+            ("normalized_answer_match", "normalized_answer_match", "true"),
             ("acceptable_answer_match", "acceptable_answer_match", "true"),
-            ("required_concepts_covered", "required_concept_coverage = 1.0", "true"),
-            ("forbidden_claims_present", "forbidden_claim_present", "true"),
-            ("false_refusal", "false_refusal", "answerable"),
-            ("truncation", "truncated", "true"),
-            ("generic_failure", "generic_failure", "true"),
+            ("forbidden_claim_rate", "forbidden_claim", "true"),
+            ("generic_failure_rate", "generic_failure", "true"),
+            ("false_refusal_rate", "false_refusal", "answerable"),
+            ("truncation_rate", "truncation", "true"),
         ]
-    ),
+    )
+    + " UNION ALL SELECT 'required_concept_coverage_mean', NULL, NULL, round(avg(required_concept_coverage),6), NULL, NULL, NULL FROM v_eval",
 )
 def generation_aggregate(spark, sf):
     return shown(M.generation_aggregate(views.eval_records(spark, sf)), "metric")

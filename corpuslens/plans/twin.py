@@ -151,8 +151,8 @@ EVAL = """v_eval AS (SELECT l.doc_id AS case_id, source, lang AS expected_route,
  n_chars % 5 <> 0 AS citations_correct, true AS output_complete, true AS no_internal_message_exposed,
  quality = 1 AS acceptable_answer_match,
  CASE WHEN n_chars % 2 = 0 THEN 1.0 ELSE 0.5 END AS required_concept_coverage,
- toxic = 1 AS forbidden_claim_present, n_chars % 17 = 0 AS false_refusal, n_chars % 4 <> 3 AS answerable,
- n_chars % 19 = 0 AS truncated, n_chars % 23 = 0 AS generic_failure, n_chars::DOUBLE AS latency_ms
+ n_chars % 29 = 0 AS normalized_answer_match, toxic = 1 AS forbidden_claim, n_chars % 17 = 0 AS false_refusal, n_chars % 4 <> 3 AS answerable,
+ n_chars % 19 = 0 AS truncation, n_chars % 23 = 0 AS generic_failure, n_chars::DOUBLE AS latency_ms
  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 

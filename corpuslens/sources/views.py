@@ -156,10 +156,11 @@ def eval_records(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(True).alias("no_internal_message_exposed"),
         (q == 1).alias("acceptable_answer_match"),
         F.when(n % 2 == 0, 1.0).otherwise(0.5).alias("required_concept_coverage"),
-        (tox == 1).alias("forbidden_claim_present"),
+        (n % 29 == 0).alias("normalized_answer_match"),
+        (tox == 1).alias("forbidden_claim"),
         (n % 17 == 0).alias("false_refusal"),
         (n % 4 != 3).alias("answerable"),
-        (n % 19 == 0).alias("truncated"),
+        (n % 19 == 0).alias("truncation"),
         (n % 23 == 0).alias("generic_failure"),
         n.cast("double").alias("latency_ms"),
     )
