@@ -425,21 +425,21 @@ def cited_pages(spark, sf):
 
 ROWS = (
     "pr AS (SELECT p_brand, p_size, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS k FROM part)",
-    "rw AS (SELECT p_brand || '/' || p_size AS g, k, CASE k % 2 WHEN 0 THEN 1 ELSE 2 END AS page, p_name || ' ' || p_brand || ' item' AS label, 0.25::DOUBLE + (p_partkey % 7) / 10.0 AS v FROM pr WHERE k<=99)",
+    "rw AS (SELECT p_brand || '/' || p_size || '/' || ((k-1)//99) AS g, (k-1)%99+1 AS k, CASE k % 2 WHEN 0 THEN 1 ELSE 2 END AS page, p_name || ' ' || p_brand || ' item' AS label, 0.25::DOUBLE + (p_partkey % 7) / 10.0 AS v FROM pr)",
     "dg AS (SELECT *, translate(regexp_replace(regexp_replace(CAST(round(v,2) AS VARCHAR), '0+$', ''), '\\.$', ''), '0123456789.', '۰۱۲۳۴۵۶۷۸۹٫') AS value FROM rw)",
 )
 
 
 def part_tables(spark, sf):
-    """Two pages of collapsed table text per (brand, size); ranks have at most two digits, so at most 99 rows each."""
+    """Two pages of collapsed table text per (brand, size) and run of 99 parts, since a rank has at most two digits."""
     from pyspark.sql import Window
 
     p = table(spark, sf, "part")
-    k = F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
-    r = p.withColumn("k", k).filter("k <= 99").select(
-        F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("g"),
-        "k",
-        F.when(F.col("k") % 2 == 0, 1).otherwise(2).alias("page"),
+    n = F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
+    r = p.withColumn("n", n - 1).select(
+        F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), F.floor(F.col("n") / 99).cast("string")).alias("g"),
+        (F.col("n") % 99 + 1).alias("k"),
+        F.when(F.col("n") % 2 == 1, 1).otherwise(2).alias("page"),
         F.concat("p_name", F.lit(" "), "p_brand", F.lit(" item")).alias("label"),
         F.format_string("%.2f", F.lit(0.25) + (F.col("p_partkey") % 7) / 10.0).alias("v"),
     )

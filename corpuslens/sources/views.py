@@ -80,8 +80,11 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf: str) -> DataFrame:
+    return usage_of(table(spark, sf, "events"))
+
+
+def usage_of(e: DataFrame) -> DataFrame:
     """Events read as usage telemetry: three events to a request, tokens from the JSON side column."""
-    e = table(spark, sf, "events")
     k = F.from_json("props", "k long")["k"]
     return e.select(
         "event_id",
