@@ -34,6 +34,14 @@ def query_terms(queries: DataFrame, keep: Cols, pattern: str = T.TOKEN, dedupe:
     return counted.withColumn("qtf", F.lit(1).cast("long")) if dedupe else counted
 
 
+MAX_BROADCAST_TERMS = 2_000_000  # (query, term) rows that may be shipped to every task
+
+
+def shippable(q: DataFrame) -> bool:
+    """Whether the (query, term) frame stays under the row bound; a small look at the queries only."""
+    return q.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+
+
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -50,22 +58,26 @@ def bm25_topk(
 
     Only postings of query terms leave the scan: the corpus is exploded, semi-joined to the distinct
     query terms and counted per (chunk, term). The counted postings feed both the document frequencies
-    and the scores from one exchange. Common terms are skewed join keys; AQE splits them.
+    and the scores from one exchange. While the query terms stay under a checked bound they are shipped to the
+    postings, which are partitioned by chunk, so scores are summed where they arise and only local top-k rows
+    move on. Beyond the bound both sides are shuffled on the term and AQE splits the common ones.
     """
     scope = list(scope)
     q = query_terms(queries, scope, pattern, dedupe_query_terms)
+    small = shippable(q)
+    ship = F.broadcast if small else (lambda d: d)
     pool = chunks.select(*scope, *keys, T.raw_tokens(F.col("text"), pattern).alias("_t")).withColumn(
         "_len", F.size("_t")
     )
     summary = [F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg")]
     vocabulary = q.select(*scope, "term").distinct()
-    postings = (
+    hits = (
         pool.select(*scope, *keys, "_len", F.explode("_t").alias("term"))
         .withColumn("term", F.lower("term"))
-        .join(vocabulary, [*scope, "term"], "left_semi")
-        .groupBy(*scope, *keys, "_len", "term")
-        .agg(F.count(F.lit(1)).alias("_tf"))
+        .join(ship(vocabulary), [*scope, "term"], "left_semi")
     )
+    hits = hits.repartition(*keys) if small else hits
+    postings = hits.groupBy(*scope, *keys, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     df = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
     if scope:
         df = df.join(pool.groupBy(*scope).agg(*summary), scope)
@@ -77,7 +89,7 @@ def bm25_topk(
     avg = F.greatest(F.col("_avg"), F.lit(1.0)) if floor_average else F.col("_avg")
     gain = F.col("_w") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / avg))
     scored = (
-        postings.join(weighted, [*scope, "term"])
+        postings.join(ship(weighted), [*scope, "term"])
         .groupBy("query_id", *keys)
         .agg(F.sum(gain).alias("score"))
         .filter("score > 0")
@@ -89,6 +101,8 @@ def term_overlap_topk(queries: DataFrame, chunks: DataFrame, keys: Cols, k: int,
     """Rank by the number of shared distinct terms; ties go to the lower key."""
     q = queries.select("query_id", F.explode(T.term_set(F.col("query_text"))).alias("term"))
     body = F.concat_ws(" ", F.col(title), F.col("text")) if title else F.col("text")
+    if shippable(q):
+        q, chunks = F.broadcast(q), chunks.repartition(*keys)
     hits = chunks.select(*keys, F.explode(T.term_set(body)).alias("term")).join(q, "term")
     scored = hits.groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("overlap"))
     return topk(scored, ["query_id"], [F.col("overlap").desc(), *[F.col(c).asc() for c in keys]], k)

@@ -17,7 +17,7 @@ def _ingest_sql() -> str:
     clean = [p.replace("SELECT doc_id, replace(replace(line,'.',''),'/','') AS stem FROM v_lines WHERE line_no=0", "SELECT doc_id, '' AS stem FROM documents") for p in CLEAN]
     chunked = [p.replace("FROM v_markdown)", "FROM cl9)") for p in CHUNKED[1:]]
     return S.ctes(*clean, *quality_sql("cl9", "CAST(NULL AS BIGINT)", "false", "false"), *chunked, "nc AS (SELECT doc_id, count(*) AS n, sum(length(text)) AS chars FROM v_struct GROUP BY doc_id)") + (
-        "SELECT q.doc_id, CASE WHEN idx THEN 'scanned' ELSE 'failed' END AS status, CASE WHEN NOT idx THEN warn END AS reason, CASE WHEN idx THEN coalesce(n,0) ELSE 0 END AS n_chunks, "
+        "SELECT q.doc_id, CASE WHEN idx THEN 'scanned' ELSE 'failed' END AS status, CASE WHEN NOT idx THEN warn END AS reason, CASE WHEN idx THEN coalesce(nc.n,0) ELSE 0 END AS n_chunks, "
         "CAST(CASE WHEN idx THEN coalesce(chars,0) ELSE 0 END AS BIGINT) AS chars FROM q4 q LEFT JOIN nc USING (doc_id) WHERE trim(q.text, ' '||chr(10)) <> ''"
     )
 

@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpuslens.operators import corpus as C
 from corpuslens.operators.ordering import latest_per_key
 from corpuslens.session import use_utc
+from corpuslens.sources.readers import write_table
+from corpuslens.sources.tables import spread
 
 Cols = Sequence[str]
 
@@ -76,23 +78,31 @@ def results(spark: SparkSession, path: str, keys: Cols | None = None) -> DataFra
 # ingestion
 
 
-def ingest_batch(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks of indexable documents, one status row per document) of a batch of Markdown documents."""
-    cleaned = C.clean_corpus(docs).select("doc_id", "text")
-    profiles, _, chunks = C.prepare_corpus(cleaned)
-    state = F.when(F.col("quality.indexable"), "scanned").otherwise("failed")
-    reason = F.when(~F.col("quality.indexable"), F.array_join("quality.warnings", ","))
-    return chunks, profiles.select("doc_id", state.alias("status"), reason.alias("reason"), "document_type")
-
-
 def ingest_stream(stream: DataFrame, path: str) -> None:
     """Clean, profile, gate, chunk and assign each batch. Keys are deterministic, so re-delivery is harmless;
-    a rejected document leaves a failed row and no chunks."""
+    a rejected document leaves a failed row and no chunks.
+
+    Cleaned text and profiles are written once per epoch and read back: both outputs start from the files
+    instead of repeating the work, and a lost executor costs no recomputation.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        chunks, status = ingest_batch(batch)
-        chunks.write.mode("overwrite").parquet(f"{path}/chunks/epoch={epoch}")
+        cleaned = C.clean_corpus(spread(batch, "doc_id")).select("doc_id", "text")
+        texts = write_table(cleaned, f"{path}/clean/epoch={epoch}")
+        full = texts.filter(F.trim("text", F.lit(" \n")) != "")
+        profiles = write_table(C.profile_corpus(spread(full, "doc_id")), f"{path}/profile/epoch={epoch}")
+        good = F.col("quality.indexable")
+        status = profiles.select(
+            "doc_id",
+            F.when(good, "scanned").otherwise("failed").alias("status"),
+            F.when(~good, F.array_join("quality.warnings", ",")).alias("reason"),
+            "document_type",
+        )
         status.write.mode("overwrite").parquet(f"{path}/status/epoch={epoch}")
+        fit = profiles.filter(good).select("doc_id", "unit_strategy")
+        blocks = write_table(C.split_blocks(spread(texts, "doc_id").join(fit, "doc_id", "left_semi")), f"{path}/blocks/epoch={epoch}")
+        chunks = C.assign_chunks_to_units(C.chunk_structured(blocks), C.build_units(blocks, fit))
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks/epoch={epoch}")
 
     drain(stream, path, "append", each)
 
@@ -230,8 +240,10 @@ def throttle(events: DataFrame, key: str, ts: str, order: str, gap_s: int, limit
     return spread.mapInPandas(walk, f"`{order}` {types[order]}, `{key}` {types[key]}, decision string")
 
 
-def throttle_stream(events: DataFrame, key: str, ts: str, order: str, gap_s: int, limit: int, window_s: int) -> DataFrame:
-    """Streaming form: the accepted times of a key are its state, dropped when the key stays quiet."""
+def throttle_stream(
+    events: DataFrame, key: str, ts: str, order: str, gap_s: int, limit: int, window_s: int, lateness: str = "10 minutes"
+) -> DataFrame:
+    """Streaming form: the accepted times of a key are its state, dropped once the watermark shows the key quiet."""
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out_schema = f"`{order}` {types[order]}, `{key}` {types[key]}, decision string"
 
@@ -244,10 +256,11 @@ def throttle_stream(events: DataFrame, key: str, ts: str, order: str, gap_s: int
             pdf = pdf.sort_values(["_us", order])
             yield pd.DataFrame({order: pdf[order], key: k[0], "decision": [gate.admit(u) for u in pdf["_us"]]})
         state.update((list(gate.times),))
-        state.setTimeoutDuration(window_s * 1000)
+        quiet_at = int((gate.times[-1] if gate.times else 0) / 1000) + window_s * 1000
+        state.setTimeoutTimestamp(max(quiet_at, state.getCurrentWatermarkMs() + 1))
 
-    slim = events.select(key, order, F.unix_micros(ts).cast("double").alias("_us"))
+    slim = events.withWatermark(ts, lateness).select(key, order, ts, F.unix_micros(ts).cast("double").alias("_us"))
     return slim.groupBy(key).applyInPandasWithState(
-        step, out_schema, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, out_schema, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
