@@ -23,8 +23,9 @@ def topk(df: DataFrame, keys: Cols, order: Sequence[Column], k: int, rank: str =
 
 def topk_scored(df: DataFrame, keys: Cols, score: str, ties: Cols, k: int, rank: str = "rank") -> DataFrame:
     """Highest scores per key. Scores equal to nine digits are ties, settled by the tie columns."""
-    order = [F.round(F.col(score), 9).desc(), *[F.col(t).asc() for t in ties]]
-    return topk(df, keys, order, k, rank)
+    # Whole billionths as a long: same ties as rounding to nine digits, without decimal arithmetic per row.
+    nine = F.floor(F.col(score) * F.lit(1e9) + F.lit(0.5))
+    return topk(df, keys, [nine.desc(), *[F.col(t).asc() for t in ties]], k, rank)
 
 
 def recent_first(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
