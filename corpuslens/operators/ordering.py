@@ -86,10 +86,40 @@ def sliding_count(df: DataFrame, keys: Cols, ts: str, seconds: int, out: str = "
     return counted.drop("_us", "_slice", "_own")
 
 
-def history_before(df: DataFrame, keys: Cols, order: Cols, value: Column, n: int, out: str) -> DataFrame:
-    """Up to n earlier values of the key at each row, oldest first."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
-    return df.withColumn(out, F.collect_list(value).over(w))
+def history_before(
+    df: DataFrame, keys: Cols, order: Cols, bucket: Column, value: Column, n: int, out: str, block: int = 1024
+) -> DataFrame:
+    """Up to n earlier values of the key at each row, oldest first.
+
+    Rows are numbered per key and cut into blocks; the last n rows of a block also go to the next one, so a
+    long conversation is spread over its blocks. ``bucket`` must not decrease along ``order``.
+    """
+    ranked = bucketed_rank(df.withColumn("_v", value), keys, bucket, [F.col(c) for c in order], "_at")
+    at = F.col("_at") - 1
+    own = F.floor(at / block)
+    blocks = F.when(at % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
+    spread_rows = ranked.withColumns({"_own": own, "_block": F.explode(blocks)})
+    w = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(-n, -1)
+    filled = spread_rows.withColumn(out, F.collect_list("_v").over(w)).filter(F.col("_own") == F.col("_block"))
+    return filled.drop("_v", "_at", "_own", "_block")
+
+
+def last_before(df: DataFrame, keys: Cols, order: Cols, bucket: Column, values: dict[str, Column]) -> DataFrame:
+    """Latest earlier non-null value per key at each row, for several values at once.
+
+    Looks back inside the row's bucket, then at the newest value of earlier buckets (a small frame).
+    """
+    d = df.withColumns({"_bucket": bucket, **{f"_v_{k}": v for k, v in values.items()}})
+    place = F.struct(*order)
+    newest = [F.max_by(f"_v_{k}", F.when(F.col(f"_v_{k}").isNotNull(), place)).alias(f"_l_{k}") for k in values]
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = d.groupBy(*keys, "_bucket").agg(*newest).select(
+        *keys, "_bucket", *[F.last(f"_l_{k}", ignorenulls=True).over(before).alias(f"_c_{k}") for k in values]
+    )
+    local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = d.withColumns({f"_h_{k}": F.last(f"_v_{k}", ignorenulls=True).over(local) for k in values})
+    j = here.join(carried, [*keys, "_bucket"])
+    return j.select(*df.columns, *[F.coalesce(f"_h_{k}", f"_c_{k}").alias(k) for k in values])
 
 
 def island_ids(df: DataFrame, keys: Cols, order: Cols, marker: Column, out: str) -> DataFrame:

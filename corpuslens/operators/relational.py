@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.functions.numeric import one_if
-from corpuslens.operators.ordering import history_before, latest_per_key, union_stages
+from corpuslens.operators.ordering import history_before, last_before, latest_per_key, union_stages
 
 Cols = Sequence[str]
 
@@ -293,7 +293,8 @@ def grade_objective(questions: DataFrame, answers: DataFrame, by: str) -> DataFr
 
 def with_history(turns: DataFrame, n: int = 8) -> DataFrame:
     """Every turn with up to n earlier (role, text) pairs, oldest first."""
-    return history_before(turns, ["conv_id"], ["turn"], F.struct("role", "text"), n, "history")
+    bucket = F.floor(F.col("turn") / 1024)
+    return history_before(turns, ["conv_id"], ["turn"], bucket, F.struct("role", "text"), n, "history")
 
 
 def history_digest(turns: DataFrame, n: int = 4) -> DataFrame:
@@ -312,16 +313,11 @@ def history_digest(turns: DataFrame, n: int = 4) -> DataFrame:
 
 def previous_turn(turns: DataFrame) -> DataFrame:
     """Each turn with the latest earlier non-blank assistant and user messages and an answered-before flag."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     filled = T.strip(T.text_or_empty(F.col("text"))) != ""
-    says = lambda who: F.last(F.when((F.col("role") == who) & filled, F.col("text")), ignorenulls=True).over(w)
-    return turns.withColumns(
-        {
-            "previous_answer": says("assistant"),
-            "previous_question": says("user"),
-            "answered_before": F.coalesce(F.max(one_if((F.col("role") == "assistant") & filled)).over(w), F.lit(0)) == 1,
-        }
-    )
+    says = lambda who: F.when((F.col("role") == who) & filled, F.col("text"))
+    values = {"previous_answer": says("assistant"), "previous_question": says("user")}
+    seen = last_before(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / 1024), values)
+    return seen.withColumn("answered_before", F.col("previous_answer").isNotNull())
 
 
 # ---------------------------------------------------------------------------------------------------

@@ -85,3 +85,17 @@ def test_upsert_is_idempotent(spark):
     want = {("a", "x"), ("b", "z"), ("c", "w")}
     assert {(r["id"], r["t"]) for r in once.collect()} == want
     assert {(r["id"], r["t"]) for r in upsert_latest(once, new, ["id"], ["v"]).collect()} == want
+
+
+def test_look_back_across_blocks_matches_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [("hot", i * 3, rnd.choice([None, str(i)])) for i in range(60)] + [("b", 1, "x"), ("b", 2, None)]
+    df = spark.createDataFrame(rows, "k string, t long, v string")
+    bucket = F.floor(F.col("t") / 20)
+    got = {(r["k"], r["t"]): r["prev"] for r in O.last_before(df, ["k"], ["t"], bucket, {"prev": F.col("v")}).collect()}
+    hist = O.history_before(df, ["k"], ["t"], bucket, F.struct("t"), 5, "h", block=8)
+    past = {(r["k"], r["t"]): [x["t"] for x in r["h"]] for r in hist.collect()}
+    for k, t, _ in rows:
+        before = [(s, v) for j, s, v in rows if j == k and s < t]
+        assert got[(k, t)] == next((v for _, v in reversed(before) if v is not None), None)
+        assert past[(k, t)] == [s for s, _ in before][-5:]
