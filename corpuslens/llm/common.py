@@ -22,10 +22,24 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batch_rows(df.sparkSession, BATCH_ROWS)
     return df.mapInArrow(fn, schema)
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Spark reads this when a plan runs, so a map that needs another size has to be stored at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def stored_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int, label: str) -> DataFrame:
+    """The stored result of mapInArrow over batches of another size."""
+    batch_rows(df.sparkSession, rows)
+    try:
+        return stored(df.mapInArrow(fn, schema), label)
+    finally:
+        batch_rows(df.sparkSession, BATCH_ROWS)
+
+
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """The rows after a round trip through a table in the shared folder, which cuts the lineage."""
     spark = df.sparkSession
@@ -37,6 +51,11 @@ def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions; small rows that stand for much work must not be put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def file_at(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a place in the shared folder: local, HDFS or an object store."""
     return fs.FileSystem.from_uri(uri)

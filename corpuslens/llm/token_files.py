@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, file_at, fresh_path, output, scan, stored
+from corpuslens.llm.common import arrow_map, dealt, file_at, fresh_path, output, scan, stored
 from corpuslens.llm.tokens import word_tokenizer
 
 MAGIC = b"REPAIR01"
@@ -234,8 +234,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(listed: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document, read back from the files."""
-    files = listed.select("path", "base").repartition(F.col("path"))
-    return arrow_map(files, _read, "doc_id long, start long, n_tokens long, ids binary")
+    return arrow_map(dealt(listed.select("path", "base"), "path"), _read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op6_token_files(spark, sf_dir):

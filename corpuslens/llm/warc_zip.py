@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, file_at, fresh_path, output, scan, stored
+from corpuslens.llm.common import arrow_map, dealt, file_at, fresh_path, output, scan, stored
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records in one package, of records fetched by one read, and of one step of a sequential read.
@@ -247,7 +247,7 @@ def read_packages(listed: DataFrame) -> DataFrame:
     """
     places = arrow_map(listed.select("path"), _locate, "path string, start long, lengths array<bigint>")
     fields = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    return arrow_map(places.repartition(F.col("path"), F.col("start")), _fetch, fields)
+    return arrow_map(dealt(places, "path", "start"), _fetch, fields)
 
 
 def op3_warc_zip(spark, sf_dir):
