@@ -32,7 +32,7 @@ MAGIC = b"REPAIR01"
 HEADER = struct.Struct("<8s7Q")
 END_ID = 1
 #: Tokens of a file, passes over it, rules of a pass, and uses that a rule needs.
-FILE_TOKENS, PASSES, PASS_RULES, MIN_USES = 2_000_000, 4, 3000, 8
+FILE_TOKENS, PASSES, PASS_RULES, MIN_USES = 2_000_000, 3, 5000, 8
 _SLOTS, _MIX = 18, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,10 +189,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str) -> It
         return output(row)
 
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
+        tokens, at = encoder.encode(batch.column(1))
+        for doc_id, start, end in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
             doc_ids.append(doc_id)
-            ids.append(np.append(np.frombuffer(data, encoder.dtype), encoder.dtype.type(END_ID)))
+            ids.append(np.append(tokens[start:end], tokens.dtype.type(END_ID)))
             held += len(ids[-1])
             if held >= FILE_TOKENS:
                 yield flush()
@@ -208,7 +208,7 @@ def write_token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     empty table gives no files. The list is written before it is used, so it names the files of finished attempts only.
     """
     folder = fresh_path(docs.sparkSession, "token-files")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = arrow_map(rows, partial(_write, folder=folder, tokenizer=tokenizer), "part int, number int, path string, n_docs long, n_tokens long")
     listed = stored(written, "token-file-list")

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words remembered in one Python worker; beyond it the memory starts anew.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 1_000_000
 #: Words sent to the library in one call.
 CALL_WORDS = 128
 #: Characters that may stand between words in a call; one is chosen that the vocabulary encodes as a single id.
 SEPARATORS = "§¶•¤†‡"
 
 
+#: Words whose case and last mark the vocabulary's normaliser and splitter treat letter by letter.
+_PLAIN = re.compile(r"([0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
+
+
 class WordTokenizer:
-    """encode_batch() gives, for each text, the same ids as the library: little-endian unsigned 16- or 32-bit bytes.
+    """encode() gives, for each text, the same ids as the library, as unsigned 16- or 32-bit numbers.
 
     The library's normaliser and splitter treat every run between plain spaces alone, so a text's ids are the ids of
     those runs in a row. Each distinct run goes to the library once, many in a call, with a separator between them that
@@ -44,10 +51,24 @@ class WordTokenizer:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        alone = [w for w in words if self.mark in w]
-        plain = [w for w in words if self.mark not in w]
-        self.known.update((w, np.array(self._ids(w), self.dtype).tobytes()) for w in alone)
-        calls = [plain[i : i + CALL_WORDS] for i in range(0, len(plain), CALL_WORDS)]
+        """Sends what is new to the library: plain words in lower case and without a last full stop or comma."""
+        plain: dict[str, tuple[str, str]] = {}
+        for word in words:
+            match = _PLAIN.fullmatch(word)
+            if match:
+                plain[word] = match[1].lower(), match[2]
+        rest = [w for w in words if w not in plain]
+        self.known.update((w, self._bytes(w)) for w in rest if self.mark in w)
+        stems = {stem for stem, _ in plain.values()}
+        self._call([w for w in (*stems, *{end for _, end in plain.values()}, *rest) if w not in self.known])
+        for word, (stem, end) in plain.items():
+            self.known[word] = self.known[stem] + self.known[end]
+
+    def _bytes(self, word: str) -> bytes:
+        return np.array(self._ids(word), self.dtype).tobytes()
+
+    def _call(self, words: list[str]) -> None:
+        calls = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
         found = self.library.encode_batch_fast([f" {self.mark} ".join(c) for c in calls], add_special_tokens=False)
         width = self.dtype.itemsize
         for call, encoding in zip(calls, found, strict=True):
@@ -60,15 +81,29 @@ class WordTokenizer:
                 self.known[word] = data[start:end]
                 start = end + width
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        words = set().union(*split)
-        fresh = [w for w in words if w not in self.known]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column in a row, and where each text begins (and the last one ends)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ascii_only = pc.equal(pc.binary_length(texts), pc.cast(pc.utf8_length(texts), pa.int64()))
+        texts = pc.replace_substring(pc.if_else(ascii_only, pc.ascii_lower(texts), texts), "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in distinct if w not in self.known]
         if len(self.known) + len(fresh) > MEMORY_WORDS:
-            self.known, fresh = {"": b""}, [w for w in words if w]
+            self.known, fresh = {"": b""}, [w for w in distinct if w]
         self._learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        parts = [self.known[w] for w in distinct]
+        table = np.frombuffer(b"".join(parts), self.dtype)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        which = words.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        source = np.repeat(begins[which] - (ends - lengths), lengths)
+        source += np.arange(len(source))
+        at = np.concatenate([[0], ends])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return table[source], at
 
 
 @lru_cache(maxsize=2)
