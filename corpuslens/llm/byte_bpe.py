@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import base64
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache, partial
 from itertools import batched, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import arrow_map, scan
 
 #: Pieces, single tokens and token pairs remembered in one Python worker.
-MEMORY_PIECES, MEMORY_PAIRS = 800_000, 1_000_000
+MEMORY_PIECES, MEMORY_PAIRS = 800_000, 600_000
 #: Pieces of a text that are held at once.
 BLOCK_PIECES = 200_000
 LONG_TEXT = 1_000_000
@@ -46,7 +46,7 @@ class ByteBpe:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter_of: dict[int, int] = {}
         self.halves_of: dict[int, tuple[int, int] | None] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = _Pieces(self.encode_piece)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge gives this one; None for a single byte; (-1, -1) if merging never gives it."""
@@ -99,9 +99,20 @@ class ByteBpe:
         return known
 
     def covered(self, piece: bytes) -> list[int]:
-        size = len(piece)
-        longest = array("i", [-1]) * size
-        for end, (length, token) in self.matcher.iter(piece.decode("latin-1")):
+        """Longest matches one after another if all neighbours go together, which is then the answer; else backtracking."""
+        text, pairs, goes, ids, left, at = piece.decode("latin-1"), self.pairs, self.goes, [], -1, -1
+        for end, (length, token) in self.matcher.iter_long(text):
+            good = pairs.get((left, token))
+            if end - length != at or not (goes(left, token) if good is None else good):
+                return self.backtracked(text)
+            ids.append(token)
+            left, at = token, end
+        return ids if at == len(text) - 1 else self.backtracked(text)
+
+    def backtracked(self, text: str) -> list[int]:
+        size = len(text)
+        longest = [-1] * size
+        for end, (length, token) in self.matcher.iter(text):
             longest[end - length + 1] = token  # ends ascend, so the longest match from a place comes last
         lost, ids, at, token, left = bytearray(size + 1), [], 0, longest[0], -1
         width, pairs, goes = self.width, self.pairs, self.goes
@@ -123,29 +134,40 @@ class ByteBpe:
         return ids
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
-        if found is None:
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            found = (whole,) if whole is not None else tuple(self.covered(data))
-            if len(piece) <= 64:
-                if len(self.pieces) >= MEMORY_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return (whole,) if whole is not None else tuple(self.covered(data))
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text, taken in blocks of pieces if it is long."""
         if len(text) <= LONG_TEXT:
-            return list(chain.from_iterable(map(self.encode_piece, self.pattern.findall(text))))
-        ids = array("i")
-        for block in batched((m.group() for m in self.pattern.finditer(text)), BLOCK_PIECES):
-            ids.extend(chain.from_iterable(map(self.encode_piece, block)))
-        return ids.tolist()
+            return self._ids(self.pattern.findall(text))
+        blocks = batched((m.group() for m in self.pattern.finditer(text)), BLOCK_PIECES)
+        return np.concatenate([self._ids(block) for block in blocks])
+
+    def _ids(self, pieces: Sequence[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, pieces)), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class _Pieces(dict):
+    """Pieces already encoded."""
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= MEMORY_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
@@ -154,15 +176,19 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = byte_bpe(path, pattern)
     for batch in batches:
-        ids = [bpe.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+        at = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        column = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["doc_id", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = byte_bpe(path, pattern)
     for batch in batches:
         ids = batch.column(1)
-        data = [bpe.decode(row) if row else b"" for row in ids.to_pylist()]
+        at = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+        flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+        data = [bpe.decode(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(data, pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
