@@ -174,10 +174,9 @@ def simhash_components(docs: DataFrame, size: int, radius: int) -> DataFrame:
     """
     prints = stored(fingerprints(docs, size), "fingerprints")
     nodes = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    # A doc_id that stands in several rows joins all their fingerprints.
-    same = prints.where("doc_id is not null").join(nodes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("id").alias("b"), "fingerprint")
-    repeated = same.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).where("x <> y").select("a")
-    bridges = same.join(repeated, "a", "left_semi").select("a", "b")
+    # A doc_id that stands in rows of several fingerprints joins them.
+    several = prints.groupBy("doc_id").agg(F.min("fingerprint").alias("x"), F.max("fingerprint").alias("y")).where("x <> y").select("doc_id")
+    bridges = prints.join(several, "doc_id").distinct().join(nodes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     links = linked_fingerprints(nodes.select(F.col("id"), "fingerprint"), radius).union(bridges)
     found = components(links)
     nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
