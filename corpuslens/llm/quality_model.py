@@ -129,6 +129,18 @@ def score_documents(docs: DataFrame, examples: DataFrame) -> DataFrame:
     return arrow_map(measured(docs), partial(_scored, model=fit(examples)), "doc_id long, score double")
 
 
+def _good(batches: Iterator[pa.RecordBatch], model: Discriminant, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = np.array([statistics(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], float).reshape(-1, len(STATISTICS))
+        yield batch.filter(pa.array(model.scores(x) >= least))
+
+
+def good_documents(docs: DataFrame, examples: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose whole text scores at least `least` by the discriminant of the examples."""
+    model = fit(examples)
+    return docs if model is None else arrow_map(docs, partial(_good, model=model, least=least), docs.schema)
+
+
 def op1_quality(spark, sf_dir):
     rows = stored(measured(scan(spark, sf_dir, "documents", "doc_id", "text")), "statistics")
     model = fit(training_rows(rows, scan(spark, sf_dir, "labels", "doc_id", "quality")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import accumulate, combinations
 
@@ -17,6 +18,7 @@ from corpuslens.llm.components import components, forest
 BITS = 64
 #: Shingles hashed at once, rows of a bucket compared at once, and rows that Python gets at once.
 BLOCK_SHINGLES, TILE, BUCKET_ROWS = 200_000, 2048, 20_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None, size: int, seed: int) -> Iterator[np.ndarray]:
@@ -36,28 +38,45 @@ def shingle_hashes(text: str | None, size: int, seed: int) -> Iterator[np.ndarra
         yield np.fromiter(map(digest, pieces), np.uint64)
 
 
-def fingerprint(text: str | None, size: int, seed: int = 42) -> int:
-    """Bit by bit the majority of the shingle hashes, repeats included; a tie is 0, and so is a text without words."""
-    ones, total = np.zeros(BITS, np.int64), 0
+def fingerprint(text: str | None, size: int, words: int = 1, seed: int = 42) -> np.ndarray:
+    """Bit by bit the majority of the shingle hashes, repeats included; a tie is 0, and so is a text without words.
+
+    Words of 64 bits beyond the first come from further mixings of the same hashes.
+    """
+    ones, total = np.zeros((words, BITS), np.int64), 0
     for hashes in shingle_hashes(text, size, seed):
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for word in range(words):
+            if word:
+                hashes = hashes * _ODD + np.uint64(word)
+                hashes ^= hashes >> np.uint64(29)
+                mixed = hashes * _ODD
+                mixed ^= mixed >> np.uint64(32)
+            else:
+                mixed = hashes
+            ones[word] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(hashes)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > total))
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t, size, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fingerprint"])
+        prints = np.array([fingerprint(t, size, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
+        columns = [pa.array(np.ascontiguousarray(prints[:, w])) for w in range(words)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_names(words)])
+
 
+def _names(words: int) -> list[str]:
+    return [f"p{w}" for w in range(words)]
 
-def fingerprints(docs: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """doc_id and fingerprint (64 bits in a long) of each whole text; null and empty texts have fingerprint zero."""
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), partial(_fingerprints, size=size, seed=seed), "doc_id long, fingerprint long")
+
+def fingerprints(docs: DataFrame, size: int, words: int = 1) -> DataFrame:
+    """doc_id and fingerprint (64 bits in each of the longs p0, p1, ...) of each whole text; null and empty texts have zero."""
+    fields = ", ".join(["doc_id long", *[f"{p} long" for p in _names(words)]])
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), partial(_fingerprints, size=size, words=words), fields)
 
 
 def segments(radius: int, rows: int) -> list[tuple[int, int, int]]:
-    """(lowest bit, bits, ball radius) of each segment.
+    """(lowest bit, bits, ball radius) of each segment of 64 bits, so that no pair within `radius` is lost.
 
     Radii that sum to radius - segments + 1 lose nothing: with every segment one beyond its own, the distance would be
     greater than radius. The number of segments is that of the least expected work for so many fingerprints: keys of a
@@ -75,15 +94,35 @@ def segments(radius: int, rows: int) -> list[tuple[int, int, int]]:
     return min((layout(count) for count in range(1, radius + 2) if count > 1 or radius == 0), key=work)
 
 
-def _keys(print_: Column, parts: list[tuple[int, int, int]]) -> Column:
-    """Array of (bucket, probe): the fingerprint's own key in each segment, and the keys in the ball around it.
+def segments_for_similarity(similarity: float, rows: int) -> list[tuple[int, int, int]]:
+    """Segments with balls of one bit that miss a pair of the given Jaccard similarity in fewer than one of 200 cases.
+
+    A bit differs with the angle between the shingle sets. The bits of a segment follow the number of fingerprints, so
+    chance matches of a key stay few; the number of segments follows the bits.
+    """
+    share = bit_share(similarity)
+    bits = max(16, min(48, math.ceil(math.log2(max(rows, 2))) - 2))
+    found = (1 - share) ** bits + bits * share * (1 - share) ** (bits - 1)
+    count = math.ceil(math.log(1 / 200) / math.log(1 - found))
+    # A segment lies inside one word.
+    per_word = BITS // bits
+    return [(BITS * (i // per_word) + bits * (i % per_word), bits, 1) for i in range(count)]
+
+
+def bit_share(similarity: float) -> float:
+    """Share of bits in which two sets of equal size and this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _keys(parts: list[tuple[int, int, int]]) -> Column:
+    """Array of (segment, key, probe): the fingerprint's own key in each segment, and the keys in the ball around it.
 
     Of two keys in one ball the larger looks up the smaller, so each pair meets once: a mask is used if its highest
     bit is set in the key.
     """
     keys = []
     for number, (low, bits, ball) in enumerate(parts):
-        key = F.shiftrightunsigned(print_, low).bitwiseAND(F.lit((1 << bits) - 1))
+        key = F.shiftrightunsigned(f"p{low // BITS}", low % BITS).bitwiseAND(F.lit((1 << bits) - 1))
         where = F.lit(number).cast("long")
         keys.append(F.array(F.struct(where.alias("segment"), key.alias("key"), F.lit(False).alias("probe"))))
         masks = [sum(1 << i for i in chosen) for r in range(1, ball + 1) for chosen in combinations(range(bits), r)]
@@ -94,21 +133,26 @@ def _keys(print_: Column, parts: list[tuple[int, int, int]]) -> Column:
     return F.concat(*keys)
 
 
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether complete fingerprints, words in the last axis, are at most `radius` bits apart."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= radius
+
+
 def _compared(run: np.ndarray, table: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links in one large bucket, whose first `table` rows are its own; tile by tile, a forest of them is kept."""
     prints, ids = run["print"], run["id"]
     a, b = np.array([], np.int64), np.array([], np.int64)
     for i in range(0, table, TILE):
         for j in range(i, len(run), TILE):
-            near = np.bitwise_count(prints[i : min(i + TILE, table), None] ^ prints[None, j : j + TILE]) <= radius
+            near = _near(prints[i : min(i + TILE, table), None], prints[None, j : j + TILE], radius)
             x, y = np.nonzero(near)
             a, b = forest(np.concatenate([a, ids[x + i]]), np.concatenate([b, ids[y + j]]))
     return a, b
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
     """Links inside the buckets of a partition sorted by bucket, own keys first."""
-    kind = np.dtype([("segment", "i8"), ("key", "i8"), ("probe", "?"), ("print", "u8"), ("id", "i8")])
+    kind = np.dtype([("segment", "i8"), ("key", "i8"), ("probe", "?"), ("id", "i8"), ("print", "u8", (words,))])
     rest = np.array([], kind)
 
     def linked(rows: np.ndarray) -> pa.RecordBatch:
@@ -129,7 +173,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             n = partners[step:stop]
             right = np.repeat(np.arange(step, stop), n)
             left = np.repeat(np.repeat(first, sizes)[step:stop] - (np.cumsum(n) - n), n) + np.arange(len(right))
-            near = np.bitwise_count(rows["print"][left] ^ rows["print"][right]) <= radius
+            near = _near(rows["print"][left], rows["print"][right], radius)
             found.append((rows["id"][left[near]], rows["id"][right[near]]))
             step = stop
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -138,9 +182,10 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
     for batch in batches:
         fresh = np.empty(batch.num_rows, kind)
-        for name, column in zip(kind.names, batch.columns, strict=True):
-            values = column.to_numpy(zero_copy_only=False)
-            fresh[name] = values.view(np.uint64) if name == "print" else values
+        for name, column in zip(kind.names[:4], batch.columns, strict=False):
+            fresh[name] = column.to_numpy(zero_copy_only=False)
+        for word in range(words):
+            fresh["print"][:, word] = batch.column(4 + word).to_numpy().view(np.uint64)
         rows = np.concatenate([rest, fresh])
         last = np.flatnonzero((rows["key"] != rows["key"][-1]) | (rows["segment"] != rows["segment"][-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
@@ -151,36 +196,66 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield linked(rest)
 
 
-def linked_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between rows (id, fingerprint) at most `radius` bits apart, enough of them to join what is joined.
+def linked_fingerprints(prints: DataFrame, parts: list[tuple[int, int, int]], radius: int, words: int) -> DataFrame:
+    """Links (a, b) between rows (id, p0, p1, ...) at most `radius` bits apart, enough of them to join what is joined.
 
     Each fingerprint stands once in the table of its key in every segment and looks up the keys in a small ball; what
-    meets in a bucket is compared over all 64 bits. A bucket gives a forest of its links, never all pairs.
+    meets in a bucket is compared over all bits. A bucket gives a forest of its links, never all pairs.
     """
-    keys = _keys(F.col("fingerprint"), segments(radius, prints.count()))
-    rows = prints.select("id", "fingerprint", F.explode(keys).alias("k"))
-    rows = dealt(rows.select("k.segment", "k.key", "k.probe", "fingerprint", "id"), "segment", "key")
-    rows = rows.sortWithinPartitions("segment", "key", "probe", "fingerprint")
-    return stored_map(rows, partial(_links, radius=radius), "a long, b long", BUCKET_ROWS, "simhash-links")
+    names = _names(words)
+    rows = prints.select("id", *names, F.explode(_keys(parts)).alias("k"))
+    rows = dealt(rows.select("k.segment", "k.key", "k.probe", "id", *names), "segment", "key")
+    rows = rows.sortWithinPartitions("segment", "key", "probe")
+    return stored_map(rows, partial(_links, radius=radius, words=words), "a long, b long", BUCKET_ROWS, "simhash-links")
+
+
+def fingerprint_components(docs: DataFrame, size: int, layout: Callable[[int], tuple[list[tuple[int, int, int]], int]], words: int) -> DataFrame:
+    """doc_id, p0, p1, ... and component_id; layout gives the segments and the radius for a number of fingerprints."""
+    names = _names(words)
+    prints = stored(fingerprints(docs, size, words), "fingerprints")
+    nodes = prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("id"))
+    # A doc_id that stands in rows of several fingerprints joins them.
+    whole = F.struct(*names)
+    several = prints.groupBy("doc_id").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x <> y").select("doc_id")
+    bridges = prints.join(several, "doc_id").distinct().join(nodes, names).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    parts, radius = layout(nodes.count())
+    found = components(linked_fingerprints(nodes, parts, radius, words).union(bridges))
+    nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
+    return prints.join(nodes, names, "left").select("doc_id", *names, "component_id")
 
 
 def simhash_components(docs: DataFrame, size: int, radius: int) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links of at most `radius` bits.
+    """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links of at most `radius` of 64 bits.
 
     Documents with equal fingerprints are one node, so groups of copies cost one row. Empty and null texts share
     fingerprint zero and link like any other. Rows with a null doc_id get a fingerprint, link nothing, and have the
     component of their fingerprint if another row gives it one, else null. Repeated rows stay; an empty table gives no
     rows; further columns are not read.
     """
-    prints = stored(fingerprints(docs, size), "fingerprints")
-    nodes = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    # A doc_id that stands in rows of several fingerprints joins them.
-    several = prints.groupBy("doc_id").agg(F.min("fingerprint").alias("x"), F.max("fingerprint").alias("y")).where("x <> y").select("doc_id")
-    bridges = prints.join(several, "doc_id").distinct().join(nodes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = linked_fingerprints(nodes.select(F.col("id"), "fingerprint"), radius).union(bridges)
-    found = components(links)
-    nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(nodes, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return fingerprint_components(docs, size, lambda rows: (segments(radius, rows), radius), 1).withColumnRenamed("p0", "fingerprint")
+
+
+#: Words of the fingerprints by which similarity is judged, in 64 bits.
+JUDGED_WORDS = 4
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of texts linked by a similarity of word shingles, the smallest doc_id.
+
+    Similarity is judged by the complete distance of long fingerprints, with one standard deviation in favour of a
+    link. Equal texts are near-duplicates, empty and null ones too. Of rows that share a doc_id one stays; rows with a
+    null doc_id stay all; all columns are kept; an empty table gives no rows.
+    """
+    rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    needed = segments_for_similarity(similarity, rows)
+    words = max(JUDGED_WORDS, 1 + max(low for low, _, _ in needed) // BITS)
+    share, bits = bit_share(similarity), BITS * words
+    radius = int(share * bits + math.sqrt(bits * share * (1 - share)))
+    found = fingerprint_components(docs, size, lambda _: (needed, radius), words)
+    roots = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = docs.join(roots, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    kept = kept.dropDuplicates(["doc_id"]) if ids < rows else kept
+    return kept.union(docs.where("doc_id is null"))
 
 
 def op10_simhash(spark, sf_dir):

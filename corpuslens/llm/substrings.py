@@ -352,7 +352,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return runs.union(opened.select("doc_id", "key", (F.col("first") + F.col("from_")).alias("first"), (F.col("first") + F.col("to_")).alias("last")))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, spans = [], []
         for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -366,19 +366,19 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 out.append(data[at:a])
                 at = b
             out.append(data[at:])
-            kept.append(b"".join(out))
+            kept.append(b"".join(out).decode("utf-8", "ignore") if as_text else b"".join(out))
             spans.append([{"start": a, "end": b} for a, b in gone])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary()), *batch.columns[3:]], names=["doc_id", "spans", "kept", *batch.schema.names[3:]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.string() if as_text else pa.binary()), *batch.columns[3:]], names=["doc_id", "spans", "kept", *batch.schema.names[3:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """doc_id, spans (byte ranges removed), kept (the bytes that remain), n_bytes and the columns named in `carry`.
 
     Every byte that a string of `length` bytes covers which also starts anywhere else, in the same text or another, is
     removed; strings are judged on the texts as they came. Null texts are empty; texts shorter than `length` stay
     whole; null doc_ids and repeated rows count like any other (repeated long texts vanish); an empty table gives no
-    rows; columns not named are not read.
+    rows; columns not named are not read. With as_text, kept is text without the characters that a cut has split.
     """
     if length % STRIDE or length < ANCHOR + STRIDE:
         raise ValueError(f"length must be a multiple of {STRIDE} from {ANCHOR + STRIDE} on")
@@ -391,11 +391,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     joined = rows.join(spans, (F.col("key") == F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_doc")), "left")
     columns = [F.col(f"carried_{i}") for i in range(len(named))]
     types = "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry or []))
-    fields = f"doc_id long, spans array<struct<start:bigint,end:bigint>>, kept binary, n_bytes long{types}"
-    cut = arrow_map(joined.select("doc_id", "text", "runs", F.octet_length("text").cast("long").alias("n_bytes"), *columns), partial(_cut, length=length), fields)
+    fields = f"doc_id long, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}, n_bytes long{types}"
+    cut = arrow_map(joined.select("doc_id", "text", "runs", F.octet_length("text").cast("long").alias("n_bytes"), *columns), partial(_cut, length=length, as_text=as_text), fields)
     return cut.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry or [])})
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows with repeats cut out of their text; other columns stay, n_chars counts the text anew if there is one."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = remove_repeats(docs, length, others, as_text=True)
+    values = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType if "n_chars" in others else "long")}
+    return cut.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def op7_repeats(spark, sf_dir):
     rows = remove_repeats(scan(spark, sf_dir, "documents", "doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
