@@ -157,7 +157,10 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text"
     columns = docs.columns
     at, df = _At(docs), docs
     for rule in ordered_rules(docs, rules if rules is not None else BASE + FURTHER, text):
-        df = _measured(df, [rule], at, text).where(~F.coalesce(rule.rejects(at), F.lit(False)))
+        # A filter that names the task's number stays above the measures; else the optimiser would repeat them inside it.
+        here = at.name(f"task_{rule.name}")
+        df = _measured(df, [rule], at, text).withColumn(here, F.spark_partition_id())
+        df = df.where(~F.coalesce(rule.rejects(at), F.lit(False)) & (F.col(here) >= 0))
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
