@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words remembered in one Python worker; beyond it the memory starts anew.
-MEMORY_WORDS = 1_000_000
+#: Words remembered in one Python worker, in two halves: a full new half becomes the old one, whose words are forgotten
+#: unless they occur again.
+MEMORY_WORDS = 1_200_000
 #: Words sent to the library in one call.
 CALL_WORDS = 128
 #: Characters that may stand between words in a call; one is chosen that the vocabulary encodes as a single id.
@@ -39,6 +40,7 @@ class WordTokenizer:
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         for mark in SEPARATORS:
             ids = self.library.encode(f"a {mark} b", add_special_tokens=False).ids
             if len(ids) == 3 and ids == [*self._ids("a"), *self._ids(mark), *self._ids("b")]:
@@ -58,28 +60,33 @@ class WordTokenizer:
             if match:
                 plain[word] = match[1].lower(), match[2]
         rest = [w for w in words if w not in plain]
-        self.known.update((w, self._bytes(w)) for w in rest if self.mark in w)
-        stems = {stem for stem, _ in plain.values()}
-        self._call([w for w in (*stems, *{end for _, end in plain.values()}, *rest) if w not in self.known])
-        for word, (stem, end) in plain.items():
-            self.known[word] = self.known[stem] + self.known[end]
+        due = {w for w in rest if self.mark not in w}
+        for stem, end in plain.values():
+            due.add(stem)
+            due.add(end)
+        due.discard("")
+        found = self._call([w for w in due if w not in self.known])
+        find = lambda w: found[w] if w in found else self.known[w]
+        self.known.update({w: find(stem) + find(end) for w, (stem, end) in plain.items()} | {w: found[w] if self.mark not in w else self._bytes(w) for w in rest})
 
     def _bytes(self, word: str) -> bytes:
         return np.array(self._ids(word), self.dtype).tobytes()
 
-    def _call(self, words: list[str]) -> None:
+    def _call(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that do not hold the separator, many in a call."""
         calls = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
-        found = self.library.encode_batch_fast([f" {self.mark} ".join(c) for c in calls], add_special_tokens=False)
+        found = {}
         width = self.dtype.itemsize
-        for call, encoding in zip(calls, found, strict=True):
+        for call, encoding in zip(calls, self.library.encode_batch_fast([f" {self.mark} ".join(c) for c in calls], add_special_tokens=False), strict=True):
             ids = np.array(encoding.ids, self.dtype)
             ends = [*(np.flatnonzero(ids == self.mark_id) * width).tolist(), len(ids) * width]
             data, start = ids.tobytes(), 0
             if len(ends) != len(call):
                 raise ValueError("separators were lost in encoding")
             for word, end in zip(call, ends, strict=True):
-                self.known[word] = data[start:end]
+                found[word] = data[start:end]
                 start = end + width
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column in a row, and where each text begins (and the last one ends)."""
@@ -89,10 +96,12 @@ class WordTokenizer:
         split = pc.split_pattern(texts, " ")
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > MEMORY_WORDS // 2:
+            self.known, self.old = {"": b""}, self.known
         fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > MEMORY_WORDS:
-            self.known, fresh = {"": b""}, [w for w in distinct if w]
-        self._learn(fresh)
+        again = [w for w in fresh if w in self.old]
+        self.known.update((w, self.old[w]) for w in again)
+        self._learn([w for w in fresh if w not in self.known] if again else fresh)
         parts = [self.known[w] for w in distinct]
         table = np.frombuffer(b"".join(parts), self.dtype)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
