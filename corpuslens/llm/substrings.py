@@ -34,10 +34,10 @@ LENGTH = 200
 #: Bytes of an anchor, and of a symbol of the transforms (LENGTH is a multiple of it).
 ANCHOR, STRIDE = 64, 50
 #: Bytes of contexts in a shard, and of those merged at once; contexts of one anchor always are.
-SHARD_BYTES, MERGE_BYTES = 1 << 18, 3 << 20
+SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
 #: An anchor with more occurrences is dealt out string by string.
 HOT_ROWS = 100_000
-_SLOTS = 23
+_SLOTS = 22
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _BYTES = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -107,9 +107,8 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             if len(data) < length:
                 continue
             anchor, first, last, whole = contexts_of(data, length)
-            pairs = np.stack([anchor, _context_id(whole, first, last)])
-            pairs, often = np.unique(pairs, axis=1, return_counts=True)
-            found.append((pairs[0], pairs[1], np.full(len(often), key, np.int64), often))
+            context, at, often = np.unique(_context_id(whole, first, last), return_index=True, return_counts=True)
+            found.append((anchor[at], context, np.full(len(often), key, np.int64), often))
         if found:
             anchor, context, key, often = (np.concatenate(x) for x in zip(*found, strict=True))
             yield output({"anchor": (_signed(anchor), pa.int64()), "context": (_signed(context), pa.int64()), "key": (key, pa.int64()), "often": (often, pa.int32())})
@@ -169,7 +168,7 @@ class _Contexts:
 
 
 #: Bytes of distinct contexts that a task holds before it hands them on.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 64 << 20
 CONTEXTS = "kind string, doc_id long, key long, first long, last long, context long, anchor long, often long, bytes binary"
 
 
@@ -179,7 +178,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         lists = [[none if v is None else np.array(v, np.int64) for v in batch.column(i).to_pylist()] for i in (3, 4, 5)]
         for doc_id, key, text, *known in zip(*(batch.column(i).to_pylist() for i in range(3)), *lists, strict=True):
             gathered.text(doc_id, key, text.encode(), *known)
-        if sum(len(t[0]) for t in gathered.texts.values()) + 40 * len(gathered.rows) > HELD_BYTES:
+        if sum(len(t[0]) + 300 for t in gathered.texts.values()) + 300 * len(gathered.rows) > HELD_BYTES:
             yield gathered.flush()
     yield gathered.flush()
 
@@ -190,6 +189,7 @@ def shard_transform(symbols: np.ndarray, following: np.ndarray, depth: int) -> t
     symbols has the symbol at each place, 0 at a sequence's end; following the place after it (an end's is the end).
     """
     rank, done, ahead = symbols.astype(np.uint64), 1, following
+    order = np.argsort(rank) if depth == 1 else None
     while done < depth:
         step = min(done, depth - done)
         if step < done:
@@ -197,13 +197,12 @@ def shard_transform(symbols: np.ndarray, following: np.ndarray, depth: int) -> t
             for _ in range(step):
                 ahead = following[ahead]
         pair = rank << np.uint64(32) | rank[ahead]
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         ordered = pair[order]
         rank = np.empty(len(pair), np.uint64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.uint64)
         done += step
         ahead = ahead[ahead]
-    order = np.argsort(rank, kind="stable")
     before = np.zeros(len(symbols), np.uint32)
     inner = np.flatnonzero(symbols)
     before[following[inner]] = symbols[inner]
@@ -257,6 +256,8 @@ def repeated_in(contexts: list[bytes], often: np.ndarray, length: int) -> list[t
     if not len(first):
         return []
     owner = np.searchsorted(begins, first, "right") - 1
+    apart = (owner[1:] != owner[:-1]) | (first[1:] - last[:-1] >= length)  # runs that share bytes are one text
+    first, last, owner = first[np.append(True, apart)], last[np.append(apart, True)], owner[np.append(True, apart)]
     found = _intervals(hashes, first, last - first + length, often[owner], length)
     return [(int(owner[i]), int(first[i] - begins[owner[i]]) + a, int(first[i] - begins[owner[i]]) + b) for i, a, b in found]
 
