@@ -423,7 +423,7 @@ def bootstrap_mean_ci(
     n = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     draws = vals.join(n, groups).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("_b"), F.col("_i"))
-    hit = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("_n")
+    hit = F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long") % F.col("_n")
     counts = draws.groupBy(*groups, "_b", hit.alias("_i")).agg(F.count(F.lit(1)).alias("_c"))
     means = counts.join(vals, [*groups, "_i"]).groupBy(*groups, "_b").agg(
         (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_m")

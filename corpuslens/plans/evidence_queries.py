@@ -41,7 +41,7 @@ def expand_parents(spark, sf):
 
 LOCAL_Q = (
     "lq AS (SELECT doc_id AS query_id, doc_id, b.text AS query_text, CASE doc_id % 5 WHEN 0 THEN 'comparison' WHEN 1 THEN 'relation_two' WHEN 2 THEN 'abstract' WHEN 3 THEN 'full_summary' ELSE 'fact' END AS kind "
-    "FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+    "FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 )
 
 
@@ -50,7 +50,7 @@ def local_queries(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("_i"), F.col("text").alias("query_text"))
     m = F.col("doc_id") % 5
     kind = F.when(m == 0, "comparison").when(m == 1, "relation_two").when(m == 2, "abstract").when(m == 3, "full_summary").otherwise("fact")
-    d = views.docs(spark, sf).select(F.col("doc_id").alias("query_id"), "doc_id", (F.col("doc_id") % 40).alias("_i"), kind.alias("kind"))
+    d = views.docs(spark, sf).select(F.col("doc_id").alias("query_id"), "doc_id", (F.col("doc_id") % b.count()).alias("_i"), kind.alias("kind"))
     return d.join(b, "_i").drop("_i")
 
 
@@ -95,7 +95,7 @@ def overlap_graph(spark, sf):
 AUG = (
     *PARENTS,
     "aq AS (SELECT b.item_id AS query_id, d.doc_id, b.text || CASE b.item_id % 4 WHEN 0 THEN ' which method and sample' WHEN 1 THEN ' how many and how much' WHEN 2 THEN ' important weight percent' ELSE ' “' || string_split(d0.text, '. ')[1] || '”' END AS query_text "
-    "FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id JOIN documents d0 ON d0.doc_id = b.item_id)",
+    "FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id JOIN documents d0 ON d0.doc_id = b.item_id)",
     "rk AS (SELECT query_id, d AS doc_id, 1 AS chunk_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d) AS INT) AS rank FROM (SELECT query_id, min(doc_id) AS d FROM aq GROUP BY query_id UNION ALL SELECT query_id, max(doc_id) FROM aq GROUP BY query_id HAVING min(doc_id)<max(doc_id)))",
     f"aj AS (SELECT q.query_id, q.query_text, {S.terms('q.query_text')} AS qt, p.doc_id, p.chunk_index, p.page, p.parent_role, p.text, {S.terms('p.text')} AS tt, {S.terms(QUOTE_SQL)} AS qq "
     "FROM aq q JOIN pt p ON p.doc_id=q.doc_id WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.query_id=q.query_id AND rk.doc_id=p.doc_id AND rk.chunk_index=p.chunk_index))",
@@ -127,7 +127,7 @@ def augment(spark, sf, policy: str):
         .otherwise(F.concat(F.lit(" “"), F.col("_s"), F.lit("”")))
     )
     q = b.join(quote, "query_id").select("query_id", F.concat("text", tail).alias("query_text"))
-    q = q.join(d.select("doc_id", (F.col("doc_id") % 40).alias("query_id")), "query_id")
+    q = q.join(d.select("doc_id", (F.col("doc_id") % b.count()).alias("query_id")), "query_id")
     ends = q.groupBy("query_id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     rows = F.array_distinct(F.array("a", "b"))
     ranking = ends.select("query_id", F.posexplode(rows).alias("_p", "doc_id"), F.lit(1).alias("chunk_index")).withColumn("rank", F.col("_p") + 1)
@@ -182,7 +182,7 @@ COVER = (
     *PARENTS,
     "cv AS (SELECT doc_id AS answer_id, chunk_index AS pos, replace(parent_title,'Discussion','Conclusion') AS k, source, page, CASE WHEN chunk_index%3=0 THEN page+1 END AS page_end FROM pt)",
     "rq AS (SELECT answer_id, k, min(pos) AS pos FROM cv GROUP BY ALL)",
-    "us AS (SELECT answer_id, k, min(100-pos) AS u FROM cv WHERE pos%5<>4 AND pos<=100 GROUP BY ALL)",
+    "us AS (SELECT answer_id, k, min(-pos) AS u FROM cv WHERE pos%5<>4 GROUP BY ALL)",
     "cg AS (SELECT answer_id, list(k ORDER BY u) AS covered FROM us GROUP BY 1)",
     "rg AS (SELECT answer_id, list(k ORDER BY pos) AS required FROM rq GROUP BY 1)",
     "pg AS (SELECT answer_id, list_sort(list_distinct(flatten(list(range(page, coalesce(page_end,page)+1))))) AS pages FROM cv GROUP BY 1)",
@@ -198,8 +198,8 @@ def coverage_frames(spark, sf):
         "source", "page", F.when(F.col("chunk_index") % 3 == 0, F.col("page") + 1).alias("page_end"), "doc_id",
     )
     req = ev.groupBy("answer_id", "coverage_key").agg(F.min("pos").alias("pos"))
-    used = ev.filter((F.col("pos") % 5 != 4) & (F.col("pos") <= 100)).select(
-        "answer_id", (100 - F.col("pos")).alias("pos"), F.concat(F.lit("e"), F.col("pos").cast("string")).alias("evidence_id")
+    used = ev.filter(F.col("pos") % 5 != 4).select(
+        "answer_id", (-F.col("pos")).alias("pos"), F.concat(F.lit("e"), F.col("pos").cast("string")).alias("evidence_id")
     )
     return ev, req, used
 

@@ -217,7 +217,7 @@ def cohens_kappa(spark, sf):
     S.ctes(
         "vals AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, quality::DOUBLE AS v FROM labels JOIN documents USING (doc_id))",
         "ns AS (SELECT lang, count(*) AS n FROM vals GROUP BY lang)",
-        "dr AS (SELECT lang, b, CAST(('0x' || substring(md5('17:' || b || ':' || i),1,8)) AS BIGINT) % n AS j FROM vals JOIN ns USING (lang), (SELECT unnest(range(2000)) AS b))",
+        "dr AS (SELECT lang, b, CAST(('0x' || substring(md5('17:' || b || ':' || i),1,15)) AS BIGINT) % n AS j FROM vals JOIN ns USING (lang), (SELECT unnest(range(2000)) AS b))",
         "ms AS (SELECT dr.lang, b, avg(v) AS m FROM dr JOIN vals ON vals.lang=dr.lang AND vals.i=dr.j GROUP BY ALL)",
         "so AS (SELECT lang, list_sort(list(m)) AS s FROM ms GROUP BY lang)",
     )

@@ -51,7 +51,7 @@ def bm25_topk(spark, sf):
     "r4_bm25_pages",
     S.ctes(
         S.PAGES,
-        "v_lq AS (SELECT item_id AS query_id, text AS query_text, l.lang FROM benchmark CROSS JOIN (SELECT unnest(['en','fr','de','es']) AS lang) l)",
+        "v_lq AS (SELECT item_id AS query_id, text AS query_text, l.lang FROM benchmark CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l)",
         S.bm25("v_pages", "doc_id, page", K, k1=1.2, dedupe=False, scope="lang", floor=False, queries="v_lq"),
     ).replace("sum(qtf", "lang, sum(qtf").replace("GROUP BY query_id, doc_id, page)", "GROUP BY query_id, lang, doc_id, page)").replace(
         "PARTITION BY query_id ORDER", "PARTITION BY query_id, lang ORDER"
@@ -60,8 +60,8 @@ def bm25_topk(spark, sf):
 )
 def bm25_pages(spark, sf):
     """Each query searches the pages of one language scope at a time, statistics per scope."""
-    langs = F.explode(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]))
-    q = views.queries(spark, sf).withColumn("lang", langs)
+    langs = table(spark, sf, "documents").agg(F.collect_set("lang").alias("_langs"))  # one row, as long as there are languages
+    q = views.queries(spark, sf).crossJoin(F.broadcast(langs)).withColumn("lang", F.explode("_langs")).drop("_langs")
     tagged = q.withColumn("query_id", F.concat_ws("|", "query_id", "lang"))
     pages = views.pages(spark, sf)
     top = R.bm25_topk(tagged, pages, ["doc_id", "page"], K, k1=1.2, dedupe_query_terms=False, scope=["lang"], floor_average=False)

@@ -24,14 +24,16 @@ Cols = Sequence[str]
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """File stream over one table (a file or folder of that name), zone-less timestamps read as UTC."""
+    """File stream over one table, a file or a folder of files, zone-less timestamps read as UTC.
+
+    The path is a pattern that only the table's own name fits; a stream takes a single file only by a pattern.
+    """
     use_utc(spark)
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
     raw = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(directory)
+        .parquet(f"{directory}/{name}.parque[t]")
     )
     zoneless = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return raw.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else raw
