@@ -113,6 +113,7 @@ def term_overlap_topk(queries: DataFrame, chunks: DataFrame, keys: Cols, k: int,
 
 MAX_BROADCAST_VALUES = 8_000_000  # floats in a query matrix that may be shipped to every task
 QUERY_BLOCK = 2048
+QUERY_TILE = 512
 VECTOR_BLOCKS = 64
 
 
@@ -122,6 +123,11 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _whole_vectors(df: DataFrame, size: int) -> DataFrame:
+    """Rows whose vector has this length and no null: the others cannot be compared."""
+    return df.filter((F.size("embedding") == size) & F.forall("embedding", lambda x: x.isNotNull()))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     norms[norms == 0] = np.nan
@@ -165,8 +171,10 @@ def dense_topk(
     """
     q = queries.select(F.col("query_id").cast("long"), "embedding")
     v = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    head = q.limit(1).select(F.size("embedding").alias("d")).collect()
-    if not head:
+    head = q.filter(F.size("embedding") > 0).limit(1).select(F.size("embedding").alias("d")).collect()
+    if head:
+        q, v = _whole_vectors(q, head[0]["d"]), _whole_vectors(v, head[0]["d"])
+    else:
         return q.select("query_id", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score"),
                         F.lit(None).cast("int").alias("rank")).limit(0)
     bound = max(1, max_broadcast // max(1, head[0]["d"]))
@@ -180,8 +188,10 @@ def dense_topk(
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, m = shipped.value
             for batch in batches:
-                if batch.num_rows:
-                    yield _local_top(ids, m, batch["vec_id"].to_numpy(), _as_matrix(batch["embedding"]), k, skip_self)
+                vectors_ = _as_matrix(batch["embedding"])
+                for at in range(0, len(ids) if batch.num_rows else 0, QUERY_TILE):  # the product stays a tile
+                    tile = slice(at, at + QUERY_TILE)
+                    yield _local_top(ids[tile], m[tile], batch["vec_id"].to_numpy(), vectors_, k, skip_self)
 
         local = v.mapInArrow(score, schema)
     else:

@@ -55,3 +55,28 @@ def test_newest_status_in_update_mode(spark, tmp_path):
     J.drain(J.latest_status(e), path, "update")
     got = {r["asset_id"]: (r["status"], r["quality_score"]) for r in J.results(spark, path, ["asset_id"]).collect()}
     assert got == {"a": ("uploaded", None), "b": ("scanned", 0.5)}
+
+
+def test_throttle_stream_equals_batch_for_a_busy_key_in_any_order(spark, tmp_path):
+    """More rows of one key than an Arrow batch holds, unordered, over several files of one micro-batch."""
+    n = 25_000
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.lit("a").alias("user"),
+        (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=(F.col("id") * 7919 % n) * F.lit(7))).alias("created_at"),
+    )
+    folder = str(tmp_path / "busy.parquet")
+    rows.repartition(5).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    batch = {r["event_id"]: r["decision"] for r in J.throttle(stored, "user", "created_at", "event_id", 10, 20, 600).collect()}
+    path = fresh_path(spark, "busy")
+    J.drain_append(J.throttle_stream(J.table_stream(spark, str(tmp_path), "busy"), "user", "created_at", "event_id", 10, 20, 600), path)
+    got = {r["event_id"]: r["decision"] for r in J.results(spark, path).collect()}
+    assert len(got) == n and got == batch
+
+
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "things.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "things_other.parquet"))
+    path = fresh_path(spark, "folder")
+    J.drain_append(J.table_stream(spark, str(tmp_path), "things"), path)
+    assert J.results(spark, path).count() == 100
