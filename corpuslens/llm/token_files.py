@@ -33,7 +33,7 @@ HEADER = struct.Struct("<8s7Q")
 END_ID = 1
 #: Tokens of a file, passes over it, rules of a pass, and uses that a rule needs.
 FILE_TOKENS, PASSES, PASS_RULES, MIN_USES = 2_000_000, 3, 5000, 8
-_SLOTS, _MIX = 18, np.uint64(0x9E3779B97F4A7C15)
+_SLOTS, _MIX = 18, 0x9E3779B97F4A7C15
 
 
 def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,11 +42,15 @@ def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarr
     Re-Pair in passes: a pass counts all pairs inside documents, gives the most frequent ones a nonterminal each, and
     replaces them from the left without overlap; the next pass sees the new symbols.
     """
-    symbols, rules = tokens.astype(np.uint64), []
+    # Two symbols of 16 bits make a 32-bit pair, else a 64-bit one.
+    narrow = first + PASSES * PASS_RULES < 1 << 16
+    kind, half, bits = (np.uint32, 16, 32) if narrow else (np.uint64, 32, 64)
+    mix, shift = kind(_MIX & (2**bits - 1) | 1), kind(bits - _SLOTS)
+    symbols, rules = tokens.astype(kind), []
     for _ in range(PASSES):
         if len(symbols) < 2:
             break
-        pairs = symbols[:-1] << np.uint64(32) | symbols[1:]
+        pairs = symbols[:-1] << kind(half) | symbols[1:]
         inside = ~ends[:-1]
         ordered = np.sort(pairs[inside])
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.array([], int)
@@ -57,11 +61,11 @@ def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarr
             break
         chosen = ordered[starts[often]]
         # Direct lookup by a mixed slot; of pairs that share a slot the most frequent is kept, the rest wait for the next pass.
-        slot_of = (chosen * _MIX >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        slots, which = np.full(1 << _SLOTS, np.uint64(2**64 - 1)), np.zeros(1 << _SLOTS, np.uint64)
+        slot_of = chosen * mix >> shift
+        slots, which = np.full(1 << _SLOTS, kind(2**bits - 1)), np.zeros(1 << _SLOTS, np.int32)
         slots[slot_of[::-1]] = chosen[::-1]
-        which[slot_of[::-1]] = np.arange(len(chosen), dtype=np.uint64)[::-1]
-        place = (pairs * _MIX >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        which[slot_of[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        place = pairs * mix >> shift
         hit = np.flatnonzero((slots[place] == pairs) & inside)
         if not len(hit):
             break
@@ -69,8 +73,8 @@ def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarr
         since = np.arange(len(hit)) - np.flatnonzero(run)[np.cumsum(run) - 1]
         hit = hit[since % 2 == 0]  # neighbouring hits overlap: every second one of a run
         used, index = np.unique(which[place[hit]], return_inverse=True)
-        symbols[hit] = np.uint64(first + len(rules)) + index.astype(np.uint64)
-        rules.extend((int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in chosen[used.astype(np.int64)])
+        symbols[hit] = kind(first + len(rules)) + index.astype(kind)
+        rules.extend((int(p) >> half, int(p) & (1 << half) - 1) for p in chosen[used])
         ends[hit] = ends[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False

@@ -109,8 +109,9 @@ class WordTokenizer:
         which = words.indices.to_numpy(zero_copy_only=False)
         lengths = sizes[which]
         ends = np.cumsum(lengths)
-        source = np.repeat(begins[which] - (ends - lengths), lengths)
-        source += np.arange(len(source))
+        kind = np.int32 if max(len(table), ends[-1] if len(ends) else 0) < 1 << 31 else np.int64
+        source = np.repeat((begins[which] - (ends - lengths)).astype(kind), lengths)
+        source += np.arange(len(source), dtype=kind)
         at = np.concatenate([[0], ends])[np.asarray(split.offsets) - split.offsets[0].as_py()]
         return table[source], at
 
