@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, dealt, output, scan, stored, stored_map
+from corpuslens.llm.common import arrow_map, dealt, output, scan, stored, stored_map, unused_name
 
 LENGTH = 200
 #: Bytes of an anchor, and of a symbol of the transforms (LENGTH is a multiple of it).
@@ -377,7 +377,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     """doc_id, spans (byte ranges removed), kept (the bytes that remain), n_bytes and the columns named in `carry`.
 
     Every byte that a string of `length` bytes covers which also starts anywhere else, in the same text or another, is
-    removed; strings are judged on the texts as they came. Null texts are empty; texts shorter than `length` stay
+    removed; strings are judged on the texts as they came. A carried column whose name is taken gets underscores before
+    it. Null texts are empty; texts shorter than `length` stay
     whole; null doc_ids and repeated rows count like any other (repeated long texts vanish); an empty table gives no
     rows; columns not named are not read. With as_text, kept is text without the characters that a cut has split.
     """
@@ -394,15 +395,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     types = "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry or []))
     fields = f"doc_id long, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}, n_bytes long{types}"
     cut = arrow_map(joined.select("doc_id", "text", "runs", F.octet_length("text").cast("long").alias("n_bytes"), *columns), partial(_cut, length=length, as_text=as_text), fields)
-    return cut.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry or [])})
+    names = ["doc_id", "spans", "kept", "n_bytes"]
+    for c in carry or []:
+        names.append(unused_name(c, names))
+    return cut.toDF(*names)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows with repeats cut out of their text; other columns stay, n_chars counts the text anew if there is one."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = remove_repeats(docs, length, others, as_text=True)
-    values = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType if "n_chars" in others else "long")}
-    return cut.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    at = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{c: F.col(f"`{name}`") for c, name in zip(others, cut.columns[4:], strict=True)}}
+    if "n_chars" in at:
+        at["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[at[c].alias(c) for c in docs.columns])
 
 
 def op7_repeats(spark, sf_dir):
