@@ -56,6 +56,11 @@ def delete_keys(base: DataFrame, doomed: DataFrame, keys: Cols) -> tuple[DataFra
     return base.join(gone, list(keys), "left_anti"), base.join(gone, list(keys), "left_semi")
 
 
+def count_indexed(chunks: DataFrame, **scopes: Column) -> DataFrame:
+    """One row: indexed chunks in all, and those of each named scope, from one pass."""
+    return chunks.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(condition).alias(name) for name, condition in scopes.items()])
+
+
 def list_chunks(
     chunks: DataFrame,
     owner: str | None = None,

@@ -26,8 +26,9 @@ NOW = datetime.datetime(2000, 1, 1)
 @query("s1_read_corpus", "SELECT doc_id, 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' ELSE '.PDF' END AS filename, 'text' AS category FROM documents WHERE doc_id % 4 < 2 OR doc_id % 3 = 0")
 def read_corpus(spark, sf):
     ext = F.when(F.col("doc_id") % 3 == 0, ".txt").when(F.col("doc_id") % 4 < 2, ".PDF").when(F.col("doc_id") % 4 == 2, ".png").otherwise(".zip")
-    named = views.docs(spark, sf).withColumn("filename", F.concat(F.lit("d"), F.col("doc_id").cast("string"), ext))
-    return readers.with_category(named).select("doc_id", "filename", "category")
+    path = fresh_path(spark, "corpus")
+    views.docs(spark, sf).withColumn("filename", F.concat(F.lit("d"), F.col("doc_id").cast("string"), ext)).write.parquet(path)
+    return readers.read_corpus(spark, path).select("doc_id", "filename", "category")
 
 
 @query(
@@ -122,7 +123,7 @@ def write_chunks(spark, sf):
 
 @query("s9_count_indexed", S.ctes(S.CHUNKS) + "SELECT count(*) AS n, count(*) FILTER (WHERE source='src2') AS n_src2 FROM v_chunks")
 def count_indexed(spark, sf):
-    return views.chunks(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "src2").alias("n_src2"))
+    return B.count_indexed(views.chunks(spark, sf), n_src2=F.col("source") == "src2")
 
 
 # --------------------------------------------------------------------------------------------- filters
@@ -216,6 +217,18 @@ def non_answer_filter(spark, sf):
     return B.non_answer_filter(t).select("doc_id", "line_no")
 
 
+@query(
+    "p4_roles_given",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'references' WHEN 1 THEN 'abstract' END AS parent_role FROM documents WHERE doc_id % 4 < 2",
+)
+def roles_given(spark, sf):
+    from corpuslens.operators import corpus as C
+
+    k = F.col("doc_id") % 4
+    c = views.docs(spark, sf).select("doc_id", F.when(k == 0, "references").when(k == 1, "abstract").when(k == 2, "body").alias("parent_role"))
+    return C.role_filter(c, ["references", "abstract"])
+
+
 @query(
     "p4_role_filter",
     S.ctes(
@@ -557,6 +570,18 @@ def sample_report(spark, sf):
     return Q.sample_report(Q.stratified_sample(c, QUOTAS, 17), ["stratum", "filename"])
 
 
+@query(
+    "q4_check_sample",
+    S.ctes(
+        "s AS (SELECT lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('17:' || doc_id), doc_id) AS r FROM documents) WHERE r <= CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 3 ELSE 2 END)"
+    )
+    + "SELECT count(*) AS selected, count(DISTINCT source) AS documents, 0::BIGINT AS fixtures, true AS valid FROM s",
+)
+def sample_check(spark, sf):
+    c = views.docs(spark, sf).select(F.col("lang").alias("stratum"), F.col("doc_id").alias("query_id"), F.col("source").alias("filename"))
+    return Q.check_sample(Q.stratified_sample(c, QUOTAS, 17), size=12, documents=2)
+
+
 @query(
     "q5_verify_assets",
     "SELECT doc_id AS asset_id, doc_id%7<>0 AND doc_id%11<>0 AND doc_id%13<>0 AND (CASE WHEN doc_id%3=0 THEN doc_id%2=0 ELSE doc_id%3=1 END) AS verified FROM documents",
