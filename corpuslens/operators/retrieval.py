@@ -244,19 +244,20 @@ def dense_topk_approx(queries: DataFrame, vectors: DataFrame, k: int, bucket: fl
 
 
 def hash_embed(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
-    """Deterministic stand-in for a model: signed hashed bag of tokens."""
+    """Deterministic stand-in for a model: signed hashed bag of tokens, by the first eight digits of each token's MD5."""
 
     def embed(texts: pd.Series) -> list[np.ndarray]:
+        import hashlib
         import re
-        import zlib
 
+        known: dict[str, int] = {}
         out = []
         for t in texts:
-            v = np.zeros(dim, dtype=np.float64)
-            for tok in re.findall(r"\w+", (t or "").lower()):
-                h = zlib.crc32(tok.encode("utf-8"))
-                v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-            out.append(v)
+            found = re.findall(r"\w+", (t or "").lower())
+            for tok in set(found) - known.keys():
+                known[tok] = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16)
+            h = np.array([known[tok] for tok in found], np.int64)
+            out.append(np.bincount(h % dim, np.where(h >> 16 & 1, 1.0, -1.0), dim))
         return out
 
     return embed

@@ -420,14 +420,25 @@ def scope_language(spark, sf):
     return R.scope_language(views.docs(spark, sf), ["source"])
 
 
-@query("r16_embed_corpus")
+@query(
+    "r16_embed_corpus",
+    S.ctes(
+        S.CHUNKS,
+        "tk AS (SELECT doc_id, chunk_index, ('0x' || substring(md5(t),1,8))::BIGINT AS h FROM (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM v_chunks WHERE chunk_index % 3 <> 0))",
+        "dm AS (SELECT doc_id, chunk_index, h % 64 AS d, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM tk GROUP BY ALL)",
+        "nm AS (SELECT doc_id, chunk_index, CASE WHEN sum(v*v) > 0 THEN sum(d*v)/sqrt(sum(v*v)) ELSE 0 END AS n FROM dm GROUP BY ALL)",
+        "rd AS (SELECT doc_id, chunk_index, list_sum(list_transform(range(1, 65), lambda i: ((i-1) * (chunk_index % i))::DOUBLE))/sqrt(list_sum(list_transform(range(1, 65), lambda i: ((chunk_index % i) * (chunk_index % i))::DOUBLE))) AS n FROM v_chunks WHERE chunk_index % 3 = 0)",
+    )
+    + "SELECT c.doc_id, count(*) AS n, round(sum(coalesce(nm.n, rd.n, 0)), 4) AS weighted FROM v_chunks c LEFT JOIN nm USING (doc_id, chunk_index) LEFT JOIN rd USING (doc_id, chunk_index) GROUP BY c.doc_id",
+)
 def embed_corpus(spark, sf):
     """Every third chunk arrives with a vector; the hook fills the others. One row per document."""
     c = views.chunks(spark, sf)
     ready = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.col("chunk_index") % i).cast("double"))
     c = c.select(*KEYS, "text", F.when(F.col("chunk_index") % 3 == 0, ready).alias("embedding"))
     e = R.embed_corpus(c, R.hash_embed(64))
-    return e.groupBy("doc_id").agg(F.count("embedding").alias("n"), F.round(F.sum(V.norm(F.col("embedding"))), 4).alias("norms"))
+    weighted = F.aggregate(F.transform("embedding", lambda v, i: v * i), F.lit(0.0), lambda total, v: total + v)
+    return e.groupBy("doc_id").agg(F.count("embedding").alias("n"), F.round(F.sum(F.coalesce(F.nanvl(weighted, F.lit(0.0)), F.lit(0.0))), 4).alias("weighted"))
 
 
 @query(
