@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import arrow_map, scan
 
-#: Pieces, single tokens and token pairs remembered in one Python worker.
-MEMORY_PIECES, MEMORY_PAIRS = 800_000, 600_000
+#: Pieces and token pairs remembered in one Python worker.
+MEMORY_PIECES, MEMORY_PAIRS = 400_000, 600_000
 #: Pieces of a text that are held at once.
 BLOCK_PIECES = 200_000
 LONG_TEXT = 1_000_000
@@ -153,16 +153,19 @@ class ByteBpe:
 
 
 class _Pieces(dict):
-    """Pieces already encoded."""
+    """Pieces already encoded, in two halves: when the new one is full it becomes the old one, from which pieces that
+    occur again come back."""
 
     def __init__(self, encode: Callable[[str], tuple[int, ...]]):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.encode(piece)
+        found = self.old.get(piece) or self.encode(piece)
         if len(piece) <= 64:
-            if len(self) >= MEMORY_PIECES:
+            if len(self) >= MEMORY_PIECES // 2:
+                self.old = dict(self)
                 self.clear()
             self[piece] = found
         return found
