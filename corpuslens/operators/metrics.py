@@ -444,6 +444,12 @@ def judge_summary(results: DataFrame, dimensions: Cols) -> DataFrame:
     )
 
 
+def judge_composite(results: DataFrame, score: str, order: Cols, bucket: Column) -> DataFrame:
+    """One row: mean composite score, number of cases, and the bootstrap interval of the mean."""
+    means = results.agg(F.avg(score).alias("mean_composite_score"), F.count(score).alias("count"))
+    return means.join(F.broadcast(bootstrap_mean_ci(results, score, order, bucket)), F.lit(True))
+
+
 def score_histogram(results: DataFrame, score: str) -> DataFrame:
     return results.groupBy(F.col(score).cast("string").alias("score")).agg(F.count(F.lit(1)).alias("count"))
 

@@ -242,6 +242,26 @@ def judge_summary(spark, sf):
     return M.judge_summary(r, dims).select("dimension", F.round("mean", 6).alias("mean"), "pass_count", "count")
 
 
+@query(
+    "a14_judge_composite",
+    S.ctes(
+        S.EVAL,
+        "vals AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS i, (answer_correct::INT + grounded::INT + citation_page_correct::INT) / 3.0::DOUBLE AS v FROM v_eval)",
+        "ns AS (SELECT count(*) AS n FROM vals)",
+        "dr AS (SELECT b, CAST(('0x' || substring(md5('17:' || b || ':' || i),1,15)) AS BIGINT) % n AS j FROM vals, ns, (SELECT unnest(range(2000)) AS b))",
+        "ms AS (SELECT b, avg(v) AS m FROM dr JOIN vals ON vals.i=dr.j GROUP BY b)",
+        "so AS (SELECT list_sort(list(m)) AS s FROM ms)",
+    )
+    + "SELECT (SELECT round(avg(v),6) FROM vals) AS mean_composite_score, (SELECT n FROM ns) AS count, round(s[51],6) AS low, round(s[1950],6) AS high FROM so",
+)
+def judge_composite(spark, sf):
+    dims = ["answer_correct", "grounded", "citation_page_correct"]
+    score = sum((F.col(d).cast("int") for d in dims), F.lit(0)) / 3.0
+    r = views.eval_records(spark, sf).select("case_id", score.alias("score"))
+    c = M.judge_composite(r, "score", ["case_id"], F.floor(F.col("case_id") / 4096))
+    return c.select(*[F.round(x, 6).alias(x) if x != "count" else F.col(x) for x in ("mean_composite_score", "count", "low", "high")])
+
+
 @query(
     "a14_judge_disagreements",
     S.ctes(S.EVAL)
