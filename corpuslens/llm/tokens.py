@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,8 @@ CALL_WORDS = 128
 SEPARATORS = "§¶•¤†‡"
 
 
-#: Words whose case and last mark the vocabulary's normaliser and splitter treat letter by letter.
-_PLAIN = re.compile(r"([0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
+#: Words whose case the vocabulary's normaliser treats letter by letter, and whose last marks its splitter cuts off.
+_PLAIN = re.compile(r"([0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordTokenizer:
@@ -39,6 +40,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         for mark in SEPARATORS:
@@ -53,7 +55,10 @@ class WordTokenizer:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        """Sends what is new to the library: plain words in lower case and without a last full stop or comma."""
+        """Sends what is new to the library: plain words in lower case and without their last marks.
+
+        Words of a to z pass the normaliser and the splitter as they are, so they go to the merges at once.
+        """
         plain: dict[str, tuple[str, str]] = {}
         for word in words:
             match = _PLAIN.fullmatch(word)
@@ -65,7 +70,10 @@ class WordTokenizer:
             due.add(stem)
             due.add(end)
         due.discard("")
-        found = self._call([w for w in due if w not in self.known])
+        due = [w for w in due if w not in self.known]
+        found = self._call([w for w in due if not (w.isascii() and w.isalpha())])
+        merges = self.library.model.tokenize
+        found.update((w, array(self.code, [t.id for t in merges(w)]).tobytes()) for w in due if w.isascii() and w.isalpha())
         find = lambda w: found[w] if w in found else self.known[w]
         self.known.update({w: find(stem) + find(end) for w, (stem, end) in plain.items()} | {w: found[w] if self.mark not in w else self._bytes(w) for w in rest})
 
