@@ -27,6 +27,7 @@ def ingest_stream(spark, sf):
     path = fresh_path(spark, "ingest")
     raw = J.table_stream(spark, sf, "documents")
     J.ingest_stream(raw.select("doc_id", views.markdown_column(F.col("text")).alias("text")), path)
+    J.compact(spark, path)
     chunks, status = J.ingested(spark, path)
     per = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("c"))
     return status.join(per, "doc_id", "left").select(

@@ -10,6 +10,7 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -109,14 +110,51 @@ def ingest_stream(stream: DataFrame, path: str) -> None:
     drain(stream, path, "append", each)
 
 
+def _generation(spark: SparkSession, path: str) -> int:
+    """The epoch up to which a finished generation of the index reaches; -1 without one."""
+    try:
+        return spark.read.parquet(f"{path}/index/status").agg(F.max("through")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return -1
+
+
+def _rows(spark: SparkSession, path: str, name: str, through: int) -> DataFrame:
+    """Rows of the generation that reaches to `through`, and of the epochs after it; older epochs are pruned."""
+    later = spark.read.parquet(f"{path}/{name}").filter(F.col("epoch") > through)
+    if through < 0:
+        return later
+    base = spark.read.parquet(f"{path}/index/{name}").filter(F.col("through") == through).withColumnRenamed("written", "epoch")
+    return base.drop("through").unionByName(later)
+
+
+def _current(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    through = _generation(spark, path)
+    status = latest_per_key(_rows(spark, path, "status", through), ["doc_id"], ["epoch"])
+    fit = status.filter(F.col("status") == "scanned").select("doc_id", "epoch")
+    return _rows(spark, path, "chunks", through).join(fit, ["doc_id", "epoch"], "left_semi"), status
+
+
 def ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Index and status after a run: the newest epoch of each document wins."""
-    status = latest_per_key(spark.read.parquet(f"{path}/status"), ["doc_id"], ["epoch"])
-    current = status.filter(F.col("status") == "scanned").select("doc_id", "epoch")
-    chunks = spark.read.parquet(f"{path}/chunks").join(current, ["doc_id", "epoch"], "left_semi")
+    chunks, status = _current(spark, path)
     return chunks.drop("epoch"), status.drop("epoch")
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """Write the index as one generation: a re-delivered document's chunks stand in it once, a failed one's not at all.
+
+    A generation is never changed. Its status is written last, and only then readers use it in place of the epochs
+    it holds; a run that ends half-way leaves what was there and is repeated by the next.
+    """
+    through = spark.read.parquet(f"{path}/status").agg(F.max("epoch")).first()[0]
+    if through is None or through <= _generation(spark, path):
+        return
+    for name, rows in zip(("chunks", "status"), _current(spark, path), strict=True):
+        rows.withColumnRenamed("epoch", "written").write.mode("overwrite").parquet(f"{path}/index/{name}/through={through}")
+
+
 # ---------------------------------------------------------------------------------------------------
 # per-key state and totals
 

@@ -80,3 +80,28 @@ def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
     path = fresh_path(spark, "folder")
     J.drain_append(J.table_stream(spark, str(tmp_path), "things"), path)
     assert J.results(spark, path).count() == 100
+
+
+def test_redelivered_documents_stand_in_the_index_once(spark, tmp_path):
+    path = fresh_path(spark, "reindex")
+
+    def epoch(n, status, chunks):
+        spark.createDataFrame(status, "doc_id long, status string, reason string, document_type string").write.parquet(f"{path}/status/epoch={n}")
+        spark.createDataFrame(chunks, "doc_id long, chunk_index int, text string").write.parquet(f"{path}/chunks/epoch={n}")
+
+    def index():
+        chunks, status = J.ingested(spark, path)
+        return sorted((r["doc_id"], r["chunk_index"], r["text"]) for r in chunks.collect()), {r["doc_id"]: r["status"] for r in status.collect()}
+
+    epoch(0, [(1, "scanned", None, "a"), (2, "scanned", None, "a"), (3, "scanned", None, "a")], [(1, 0, "old"), (1, 1, "old"), (2, 0, "two"), (3, 0, "three")])
+    epoch(1, [(1, "scanned", None, "a"), (3, "failed", "bad", "a")], [(1, 0, "new")])
+    want = [(1, 0, "new"), (2, 0, "two")], {1: "scanned", 2: "scanned", 3: "failed"}
+    assert index() == want
+    J.compact(spark, path)
+    assert index() == want and spark.read.parquet(f"{path}/index/chunks").count() == 2
+    J.compact(spark, path)  # nothing new: nothing is written
+    epoch(2, [(2, "scanned", None, "a"), (3, "scanned", None, "a")], [(2, 0, "again"), (3, 0, "back")])
+    want = [(1, 0, "new"), (2, 0, "again"), (3, 0, "back")], {1: "scanned", 2: "scanned", 3: "scanned"}
+    assert index() == want
+    J.compact(spark, path)
+    assert index() == want and spark.read.parquet(f"{path}/index/chunks").where("through = 2").count() == 3
