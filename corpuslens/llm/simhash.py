@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate, combinations
 
@@ -94,26 +93,6 @@ def segments(radius: int, rows: int) -> list[tuple[int, int, int]]:
     return min((layout(count) for count in range(1, radius + 2) if count > 1 or radius == 0), key=work)
 
 
-def segments_for_similarity(similarity: float, rows: int) -> list[tuple[int, int, int]]:
-    """Segments with balls of one bit that miss a pair of the given Jaccard similarity in fewer than one of 200 cases.
-
-    A bit differs with the angle between the shingle sets. The bits of a segment follow the number of fingerprints, so
-    chance matches of a key stay few; the number of segments follows the bits.
-    """
-    share = bit_share(similarity)
-    bits = max(16, min(48, math.ceil(math.log2(max(rows, 2))) - 2))
-    found = (1 - share) ** bits + bits * share * (1 - share) ** (bits - 1)
-    count = math.ceil(math.log(1 / 200) / math.log(1 - found))
-    # A segment lies inside one word.
-    per_word = BITS // bits
-    return [(BITS * (i // per_word) + bits * (i % per_word), bits, 1) for i in range(count)]
-
-
-def bit_share(similarity: float) -> float:
-    """Share of bits in which two sets of equal size and this Jaccard similarity differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
 def _keys(parts: list[tuple[int, int, int]]) -> Column:
     """Array of (segment, key, probe): the fingerprint's own key in each segment, and the keys in the ball around it.
 
@@ -209,21 +188,6 @@ def linked_fingerprints(prints: DataFrame, parts: list[tuple[int, int, int]], ra
     return stored_map(rows, partial(_links, radius=radius, words=words), "a long, b long", BUCKET_ROWS, "simhash-links")
 
 
-def fingerprint_components(docs: DataFrame, size: int, layout: Callable[[int], tuple[list[tuple[int, int, int]], int]], words: int) -> DataFrame:
-    """doc_id, p0, p1, ... and component_id; layout gives the segments and the radius for a number of fingerprints."""
-    names = _names(words)
-    prints = stored(fingerprints(docs, size, words), "fingerprints")
-    nodes = prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("id"))
-    # A doc_id that stands in rows of several fingerprints joins them.
-    whole = F.struct(*names)
-    several = prints.groupBy("doc_id").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x <> y").select("doc_id")
-    bridges = prints.join(several, "doc_id").distinct().join(nodes, names).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    parts, radius = layout(nodes.count())
-    found = components(linked_fingerprints(nodes, parts, radius, words).union(bridges))
-    nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(nodes, names, "left").select("doc_id", *names, "component_id")
-
-
 def simhash_components(docs: DataFrame, size: int, radius: int) -> DataFrame:
     """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links of at most `radius` of 64 bits.
 
@@ -232,28 +196,165 @@ def simhash_components(docs: DataFrame, size: int, radius: int) -> DataFrame:
     component of their fingerprint if another row gives it one, else null. Repeated rows stay; an empty table gives no
     rows; further columns are not read.
     """
-    return fingerprint_components(docs, size, lambda rows: (segments(radius, rows), radius), 1).withColumnRenamed("p0", "fingerprint")
+    prints = stored(fingerprints(docs, size), "fingerprints")
+    nodes, bridges = _nodes(prints, ["p0"])
+    links = linked_fingerprints(nodes, segments(radius, nodes.count()), radius, 1)
+    found = components(links.union(bridges))
+    nodes = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("p0", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(nodes, "p0", "left").select("doc_id", F.col("p0").alias("fingerprint"), "component_id")
+
+
+def _nodes(prints: DataFrame, names: list[str], *further: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal columns `names` as one row with the smallest doc_id, id; and links of a doc_id in rows of several."""
+    nodes = prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("id"), *further)
+    whole = F.struct(*names)
+    several = prints.groupBy("doc_id").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).where("x <> y").select("doc_id")
+    bridges = prints.join(several, "doc_id").select("doc_id", *names).distinct().join(nodes.select("id", *names), names)
+    return nodes, bridges.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
 
-#: Words of the fingerprints by which similarity is judged, in 64 bits.
-JUDGED_WORDS = 4
+#: Bands of minima of hashed shingles, and minima of a band: two sets of similarity 0.8 share no band in fewer than one
+#: of a million cases, whatever the number of rows.
+BANDS, BAND_ROWS = 50, 6
+#: Sets of so many shingles in all are hashed at once.
+BLOCK_VALUES = 1 << 16
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of the word shingles of a whole text, sorted."""
+    blocks = list(shingle_hashes(text, size, 42))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A key for each band of each set that is not empty."""
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    values = np.concatenate(sets)
+    keys = np.zeros((BANDS, len(sets)), np.uint64)
+    for band in range(BANDS):
+        for row in range(BAND_ROWS):
+            salt = _mixed(np.array([band * BAND_ROWS + row + 1], np.uint64) * _ODD)
+            hashed = (values ^ salt) * _ODD
+            hashed ^= hashed >> np.uint64(32)
+            hashed *= np.uint64(0x94D049BB133111EB)
+            keys[band] = _mixed(keys[band] + np.minimum.reduceat(hashed, starts) + np.uint64(band))
+    return keys.T
+
+
+def _banded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh3_128_intdigest
+
+    for batch in batches:
+        sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+        digests = np.array([[d >> 64, d & (1 << 64) - 1] for d in (xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64).reshape(-1, 2).view(np.int64)
+        bands: list = [[]] * len(sets)
+        some, held = [], 0
+        for i, s in enumerate(sets):
+            if len(s):
+                some.append(i)
+                held += len(s)
+            if some and (held >= BLOCK_VALUES or i == len(sets) - 1):
+                for j, keys in zip(some, band_keys([sets[j] for j in some]), strict=True):
+                    bands[j] = keys.view(np.int64)
+                some, held = [], 0
+        columns = [pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "p0", "p1", "bands"])
+
+
+def similar_components(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the smallest id reachable over pairs whose Jaccard similarity is at least `similarity`.
+
+    From each set reached, all sets not yet reached are counted over the postings of its shingles; a set once reached
+    is counted no more, so a group of near copies costs one pass over its sets.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, index = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.cumsum(sizes) - sizes
+    root = np.full(len(sets), -1, np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(index, kind="stable")
+    terms, docs = index[order], owner[order]
+    at = np.searchsorted(terms, np.arange(len(values) + 1))
+    waiting = listed = len(sets)
+    for first in np.argsort(ids, kind="stable").tolist():
+        if root[first] >= 0:
+            continue
+        root[first] = ids[first]
+        waiting -= 1
+        queue = [first]
+        while queue and waiting:
+            if 2 * waiting < listed:  # postings of the sets not yet reached only
+                keep = root[docs] < 0
+                terms, docs, listed = terms[keep], docs[keep], waiting
+                at = np.searchsorted(terms, np.arange(len(values) + 1))
+            i = queue.pop()
+            own = index[begins[i] : begins[i] + sizes[i]]
+            n = at[own + 1] - at[own]
+            places = np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found, both = np.unique(docs[places], return_counts=True)
+            near = found[(both >= similarity * (sizes[i] + sizes[found] - both) * (1 - 1e-12)) & (root[found] < 0)]
+            root[near] = ids[first]
+            waiting -= len(near)
+            queue.extend(near.tolist())
+    return root
+
+
+def _verified(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of each text (id, text) to the smallest id of its component, in rows sorted by candidate component."""
+    group, ids, sets = None, [], []
+
+    def linked() -> pa.RecordBatch:
+        nodes = np.array(ids, np.int64)
+        return output({"a": (nodes, pa.int64()), "b": (similar_components(nodes, sets, similarity), pa.int64())})
+
+    for batch in batches:
+        for component, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if component != group and ids:
+                yield linked()
+                ids, sets = [], []
+            group = component
+            ids.append(doc_id)
+            sets.append(shingle_set(text, size))
+    if ids:
+        yield linked()
+
+
+def similar_links(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) between doc_ids that join what pairs of texts of at least this Jaccard similarity join.
+
+    Candidates are texts that share a band of minima, joined into components; inside each, the distinct shingles of
+    the texts themselves decide. Texts of the same shingles are one node. The links of a key are those to its smallest
+    id, so neither step makes pairs.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = stored(arrow_map(texts, partial(_banded, size=size), "doc_id long, p0 long, p1 long, bands array<long>"), "shingle-bands")
+    nodes, bridges = _nodes(prints, ["p0", "p1"], F.min("bands").alias("bands"))
+    keys = stored(nodes.select("id", F.explode("bands").alias("key")), "band-keys")
+    least = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
+    found = components(keys.join(least, "key").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    chosen = texts.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "doc_id", "text")
+    chosen = dealt(chosen, "component").sortWithinPartitions("component", "doc_id")
+    same = prints.where("doc_id is not null").join(nodes.select("id", "p0", "p1"), ["p0", "p1"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    return arrow_map(chosen, partial(_verified, size=size, similarity=similarity), "a long, b long").union(bridges).union(same)
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of texts linked by a similarity of word shingles, the smallest doc_id.
 
-    Similarity is judged by the complete distance of long fingerprints, with one standard deviation in favour of a
-    link. Equal texts are near-duplicates, empty and null ones too. Of rows that share a doc_id one stays; rows with a
-    null doc_id stay all; all columns are kept; an empty table gives no rows.
+    A link is an exact Jaccard similarity of the sets of distinct shingles (by 64-bit hashes) of at least `similarity`;
+    the number of rows has no part in it. Equal texts are near-duplicates, empty and null ones too. Of rows that share
+    a doc_id one stays; rows with a null doc_id stay all; all columns are kept; an empty table gives no rows.
     """
     rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    needed = segments_for_similarity(similarity, rows)
-    words = max(JUDGED_WORDS, 1 + max(low for low, _, _ in needed) // BITS)
-    share, bits = bit_share(similarity), BITS * words
-    radius = int(share * bits + math.sqrt(bits * share * (1 - share)))
-    found = fingerprint_components(docs, size, lambda _: (needed, radius), words)
-    roots = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(roots, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi")
+    found = components(similar_links(docs, size, similarity))
+    gone = found.where("node > component").select(F.col("node").alias("_gone_id"))
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti").where("doc_id is not null")
     kept = kept.dropDuplicates(["doc_id"]) if ids < rows else kept
     return kept.union(docs.where("doc_id is null"))
 

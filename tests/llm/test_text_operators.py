@@ -335,3 +335,33 @@ def test_spans_are_where_bytes_went(odd_docs):
             out += data[at : s["start"]]
             at = s["end"]
         assert hashlib.sha256(out + data[at:]).digest() == hashlib.sha256(bytes(r["kept"])).digest()
+
+
+def test_near_duplicates_are_judged_exactly(spark, monkeypatch):
+    rng = random.Random(13)
+    made, sets = [], {}
+    for i in range(40):
+        own = [f"e{i}x{rng.randrange(10**6)}" for _ in range(120)]
+        # Replaced runs leave similarities from about 0.65 to 0.95.
+        for copy in range(3):
+            text = own[: len(own) - (i % 20) * copy] + [f"n{copy}x{j}" for j in range((i % 20) * copy)]
+            # A line repeated many times counts once.
+            made.append((3000 + 3 * i + copy, " ".join(text + ["the same line of every page"] * (60 if copy == 2 else 1))))
+    for i, text in made:
+        found = text.split()
+        sets[i] = {tuple(found[j : j + 5]) for j in range(len(found) - 4)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = {i for i in sets if find(i) == i}
+    assert 40 < len(want) < 120
+    assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want
