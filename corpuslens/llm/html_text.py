@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import arrow_map, scan
 
-#: Reach of the smoothing in lines, and share of the content that a region must hold.
+#: Reach of the smoothing in lines, and share of the content that article and main elements must hold to be the article.
 SIGMA, REGION_SHARE = 2.0, 0.6
 
 # Element names of HTML, by their role.
@@ -43,6 +43,10 @@ SIDE_WORDS = {
     "related", "recommended", "recommendations", "widget", "widgets", "toolbar", "search", "pagination", "pager", "skip", "copyright",
     "disclaimer", "form",
 }
+#: Side words that mark prose too, so its density does not speak for it.
+OTHER_VOICES = {"comment", "comments", "disqus", "cookie", "cookies", "consent", "gdpr"}
+#: Side words that inside an article mark its own head.
+HEADS = {"header", "masthead"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -50,21 +54,24 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Lines(HTMLParser):
     """Parser events gathered into lines: the text between two block tags, with its tags, links and place in the tree."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: bool = True) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, outside the article
+        self.words, self.worded = words, False  # whether class and id count, and whether they have
+        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, outside the article, numbers of those in doubt
         self.numbers = self.links = self.articles = 0
         self.whole: set[int] = set()  # numbers of article and main elements
         self.text: list[str] = []
         self.linked, self.tags = 0, 0
-        self.found: list[tuple[str, int, int, tuple[int, ...], bool, bool]] = []
+        self.found: list[tuple[str, int, int, tuple[int, ...], bool, int, tuple[int, ...]]] = []
 
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             side = bool(self.open) and self.open[-1][2]
-            listed = any(tag == "li" for tag, _, _ in self.open)
-            self.found.append((text, self.tags, min(self.linked, len(text)), tuple(n for tag, n, _ in self.open if tag in CONTAINERS), side, listed))
+            doubts = self.open[-1][3] if self.open else ()
+            items = [i for i, x in enumerate(self.open) if x[0] == "li"]
+            listed = max([n for tag, n, *_ in self.open[: items[-1]] if tag in ("ul", "ol", "menu")], default=-1) if items else 0
+            self.found.append((text, self.tags, min(self.linked, len(text)), tuple(n for tag, n, *_ in self.open if tag in CONTAINERS), side, listed, doubts))
             self.tags = 0
         self.text.clear()
         self.linked = 0
@@ -82,27 +89,39 @@ class _Lines(HTMLParser):
                 self._close(tag, stop={"ul", "ol", "dl", "table", "select"})
         if tag in VOID:
             return
-        side = (bool(self.open) and self.open[-1][2]) or self._side(tag, attrs)
+        side, doubts = self.open[-1][2:] if self.open else (False, ())
         self.numbers += 1
-        self.open.append((tag, self.numbers, side))
+        mark = None if side else self._side(tag, attrs)
+        if mark is None and not side:
+            doubts = (*doubts, self.numbers)
+        self.open.append((tag, self.numbers, side or mark is True, doubts))
         self.links += tag == "a"
         if tag in ("article", "main"):
             self.articles += 1
             self.whole.add(self.numbers)
 
-    def _side(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _side(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
+        """Whether an element is not the article's; None if only a part of a name in class or id says so."""
         if tag in NEVER_TEXT or (tag == "header" and not self.articles):
             return True
         if not attrs or tag in ("html", "body"):
             return False
+        doubt = False
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value or "")):
                 return True
             if name == "role" and (value or "").lower() in SIDE_ROLES:
                 return True
-            if name in ("class", "id") and tag not in ("article", "main") and not SIDE_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value or "")):
-                return True
-        return False
+            if name in ("class", "id") and tag not in ("article", "main") and self.words:
+                for whole in (value or "").split():
+                    words = {w.lower() for w in _WORD.findall(whole)}
+                    meant = (words & SIDE_WORDS) - (HEADS if self.articles else set())
+                    if meant:
+                        self.worded = True
+                        if meant == words or not meant.isdisjoint(OTHER_VOICES):
+                            return True
+                        doubt = True
+        return None if doubt else False
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,7 +141,7 @@ class _Lines(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                for closed, _, _ in self.open[i:]:
+                for closed, *_ in self.open[i:]:
                     self.links -= closed == "a"
                     self.articles -= closed in ("article", "main")
                 del self.open[i:]
@@ -143,37 +162,69 @@ def _smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
+def _content(lines: list[tuple], sides: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters outside links of each line, none at a side, and whether its smoothed ratio makes it content."""
+    plain = np.array([0 if side else len(x[0]) - x[2] for x, side in zip(lines, sides, strict=True)], float)
+    ratios = _smoothed(plain / np.maximum(1, [x[1] for x in lines]))
+    return plain, (ratios >= ratios.std()) & (plain > 0)
+
+
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order, white space inside each as one space, joined by one space.
 
     Each line's text outside links is set against its tags; the ratios are smoothed over neighbouring lines, and lines
-    above one standard deviation are content. The region is the deepest container that holds most of the content (for
-    one inside an article or main element, that one). It is taken whole, short blocks too, but for elements that
-    are by name, role, class or id not the article's, and list items that are only links.
+    above one standard deviation are content. The region is the smallest container that holds all content (for one
+    inside an article or main element, that one; if such elements hold most of the content, only they count). It is
+    taken whole, short blocks too, but for elements that are by name, role, class or id not the article's. An element
+    of which only a part of a name says so goes if most of its text is not content. Outside article and main elements,
+    list items that are only links go, but for lists of nothing else below the first content. Where class and id
+    would leave nothing, they do not count.
     """
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.line()
-    lines = parser.found
+    for words in (True, False):
+        parser = _Lines(words)
+        parser.feed(html)
+        parser.close()
+        parser.line()
+        text = _article(parser.found, parser.whole)
+        if text or not parser.worded:
+            break
+    return text
+
+
+def _article(lines: list[tuple], whole: set[int]) -> str:
     if not lines:
         return ""
-    plain = np.array([0 if side else len(text) - linked for text, _, linked, _, side, _ in lines], float)
-    ratios = _smoothed(plain / np.maximum(1, [tags for _, tags, *_ in lines]))
-    content = (ratios >= ratios.std()) & (plain > 0)
+    sides = [x[4] for x in lines]
+    if any(x[6] for x in lines):
+        plain, content = _content(lines, sides)
+        dense: dict[int, float] = {}
+        for x, side, weight in zip(lines, sides, np.where(content, plain, 0.0).tolist(), strict=True):
+            if not side:
+                for number in x[6]:
+                    dense[number] = dense.get(number, 0.0) + weight - len(x[0]) / 2
+        sides = [side or any(dense[n] <= 0 for n in x[6]) for x, side in zip(lines, sides, strict=True)]
+    plain, content = _content(lines, sides)
     weights = np.where(content, plain, 0.0) if content.any() else plain
-    inside: dict[int, float] = {}
-    for (_, _, _, path, _, _), weight in zip(lines, weights.tolist(), strict=True):
-        for number in path:
-            inside[number] = inside.get(number, 0.0) + weight
-    total, region = weights.sum(), None
-    for _, _, _, path, _, _ in sorted(lines, key=lambda x: len(x[3])):
-        for number in path:
-            if inside[number] >= REGION_SHARE * total and (region is None or number > region):
-                region = max([n for n in path[: path.index(number) + 1] if n in parser.whole], default=number)
-    kept = [text for text, _, linked, path, side, listed in lines if not side and (region is None or region in path) and not (listed and linked >= len(text) - 1)]
+    declared = np.array([not whole.isdisjoint(x[3]) for x in lines])
+    only_declared = weights[declared].sum() >= REGION_SHARE * weights.sum() and declared.any()
+    held = [lines[i][3] for i in np.flatnonzero((weights > 0) & (declared | (not only_declared)))]
+    common = []
+    for numbers in zip(*held, strict=False):
+        if len(set(numbers)) > 1:
+            break
+        common.append(numbers[0])
+    region = max([n for n in common if n in whole], default=common[-1] if common else None)
+    first = int(np.flatnonzero(weights > 0)[0]) if held else 0
+    mixed = {x[5] for x in lines if x[5] and x[2] < len(x[0]) - 1}
+    kept = []
+    for i, (text, _, linked, path, _, listed, _) in enumerate(lines):
+        if sides[i] or (region is not None and region not in path) or (only_declared and not declared[i]):
+            continue
+        if listed and linked >= len(text) - 1 and not declared[i] and (listed in mixed or i < first):
+            continue
+        kept.append(text)
     return " ".join(kept)
 
 

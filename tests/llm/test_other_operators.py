@@ -206,3 +206,19 @@ def test_pipeline_on_odd_and_empty_documents(spark, sf, odd_docs, no_docs):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
         assert packed.count() >= 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div id=content><section>" + "<p>The first part of the text is long.</p>" * 13 + "</section><section>" + "<p>The second part is text as well now.</p>" * 7 + "</section></div>", " ".join(["The first part of the text is long."] * 13 + ["The second part is text as well now."] * 7)),
+        ("<article><p>Text of the article stands here.</p><h2>References</h2><ul><li><a href=a>A source</a></li><li><a href=b>Another</a></li></ul></article>", "Text of the article stands here. References A source Another"),
+        ("<div><ul><li><a href=h>Home</a></li></ul><p>Text of the page stands here.</p><ul><li><a href=a>A source</a></li><li><a href=b>Another</a></li></ul></div>", "Text of the page stands here. A source Another"),
+        ("<div class='long-form'><p>All of the text is inside of this.</p></div>", "All of the text is inside of this."),
+        ("<div class='form'><p>All of the text is inside of this.</p></div>", "All of the text is inside of this."),
+        ("<article><div class='post-header'><h1>Title</h1></div><p>Text of the article stands here.</p></article>", "Title Text of the article stands here."),
+        ("<div><p>Text of the page stands here, some of it.</p><div class='related-work'><p>Others wrote of this too, in other words.</p></div><div class='share-links'><a href=a>One</a> <a href=b>Two</a></div></div>", "Text of the page stands here, some of it. Others wrote of this too, in other words."),
+    ],
+)
+def test_the_whole_article_stays(page, text):
+    assert html_text.main_text(page) == text
