@@ -29,16 +29,25 @@ _PLAIN = re.compile(r"([0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*
 class WordTokenizer:
     """encode() gives, for each text, the same ids as the library, as unsigned 16- or 32-bit numbers.
 
+    By default the names of added tokens are ordinary text; with added=True a text that holds one goes whole to the
+    library's default call.
+
     The library's normaliser and splitter treat every run between plain spaces alone, so a text's ids are the ids of
     those runs in a row. Each distinct run goes to the library once, many in a call, with a separator between them that
     none of them holds.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their names in a text are ordinary text
+        self.default, self.added = Tokenizer.from_file(path), []
+        if added:
+            tokens = self.default.get_added_tokens_decoder().values()
+            if any(t.normalized for t in tokens):
+                raise ValueError("added tokens that match normalised text are not supported")
+            self.added = [t.content for t in tokens]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
@@ -99,6 +108,20 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column in a row, and where each text begins (and the last one ends)."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        named = np.zeros(len(texts), bool)
+        for name in self.added:
+            named |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        if not named.any():
+            return self._encode(texts)
+        ids, at = self._encode(pc.if_else(pa.array(named), "", texts))
+        rows, sizes, parts, done = np.flatnonzero(named), np.diff(at), [], 0
+        for row, text in zip(rows.tolist(), texts.filter(pa.array(named)).to_pylist(), strict=True):
+            found = np.array(self.default.encode(text).ids, self.dtype)
+            parts += [ids[done : at[row]], found]
+            done, sizes[row] = at[row], len(found)
+        return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ascii_only = pc.equal(pc.binary_length(texts), pc.cast(pc.utf8_length(texts), pa.int64()))
         texts = pc.replace_substring(pc.if_else(ascii_only, pc.ascii_lower(texts), texts), "\n", " ")
         split = pc.split_pattern(texts, " ")
@@ -126,4 +149,5 @@ class WordTokenizer:
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """The ids of the library's default call."""
+    return WordTokenizer(path, added=True)

@@ -365,3 +365,18 @@ def test_near_duplicates_are_judged_exactly(spark, monkeypatch):
     want = {i for i in sets if find(i) == i}
     assert 40 < len(want) < 120
     assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want
+
+
+def test_added_tokens_are_the_default_calls(spark):
+    library = Tokenizer.from_file(WORDS)
+    rows = [(1, "plain text"), (2, "the end <|endoftext|> of it"), (3, None), (4, "<|ENDOFTEXT|> Twice"), (5, "<|startoftext|>A\n b<|endoftext|>"), (6, "last")]
+    want = {i: [*library.encode(t or "").ids, 1] for i, t in rows}
+    assert 49407 in want[2] and 49407 not in want[4]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    read = token_files.read_token_files(token_files.write_token_files(docs, WORDS)).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in read} == want
+    assert [r["start"] for r in sorted(read, key=lambda r: r["doc_id"])] == np.cumsum([0, *[len(want[i]) for i in range(1, 6)]]).tolist()
+    packed = collections.defaultdict(list)
+    for r in sorted(packing.pack(docs, WORDS).collect(), key=lambda r: r["start"]):
+        packed[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert packed == want
