@@ -15,8 +15,10 @@ from corpuslens.llm.common import arrow_map, scan
 from corpuslens.llm.tokens import word_tokenizer
 
 WINDOW, END_ID = 2048, 1
-#: Documents and tokens of an index shard, and rarest-and-heaviest terms with which a seed asks.
-SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 4096, 2_000_000, 12
+#: Documents and tokens of an index shard, and terms with which a seed asks: None, all that another document has too.
+SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 4096, 2_000_000, None
+#: Terms that one document in so many holds are scored as dense rows; so many of them at most, the commonest.
+DENSE_SHARE, DENSE_TERMS = 16, 768
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -37,22 +39,31 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.posting_docs, self.posting_weights = doc[order], weight[order]
         self.posting_at = np.concatenate([[0], np.cumsum(held)])
-        # The terms with which each document asks: the heaviest of those that another document has too.
+        # The terms with which each document asks: all that another document has too.
         shared = np.flatnonzero(held[term] > 1)
-        shared = shared[np.lexsort((term[shared], -weight[shared], doc[shared]))]
-        place = np.arange(len(shared)) - np.searchsorted(doc[shared], doc[shared])
-        shared = shared[place < QUERY_TERMS]
         self.asks = term[shared]
         self.asks_at = np.searchsorted(doc[shared], np.arange(len(docs) + 1))
         self.count = len(docs)
+        common = np.argsort(-held, kind="stable")[:DENSE_TERMS]
+        common = common[held[common] * DENSE_SHARE >= len(docs)]
+        self.dense_row = np.full(len(held), -1)
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(docs)))
+        rows = self.dense_row[term]
+        self.dense[rows[rows >= 0], doc[rows >= 0]] = weight[rows >= 0]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """Unused documents that share a term with the seed, best first, ties in the shard's order."""
-        slices = [slice(self.posting_at[t], self.posting_at[t + 1]) for t in self.asks[self.asks_at[seed] : self.asks_at[seed + 1]]]
-        if not slices:
+        asks = self.asks[self.asks_at[seed] : self.asks_at[seed + 1]]
+        if not len(asks):
             return []
-        docs = np.concatenate([self.posting_docs[s] for s in slices])
-        scores = np.bincount(docs, np.concatenate([self.posting_weights[s] for s in slices]), self.count)
+        rows = self.dense_row[asks]
+        chosen = np.zeros(len(self.dense))
+        chosen[rows[rows >= 0]] = 1
+        rest = asks[rows < 0]
+        begins, sizes = self.posting_at[rest], self.posting_at[rest + 1] - self.posting_at[rest]
+        places = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        scores = chosen @ self.dense + np.bincount(self.posting_docs[places], self.posting_weights[places], self.count)
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")].tolist()
 

@@ -380,3 +380,10 @@ def test_added_tokens_are_the_default_calls(spark):
     for r in sorted(packing.pack(docs, WORDS).collect(), key=lambda r: r["start"]):
         packed[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
     assert packed == want
+
+
+def test_a_seed_asks_with_all_its_terms():
+    # The seed shares 30 rare terms with document 1 and the 12 heaviest with document 2.
+    docs = [np.arange(100, 142), np.concatenate([np.arange(112, 142), np.arange(200, 212)]), np.concatenate([np.arange(100, 112), np.arange(300, 330)])]
+    docs += [np.arange(500, 542) + 50 * i for i in range(40)]
+    assert packing.Index(docs).neighbours(0, np.arange(len(docs)) != 0) == [1, 2]
