@@ -31,8 +31,8 @@ from corpuslens.llm.tokens import word_tokenizer
 MAGIC = b"REPAIR01"
 HEADER = struct.Struct("<8s7Q")
 END_ID = 1
-#: Tokens of a file, passes over it, rules of a pass, and uses that a rule needs.
-FILE_TOKENS, PASSES, PASS_RULES, MIN_USES = 2_000_000, 3, 5000, 8
+#: Tokens of a file, rules of a pass over it, and uses that a rule needs.
+FILE_TOKENS, PASS_RULES, MIN_USES = 2_000_000, 5000, 8
 _SLOTS, _MIX = 18, 0x9E3779B97F4A7C15
 
 
@@ -40,16 +40,15 @@ def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarr
     """Symbols, their document ends, and rules of ids whose documents end where `ends` is true.
 
     Re-Pair in passes: a pass counts all pairs inside documents, gives the most frequent ones a nonterminal each, and
-    replaces them from the left without overlap; the next pass sees the new symbols.
+    replaces them from the left without overlap; the next pass sees the new symbols, until no pair is frequent.
     """
-    # Two symbols of 16 bits make a 32-bit pair, else a 64-bit one.
-    narrow = first + PASSES * PASS_RULES < 1 << 16
-    kind, half, bits = (np.uint32, 16, 32) if narrow else (np.uint64, 32, 64)
-    mix, shift = kind(_MIX & (2**bits - 1) | 1), kind(bits - _SLOTS)
-    symbols, rules = tokens.astype(kind), []
-    for _ in range(PASSES):
-        if len(symbols) < 2:
-            break
+    symbols, rules = tokens, []
+    while len(symbols) >= 2:
+        # Two symbols of 16 bits make a 32-bit pair, else a 64-bit one.
+        narrow = first + len(rules) + PASS_RULES < 1 << 16
+        kind, half, bits = (np.uint32, 16, 32) if narrow else (np.uint64, 32, 64)
+        mix, shift = kind(_MIX & (2**bits - 1) | 1), kind(bits - _SLOTS)
+        symbols = symbols.astype(kind)
         pairs = symbols[:-1] << kind(half) | symbols[1:]
         inside = ~ends[:-1]
         ordered = np.sort(pairs[inside])

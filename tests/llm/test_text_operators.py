@@ -387,3 +387,15 @@ def test_a_seed_asks_with_all_its_terms():
     docs = [np.arange(100, 142), np.concatenate([np.arange(112, 142), np.arange(200, 212)]), np.concatenate([np.arange(100, 112), np.arange(300, 330)])]
     docs += [np.arange(500, 542) + 50 * i for i in range(40)]
     assert packing.Index(docs).neighbours(0, np.arange(len(docs)) != 0) == [1, 2]
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    copy = rng.integers(0, 30_000, 1000).astype(np.uint32)
+    ids = np.tile(copy, 200)
+    ends = np.arange(len(ids)) % 1000 == 999
+    symbols, ends, rules = token_files.compress(ids, ends, 40_000)
+    assert np.array_equal(token_files.expand(symbols, token_files.expansions(rules, 40_000), 40_000), ids)
+    inside = np.flatnonzero(~ends[:-1])
+    pairs = collections.Counter(zip(symbols[inside].tolist(), symbols[inside + 1].tolist(), strict=True))
+    assert max(pairs.values(), default=0) < token_files.MIN_USES and len(symbols) < 2000
