@@ -9,6 +9,7 @@ from corpuslens.llm.merkle import OP12_SQL, op12_merkle
 from corpuslens.llm.packing import op8_packing
 from corpuslens.llm.quality_model import op1_quality
 from corpuslens.llm.quality_rules import OP4_SQL, op4_quality_rules
+from corpuslens.llm.ranked_search import OP11_SQL, op11_ranked_search
 from corpuslens.llm.simhash import op10_simhash
 from corpuslens.llm.substrings import op7_repeats
 from corpuslens.llm.token_files import op6_token_files
@@ -16,5 +17,5 @@ from corpuslens.llm.topk import OP2_SQL, op2_top_k
 from corpuslens.llm.warc_zip import op3_warc_zip
 from corpuslens.plans.registry import shipped
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_top_k, op3_warc_zip, op4_quality_rules, op5_byte_bpe, op6_token_files, op7_repeats, op8_packing, op9_html_text, op10_simhash, op12_merkle, op13_line_dedup)}
-TWINS: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_quality_rules": OP4_SQL, "op12_merkle": OP12_SQL, "op13_line_dedup": OP13_SQL}
+QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_top_k, op3_warc_zip, op4_quality_rules, op5_byte_bpe, op6_token_files, op7_repeats, op8_packing, op9_html_text, op10_simhash, op11_ranked_search, op12_merkle, op13_line_dedup)}
+TWINS: dict[str, str] = {"op2_top_k": OP2_SQL, "op4_quality_rules": OP4_SQL, "op11_ranked_search": OP11_SQL, "op12_merkle": OP12_SQL, "op13_line_dedup": OP13_SQL}
