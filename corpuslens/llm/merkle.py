@@ -7,6 +7,7 @@ of ARITY neighbours, the last one of fewer; a single node is its own root.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import scan, stored
 
 ARITY = 3
-#: Levels that one superblock reduces, and the nodes it takes.
+#: Levels that one superblock reduces: it takes ARITY ** LEVELS nodes.
 LEVELS = 6
-WIDTH = ARITY**LEVELS
 NODES = "tree string, place long, n long, node string"
 OUTER = "tree string, place long, outer string, subroot string, root string"
 PROVEN = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -79,10 +79,10 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def levels_of(nodes: list[str], n: int) -> list[list[str]]:
-    """The nodes of a superblock level by level: LEVELS up, or to the root of a tree of n nodes that fits one."""
+def levels_of(nodes: list[str], n: int, most: int) -> list[list[str]]:
+    """The nodes of a superblock level by level: `most` up, or to the root of a tree of n nodes that fits one."""
     found = [nodes]
-    while len(found) <= LEVELS and (n > WIDTH or len(found[-1]) > 1):
+    while len(found) <= most and (n > ARITY**most or len(found[-1]) > 1):
         below = found[-1]
         found.append([sha("".join(below[i : i + ARITY])) for i in range(0, len(below), ARITY)])
     return found
@@ -109,31 +109,32 @@ def proof(runs: list[str]) -> str:
     return sha("".join(runs).replace("-", "").replace(",", ""))
 
 
-def _reduced(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+def _reduced(key: tuple, block: pd.DataFrame, most: int) -> pd.DataFrame:
     block = block.sort_values("place")
     n = int(block["n"].iloc[0])
-    node = levels_of(block["node"].tolist(), n)[-1][0]
-    return pd.DataFrame({"tree": [key[0]], "place": [key[1]], "n": [-(-n // WIDTH)], "node": [node]})
+    node = levels_of(block["node"].tolist(), n, most)[-1][0]
+    return pd.DataFrame({"tree": [key[0]], "place": [key[1]], "n": [-(-n // ARITY**most)], "node": [node]})
 
 
-def _outer_of(inner: pd.DataFrame, outer: pd.DataFrame) -> tuple[pd.DataFrame, list[list[str]], list[str], pd.Series]:
+def _opened(inner: pd.DataFrame, outer: pd.DataFrame, most: int) -> tuple[pd.DataFrame, list[list[str]], list[str], pd.Series]:
+    """The superblock in order, its levels, the runs above it, and what it was handed."""
     inner = inner.sort_values("place")
     above = outer.iloc[0]
-    levels = levels_of(inner["node"].tolist(), int(inner["n"].iloc[0]))
+    levels = levels_of(inner["node"].tolist(), int(inner["n"].iloc[0]), most)
     return inner, levels, [run for run in above["outer"].split(";") if run], above
 
 
-def _handed_down(key: tuple, inner: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _handed_down(key: tuple, inner: pd.DataFrame, outer: pd.DataFrame, most: int) -> pd.DataFrame:
     """The outer nodes of each superblock below."""
-    inner, levels, beyond, above = _outer_of(inner, outer)
+    inner, levels, beyond, above = _opened(inner, outer, most)
     paths = [";".join(runs_of(levels, i) + beyond) for i in range(len(inner))]
     subroot = inner["subroot"].where(inner["subroot"].notna(), above["subroot"])
     return pd.DataFrame({"tree": inner["below"], "place": inner["below_place"], "outer": paths, "subroot": subroot, "root": above["root"]})
 
 
-def _proven(key: tuple, inner: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _proven(key: tuple, inner: pd.DataFrame, outer: pd.DataFrame, most: int) -> pd.DataFrame:
     """Proof and folded root of each document."""
-    inner, levels, beyond, above = _outer_of(inner, outer)
+    inner, levels, beyond, above = _opened(inner, outer, most)
     paths = [runs_of(levels, i) + beyond for i in range(len(inner))]
     folded = [fold(leaf, path) for leaf, path in zip(inner["given"], paths, strict=True)]
     return pd.DataFrame(
@@ -147,37 +148,38 @@ def _proven(key: tuple, inner: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFram
 # --- the exchange
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("block", F.expr(f"place div {WIDTH}"))
+def _blocked(rows: DataFrame, most: int) -> DataFrame:
+    return rows.withColumn("block", F.expr(f"place div {ARITY**most}"))
 
 
-def _grown(nodes: DataFrame, n: int) -> list[DataFrame]:
+def _met(nodes: DataFrame, outer: DataFrame, most: int):
+    """Nodes and the outer nodes of their superblock, cogrouped."""
+    return _blocked(nodes, most).groupBy("tree", "block").cogroup(outer.withColumnRenamed("place", "block").groupBy("tree", "block"))
+
+
+def _grown(nodes: DataFrame, n: int, most: int) -> list[DataFrame]:
     """Tables of nodes, each of the roots of the superblocks of the one before; the last has one node a tree."""
     tables = [nodes]
     while True:
-        tables.append(stored(_blocked(tables[-1].select("tree", "place", "n", "node")).groupBy("tree", "block").applyInPandas(_reduced, NODES), "merkle-nodes"))
-        if n <= WIDTH:
+        blocks = _blocked(tables[-1].select("tree", "place", "n", "node"), most).groupBy("tree", "block")
+        tables.append(stored(blocks.applyInPandas(partial(_reduced, most=most), NODES), "merkle-nodes"))
+        if n <= ARITY**most:
             return tables
-        n = -(-n // WIDTH)
+        n = -(-n // ARITY**most)
 
 
-def _descended(tables: list[DataFrame], outer: DataFrame) -> DataFrame:
+def _descended(tables: list[DataFrame], outer: DataFrame, most: int) -> DataFrame:
     """Outer nodes of what the first of the tables stands for, from those of the last one's nodes."""
     for nodes in tables[-2::-1]:
         named = nodes if "below" in nodes.columns else nodes.withColumns({"below": F.col("tree"), "below_place": F.col("place"), "subroot": F.lit(None).cast("string")})
-        outer = stored(_met(named, outer).applyInPandas(_handed_down, OUTER), "merkle-outer")
+        outer = stored(_met(named, outer, most).applyInPandas(partial(_handed_down, most=most), OUTER), "merkle-outer")
     return outer
 
 
-def _met(nodes: DataFrame, outer: DataFrame):
-    """Nodes and the outer nodes of their superblock, cogrouped."""
-    return _blocked(nodes).groupBy("tree", "block").cogroup(outer.withColumnRenamed("place", "block").groupBy("tree", "block"))
-
-
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row of doc_id, source, lang, n_chars, text.
 
-    The trees are reduced in superblocks of WIDTH neighbours: a first exchange gives the root of each, and of the
+    The trees are reduced in superblocks of ARITY ** levels neighbours: a first exchange gives the root of each, and of the
     superblocks over them, up to the root of all sources. On the way back superblocks and the nodes they need from
     outside are cogrouped; each is reduced again, its proofs are completed from the outer nodes, and the leaf that a
     reader holds (tampered or not) is folded up to the root. A task holds one superblock, however large a source is.
@@ -191,14 +193,14 @@ def manifest(docs: DataFrame) -> DataFrame:
     largest = ordered.agg(F.max("n")).first()[0]
     if largest is None:
         return docs.sparkSession.createDataFrame([], PROVEN)
-    low = _grown(ordered, largest)
+    low = _grown(ordered, largest, levels)
     sources = low[-1].select(F.lit("").alias("tree"), F.col("tree").alias("below"), "node")
     tops = placed(sources, "below").select("*", F.lit(0).cast("long").alias("below_place"), F.col("node").alias("subroot"))
     tops = stored(tops, "merkle-sources")
-    high = _grown(tops, tops.first()["n"])
+    high = _grown(tops, tops.first()["n"], levels)
     root = high[-1].select("tree", "place", F.lit("").alias("outer"), F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"))
-    outer = _descended(low[1:], _descended(high, root))
-    return _met(ordered, outer).applyInPandas(_proven, PROVEN)
+    outer = _descended(low[1:], _descended(high, root, levels), levels)
+    return _met(ordered, outer, levels).applyInPandas(partial(_proven, most=levels), PROVEN)
 
 
 def op12_merkle(spark, sf_dir):
