@@ -220,29 +220,6 @@ def dense_topk(
     return topk_scored(local, ["query_id"], "score", ["vec_id"], k)
 
 
-def dense_topk_approx(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.6, tables: int = 8,
-                      distance: float = 1.3, seed: int = 17) -> DataFrame:
-    """Approximate cosine top k by random-projection hashing of unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, array_to_vector(V.l2_normalize(F.col("embedding"))).alias("features"))
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    )
-    v = unit(vectors, "vec_id")
-    model = lsh.fit(v)
-    pairs = model.approxSimilarityJoin(unit(queries, "query_id"), v, distance, distCol="d")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.vec_id").alias("vec_id"),
-        (1 - F.col("d") * F.col("d") / 2).alias("score"),
-    )
-    return topk_scored(scored, ["query_id"], "score", ["vec_id"], k)
-
-
 def hash_embed(dim: int = 64) -> Callable[[pd.Series], list[np.ndarray]]:
     """Deterministic stand-in for a model: signed hashed bag of tokens, by the first eight digits of each token's MD5."""
 

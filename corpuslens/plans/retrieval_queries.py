@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import vector as V
+from corpuslens.operators import lexical_index as L
 from corpuslens.operators import metrics as M
 from corpuslens.operators import ordering as O
 from corpuslens.operators import retrieval as R
+from corpuslens.operators import vector_index as X
 from corpuslens.plans import twin as S
 from corpuslens.plans.registry import query
+from corpuslens.session import fresh_path
 from corpuslens.sources import views
+from corpuslens.sources.readers import write_table
 from corpuslens.sources.tables import table
 
 KEYS = ["doc_id", "chunk_index"]
@@ -47,8 +51,16 @@ def bm25_topk(spark, sf):
     return lexical(spark, sf).select("query_id", *KEYS, r6("score"), "rank")
 
 
-@query(
-    "r4_bm25_pages",
+@query("r3_bm25_indexed", BM25_CTES + "SELECT query_id, doc_id, chunk_index, round(score,6) AS score, CAST(rank AS INT) AS rank FROM bm_top")
+def bm25_indexed(spark, sf):
+    """The same from the stored index: texts are read when it is built, not when it is searched."""
+    path = fresh_path(spark, "lexical-index")
+    L.build_lexical_index(views.chunks(spark, sf), path, KEYS)
+    best, _ = L.search_lexical_index(spark, path, views.queries(spark, sf), KEYS, K)
+    return best.select("query_id", *KEYS, r6("score"), "rank")
+
+
+PAGES_SQL = (
     S.ctes(
         S.PAGES,
         "v_lq AS (SELECT item_id AS query_id, text AS query_text, l.lang FROM benchmark CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l)",
@@ -56,21 +68,38 @@ def bm25_topk(spark, sf):
     ).replace("sum(qtf", "lang, sum(qtf").replace("GROUP BY query_id, doc_id, page)", "GROUP BY query_id, lang, doc_id, page)").replace(
         "PARTITION BY query_id ORDER", "PARTITION BY query_id, lang ORDER"
     )
-    + "SELECT query_id, lang, doc_id, page, round(score,6) AS score, CAST(rank AS INT) AS rank FROM bm_top",
+    + "SELECT query_id, lang, doc_id, page, round(score,6) AS score, CAST(rank AS INT) AS rank FROM bm_top"
 )
-def bm25_pages(spark, sf):
-    """Each query searches the pages of one language scope at a time, statistics per scope."""
+
+
+def language_queries(spark: SparkSession, sf: str) -> DataFrame:
     langs = table(spark, sf, "documents").agg(F.collect_set("lang").alias("_langs"))  # one row, as long as there are languages
     q = views.queries(spark, sf).crossJoin(F.broadcast(langs)).withColumn("lang", F.explode("_langs")).drop("_langs")
-    tagged = q.withColumn("query_id", F.concat_ws("|", "query_id", "lang"))
-    pages = views.pages(spark, sf)
-    top = R.bm25_topk(tagged, pages, ["doc_id", "page"], K, k1=1.2, dedupe_query_terms=False, scope=["lang"], floor_average=False)
+    return q.withColumn("query_id", F.concat_ws("|", "query_id", "lang"))
+
+
+def by_language(top: DataFrame) -> DataFrame:
     part = F.split("query_id", r"\|")
     return top.select(
         part[0].cast("long").alias("query_id"), part[1].alias("lang"), "doc_id", F.col("page").cast("long").alias("page"), r6("score"), "rank"
     )
 
 
+@query("r4_bm25_pages", PAGES_SQL)
+def bm25_pages(spark, sf):
+    """Each query searches the pages of one language scope at a time, statistics per scope."""
+    return by_language(R.bm25_topk(language_queries(spark, sf), views.pages(spark, sf), ["doc_id", "page"], K, k1=1.2, dedupe_query_terms=False, scope=["lang"], floor_average=False))
+
+
+@query("r4_bm25_pages_indexed", PAGES_SQL)
+def bm25_pages_indexed(spark, sf):
+    """The same from a stored index with statistics for each language."""
+    path = fresh_path(spark, "page-index")
+    L.build_lexical_index(views.pages(spark, sf), path, ["doc_id", "page"], k1=1.2, scope=["lang"], floor_average=False)
+    best, _ = L.search_lexical_index(spark, path, language_queries(spark, sf), ["doc_id", "page"], K, scope=["lang"], dedupe_query_terms=False)
+    return by_language(best)
+
+
 @query("r1_dense_topk", S.ctes(S.dense(K)) + "SELECT query_id, vec_id, round(score,6) AS score, CAST(rank AS INT) AS rank FROM de_top")
 def dense_topk(spark, sf):
     return dense(spark, sf).select("query_id", "vec_id", r6("score"), "rank")
@@ -83,13 +112,22 @@ def dense_topk_blocked(spark, sf):
     return R.dense_topk(q, vectors(spark, sf), 5, skip_self=True, max_broadcast=0).select("query_id", "vec_id", r6("score"), "rank")
 
 
-@query("r2_dense_topk_approx")
+@query(
+    "r2_dense_topk_approx",
+    "SELECT vec_id AS query_id, least(10, n - 1) AS found, n AS indexed, true AS recall_reached FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 100 = 0",
+)
 def dense_topk_approx(spark, sf):
-    """Recall of the hashed search against the exact one, one row per query."""
-    exact = dense(spark, sf).select("query_id", F.col("vec_id").alias("item"))
-    q = views.vector_queries(spark, sf).select("query_id", "embedding")
-    near = R.dense_topk_approx(q, vectors(spark, sf), K + 1).filter(F.col("query_id") != F.col("vec_id"))
-    return M.evidence_recall(exact, near.select("query_id", F.col("vec_id").alias("item")), "item", "recall")
+    """Results from the stored index of each vector whose id 100 divides, vectors indexed, and whether their mean recall is 0.9."""
+    path = fresh_path(spark, "vector-index")
+    X.build_vector_index(vectors(spark, sf), path, dim=64)
+    asks = vectors(spark, sf).filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    near = X.search_vector_index(spark, path, asks, K, X.probes_for(spark, path, K, 0.97), skip_self=True)
+    near = write_table(near.select("query_id", F.col("vec_id").alias("item")), fresh_path(spark, "near"))
+    exact = R.dense_topk(asks, vectors(spark, sf), K, skip_self=True).select("query_id", F.col("vec_id").alias("item"))
+    recall = M.evidence_recall(exact, near, "item", "recall").agg(F.avg("recall") >= 0.9)
+    indexed = X.indexed_vectors(spark, path).select("n_vectors")
+    found = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    return found.select("query_id", "found", indexed.scalar().alias("indexed"), recall.scalar().alias("recall_reached"))
 
 
 OVERLAP_CTES = S.ctes(S.CHUNKS, S.QUERIES, S.overlap("v_chunks", "doc_id, chunk_index", K))
