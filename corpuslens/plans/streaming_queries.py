@@ -27,7 +27,6 @@ def ingest_stream(spark, sf):
     path = fresh_path(spark, "ingest")
     raw = J.table_stream(spark, sf, "documents")
     J.ingest_stream(raw.select("doc_id", views.markdown_column(F.col("text")).alias("text")), path)
-    J.compact(spark, path)
     chunks, status = J.ingested(spark, path)
     per = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("c"))
     return status.join(per, "doc_id", "left").select(
@@ -53,8 +52,8 @@ def status_events(e):
 )
 def latest_status(spark, sf):
     path = fresh_path(spark, "status")
-    J.drain(J.latest_status(status_events(J.table_stream(spark, sf, "events"))), path, "update")
-    r = J.results(spark, path, ["asset_id"])
+    J.drain(J.latest_status_stream(status_events(J.table_stream(spark, sf, "events"))), path, "update")
+    r = J.newest_of(J.results(spark, path), "asset_id", ["at", "event_id"])
     return r.select("asset_id", "status", F.round("quality_score", 6).alias("quality_score"), F.unix_micros("at").alias("at"))
 
 
@@ -159,8 +158,9 @@ def assemble_responses(spark, sf):
     t = J.table_stream(spark, sf, "conversations")
     kind = F.when(F.col("role") == "assistant", "final").when(F.col("role") == "system", "trace").otherwise("conversation")
     e = t.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), kind.alias("type"), F.col("text").alias("payload"))
-    J.drain(J.assemble_responses(e), path, "update")
-    return J.results(spark, path, ["request_id"]).select("request_id", "answer", "plan", "conversation", "n_events", "error")
+    at = F.timestamp_seconds(F.col("request_id") * 60 + F.col("seq") * 50)  # long requests run into the next period
+    J.drain(J.assemble_responses_stream(e.withColumn("at", at), period="2 minutes"), path, "update")
+    return J.responses_of(J.results(spark, path)).select("request_id", "answer", "plan", "conversation", "n_events", "error")
 
 
 @query(

@@ -10,7 +10,6 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +18,7 @@ from corpuslens.operators import corpus as C
 from corpuslens.operators.ordering import latest_per_key
 from corpuslens.session import use_utc
 from corpuslens.sources.readers import write_table
+from corpuslens.sources.store import BUCKETS, read_store, upsert
 from corpuslens.sources.tables import spread
 
 Cols = Sequence[str]
@@ -40,8 +40,8 @@ def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigg
     return raw.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else raw
 
 
-def drain(stream: DataFrame, path: str, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Run a stream over everything available now, one folder per epoch."""
+def drain(stream: DataFrame, path: str, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> int:
+    """Run a stream over everything available now, one folder per epoch; returns the rows of state that are left."""
 
     def store(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
@@ -54,6 +54,7 @@ def drain(stream: DataFrame, path: str, mode: str, each: Callable[[DataFrame, in
         .start()
     )
     job.awaitTermination()
+    return sum(operator["numRowsTotal"] for operator in (job.lastProgress or {"stateOperators": []})["stateOperators"])
 
 
 def drain_append(stream: DataFrame, path: str) -> None:
@@ -80,17 +81,22 @@ def results(spark: SparkSession, path: str, keys: Cols | None = None) -> DataFra
 # ---------------------------------------------------------------------------------------------------
 # ingestion
 
+STATUS = "doc_id long, status string, reason string, document_type string"
 
-def ingest_stream(stream: DataFrame, path: str) -> None:
-    """Clean, profile, gate, chunk and assign each batch. Keys are deterministic, so re-delivery is harmless;
-    a rejected document leaves a failed row and no chunks.
+
+def ingest_stream(stream: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Clean, profile, gate, chunk and assign each batch, and put the result in the place of what the index had of its
+    documents. Keys are deterministic, so re-delivery is harmless; a document that got shorter or is rejected leaves no
+    chunks of its former self. Of the rows of one document in a batch the greatest text counts.
 
     Cleaned text and profiles are written once per epoch and read back: both outputs start from the files
-    instead of repeating the work, and a lost executor costs no recomputation.
+    instead of repeating the work, and a lost executor costs no recomputation. Only buckets of the batch's documents
+    are rewritten; the status comes last, so a document that is listed has its chunks.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        cleaned = C.clean_corpus(spread(batch, "doc_id")).select("doc_id", "text")
+        once = spread(batch, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+        cleaned = C.clean_corpus(once).select("doc_id", "text")
         texts = write_table(cleaned, f"{path}/clean/epoch={epoch}")
         full = texts.filter(F.trim("text", F.lit(" \n")) != "")
         profiles = write_table(C.profile_corpus(spread(full, "doc_id")), f"{path}/profile/epoch={epoch}")
@@ -101,58 +107,21 @@ def ingest_stream(stream: DataFrame, path: str) -> None:
             F.when(~good, F.array_join("quality.warnings", ",")).alias("reason"),
             "document_type",
         )
-        status.write.mode("overwrite").parquet(f"{path}/status/epoch={epoch}")
         fit = profiles.filter(good).select("doc_id", "unit_strategy")
         blocks = write_table(C.split_blocks(spread(texts, "doc_id").join(fit, "doc_id", "left_semi")), f"{path}/blocks/epoch={epoch}")
         chunks = C.assign_chunks_to_units(C.chunk_structured(blocks), C.build_units(blocks, fit))
-        chunks.write.mode("overwrite").parquet(f"{path}/chunks/epoch={epoch}")
+        write_table(chunks.limit(0), f"{path}/chunk_schema")
+        touched = texts.select("doc_id")
+        upsert(chunks, touched, f"{path}/chunks", ["doc_id"], epoch, buckets)
+        upsert(status, touched, f"{path}/status", ["doc_id"], epoch, buckets)
 
     drain(stream, path, "append", each)
 
 
-def _generation(spark: SparkSession, path: str) -> int:
-    """The epoch up to which a finished generation of the index reaches; -1 without one."""
-    try:
-        return spark.read.parquet(f"{path}/index/status").agg(F.max("through")).first()[0]
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return -1
-
-
-def _rows(spark: SparkSession, path: str, name: str, through: int) -> DataFrame:
-    """Rows of the generation that reaches to `through`, and of the epochs after it; older epochs are pruned."""
-    later = spark.read.parquet(f"{path}/{name}").filter(F.col("epoch") > through)
-    if through < 0:
-        return later
-    base = spark.read.parquet(f"{path}/index/{name}").filter(F.col("through") == through).withColumnRenamed("written", "epoch")
-    return base.drop("through").unionByName(later)
-
-
-def _current(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    through = _generation(spark, path)
-    status = latest_per_key(_rows(spark, path, "status", through), ["doc_id"], ["epoch"])
-    fit = status.filter(F.col("status") == "scanned").select("doc_id", "epoch")
-    return _rows(spark, path, "chunks", through).join(fit, ["doc_id", "epoch"], "left_semi"), status
-
-
 def ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Index and status after a run: the newest epoch of each document wins."""
-    chunks, status = _current(spark, path)
-    return chunks.drop("epoch"), status.drop("epoch")
-
-
-def compact(spark: SparkSession, path: str) -> None:
-    """Write the index as one generation: a re-delivered document's chunks stand in it once, a failed one's not at all.
-
-    A generation is never changed. Its status is written last, and only then readers use it in place of the epochs
-    it holds; a run that ends half-way leaves what was there and is repeated by the next.
-    """
-    through = spark.read.parquet(f"{path}/status").agg(F.max("epoch")).first()[0]
-    if through is None or through <= _generation(spark, path):
-        return
-    for name, rows in zip(("chunks", "status"), _current(spark, path), strict=True):
-        rows.withColumnRenamed("epoch", "written").write.mode("overwrite").parquet(f"{path}/index/{name}/through={through}")
+    """Index and status as of the last finished batch."""
+    chunks = spark.read.parquet(f"{path}/chunk_schema").schema
+    return read_store(spark, f"{path}/chunks", chunks), read_store(spark, f"{path}/status", STATUS)
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -172,7 +141,27 @@ def latest_status(events: DataFrame) -> DataFrame:
     """
     open_ = F.col("status").isin("uploaded", "scanning")
     cleared = events.withColumn("quality_score", F.when(~open_, F.col("quality_score")))
-    return newest(cleared, "asset_id", ["at", "event_id"], ["status", "quality_score", "at"])
+    return newest(cleared, "asset_id", ["at", "event_id"], ["status", "quality_score", "at", "event_id"])
+
+
+def latest_status_stream(events: DataFrame, period: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """Streaming form: newest state per asset and period. State ends with the period.
+
+    An asset's state of a period is dropped once the watermark has passed the period, so state holds the assets of open
+    periods, not all that ever were. A row that comes after its period was dropped is too late and is not counted; one
+    that is late but within an open period is. The newest row over the periods that were written (`newest_of`) is the
+    batch result.
+    """
+    open_ = F.col("status").isin("uploaded", "scanning")
+    cleared = events.withWatermark("at", lateness).withColumn("quality_score", F.when(~open_, F.col("quality_score")))
+    fields = ["status", "quality_score", "at", "event_id"]
+    g = cleared.groupBy(F.window("at", period).alias("w"), "asset_id").agg(F.max_by(F.struct(*fields), F.struct("at", "event_id")).alias("_n"))
+    return g.select("asset_id", F.col("w.start").alias("period"), *[F.col("_n").getField(f).alias(f) for f in fields])
+
+
+def newest_of(rows: DataFrame, key: str, order: Cols) -> DataFrame:
+    """One row a key: the newest of those that a stream has written for its periods, whichever batch wrote them."""
+    return latest_per_key(rows, [key], list(order))
 
 
 def usage_windows(usage: DataFrame, lateness: str = "1 hour", size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -206,19 +195,46 @@ def dedupe_events(events: DataFrame, keys: Cols, ts: str, lateness: str = "1 hou
     return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
+PARTS = {"answer": ("final", F.max_by, F.max), "plan": ("trace", F.min_by, F.min), "conversation": ("conversation", F.min_by, F.min)}
+
+
 def assemble_responses(events: DataFrame) -> DataFrame:
     """Per request: last final answer, first plan trace, first conversation event, error flag when there is no final.
 
     ``events``: (request_id, seq, type, payload).
     """
-    of = lambda kind: F.when(F.col("type") == kind, F.col("seq"))
-    g = events.groupBy("request_id").agg(
-        F.max_by("payload", of("final")).alias("answer"),
-        F.min_by("payload", of("trace")).alias("plan"),
-        F.min_by("payload", of("conversation")).alias("conversation"),
-        F.count("seq").alias("n_events"),
-    )
-    return g.withColumn("error", F.when(F.col("answer").isNull(), "missing_final"))
+    return _finished(_parts(events, "request_id").select("request_id", *PARTS, "n_events"))
+
+
+def _parts(events: DataFrame, *by) -> DataFrame:
+    """Each part of a response with its place in the order of events, so that partial responses can be put together."""
+    aggregates = [F.count("seq").alias("n_events")]
+    for name, (kind, by_order, end) in PARTS.items():
+        seq = F.when(F.col("type") == kind, F.col("seq"))
+        aggregates += [by_order("payload", seq).alias(name), end(seq).alias(f"{name}_seq")]
+    return events.groupBy(*by).agg(*aggregates)
+
+
+def _finished(responses: DataFrame) -> DataFrame:
+    return responses.withColumn("error", F.when(F.col("answer").isNull(), "missing_final"))
+
+
+def assemble_responses_stream(events: DataFrame, period: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """Streaming form over (request_id, seq, type, payload, at): the parts of a request by period. State ends with the period.
+
+    The parts of a period are dropped from the state once the watermark has passed it; an event that comes later than
+    that is not counted. A request over several periods is put together by `responses_of`.
+    """
+    dated = events.withWatermark("at", lateness)
+    g = _parts(dated, F.window("at", period).alias("w"), "request_id")
+    return g.withColumn("period", F.col("w.start")).drop("w")
+
+
+def responses_of(rows: DataFrame) -> DataFrame:
+    """One response a request from the parts that a stream has written for its periods; the newest batch's row of a period counts."""
+    parts = latest_per_key(rows, ["request_id", "period"], ["epoch"])
+    whole = [by_order(name, f"{name}_seq").alias(name) for name, (_, by_order, _) in PARTS.items()]
+    return _finished(parts.groupBy("request_id").agg(*whole, F.sum("n_events").alias("n_events")))
 
 
 # ---------------------------------------------------------------------------------------------------
