@@ -261,14 +261,20 @@ def admin_stats(users: DataFrame, subscriptions: DataFrame, now: datetime) -> Da
     return flagged.agg(F.count(F.lit(1)).alias("total_users"), F.count("_on").alias("subscribed_users"))
 
 
-def corpus_stats(chunks: DataFrame, groups: Cols = ()) -> DataFrame:
-    """Documents, chunks, characters and token estimate; pre-aggregated per document."""
+def corpus_stats(chunks: DataFrame, groups: Cols = (), page: str | None = None, unit: str | None = None) -> DataFrame:
+    """Documents, chunks, characters and token estimate, with the columns named also pages and units.
+
+    Pre-aggregated per document: pages and units are counted there, since their numbers repeat from one to the next.
+    """
+    counted = {name: F.count_distinct(column) for name, column in (("pages", page), ("units", unit)) if column}
     per_doc = chunks.groupBy(*groups, "doc_id").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(F.length("text")).alias("ch"), F.sum(T.token_estimate(F.length("text"))).alias("t")
+        F.count(F.lit(1)).alias("c"), F.sum(F.length("text")).alias("ch"), F.sum(T.token_estimate(F.length("text"))).alias("t"),
+        *[count.alias(name) for name, count in counted.items()],
     )
     return per_doc.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("documents"),
         F.sum("c").alias("chunks"),
+        *[F.sum(name).alias(name) for name in counted],
         F.sum("ch").alias("characters"),
         F.sum("t").alias("tokens"),
     )

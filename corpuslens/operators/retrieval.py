@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 from corpuslens.functions import vector as V
 from corpuslens.operators.ordering import topk, topk_scored, union_stages
+from corpuslens.session import fresh_path
+from corpuslens.sources.readers import write_table
 
 Cols = Sequence[str]
 
@@ -123,9 +125,19 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _whole_vectors(df: DataFrame, size: int) -> DataFrame:
-    """Rows whose vector has this length and no null: the others cannot be compared."""
-    return df.filter((F.size("embedding") == size) & F.forall("embedding", lambda x: x.isNotNull()))
+def _whole_vectors(df: DataFrame) -> DataFrame:
+    """Rows with a vector and no null in it, and the vector's length: only vectors of one length can be compared."""
+    whole = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
+    return df.filter(whole).withColumn("dim", F.size("embedding"))
+
+
+def _by_length(table: pa.Table | pa.RecordBatch, key: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, keys and matrix of the vectors of each length."""
+    dims = table["dim"].to_numpy()
+    for dim in np.unique(dims):
+        rows = pa.array(np.flatnonzero(dims == dim))
+        vectors = table["embedding"].take(rows)
+        yield int(dim), table[key].take(rows).to_numpy(), _as_matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -163,41 +175,37 @@ def _local_top(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.ndarray,
 def dense_topk(
     queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool = False, max_broadcast: int = MAX_BROADCAST_VALUES
 ) -> DataFrame:
-    """Exact cosine top k per query.
+    """Exact cosine top k per query, among the vectors of the query's length.
 
     A query set whose matrix stays under the size bound is shipped to the tasks, and each Arrow batch of
     vectors yields its local top k from one matrix product: the vectors are never shuffled. A larger query
     set is cut into blocks which meet blocks of vectors in a co-group, one matrix product per block pair.
     """
-    q = queries.select(F.col("query_id").cast("long"), "embedding")
-    v = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    head = q.filter(F.size("embedding") > 0).limit(1).select(F.size("embedding").alias("d")).collect()
-    if head:
-        q, v = _whole_vectors(q, head[0]["d"]), _whole_vectors(v, head[0]["d"])
-    else:
-        return q.select("query_id", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score"),
-                        F.lit(None).cast("int").alias("rank")).limit(0)
-    bound = max(1, max_broadcast // max(1, head[0]["d"]))
+    q = _whole_vectors(queries.select(F.col("query_id").cast("long"), "embedding"))
+    v = _whole_vectors(vectors.select(F.col("vec_id").cast("long"), "embedding"))
+    longest = q.agg(F.max("dim")).first()[0] or 1
+    bound = max(1, max_broadcast // longest)
     probe = q.limit(bound + 1).toArrow()
     schema = "query_id long, vec_id long, score double"
     if probe.num_rows <= bound:
-        qids = probe["query_id"].to_numpy()
-        qm = _unit(_as_matrix(probe["embedding"].combine_chunks()))
-        shipped = v.sparkSession.sparkContext.broadcast((qids, qm))
+        matrices = {dim: (ids, _unit(m)) for dim, ids, m in _by_length(probe, "query_id")}
+        shipped = v.sparkSession.sparkContext.broadcast(matrices)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m = shipped.value
+            known = shipped.value
             for batch in batches:
-                vectors_ = _as_matrix(batch["embedding"])
-                for at in range(0, len(ids) if batch.num_rows else 0, QUERY_TILE):  # the product stays a tile
-                    tile = slice(at, at + QUERY_TILE)
-                    yield _local_top(ids[tile], m[tile], batch["vec_id"].to_numpy(), vectors_, k, skip_self)
+                for dim, vids, vectors_ in _by_length(batch, "vec_id"):
+                    ids, m = known.get(dim, ((), None))
+                    for at in range(0, len(ids), QUERY_TILE):  # the product stays a tile
+                        tile = slice(at, at + QUERY_TILE)
+                        yield _local_top(ids[tile], m[tile], vids, vectors_, k, skip_self)
 
         local = v.mapInArrow(score, schema)
     else:
         del probe
         n_blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
-        qb = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn(
+        # A name of its own: rows of one table on both sides would have one column twice.
+        qb = q.withColumnsRenamed({"embedding": "asked", "dim": "asked_dim"}).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).withColumn(
             "vb", F.explode(F.sequence(F.lit(0), F.lit(VECTOR_BLOCKS - 1)))
         )
         vb = v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(VECTOR_BLOCKS)).cast("int")).withColumn(
@@ -209,14 +217,14 @@ def dense_topk(
                 return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
                                  "score": pa.array([], pa.float64())})
             left, right = left.combine_chunks(), right.combine_chunks()
-            m = _unit(_as_matrix(left["embedding"].combine_chunks()))
+            m = _unit(_as_matrix(left["asked"].combine_chunks()))
             parts = []
             for batch in right.to_batches(max_chunksize=10_000):
                 parts.append(_local_top(left["query_id"].to_numpy(), m, batch["vec_id"].to_numpy(),
                                         _as_matrix(batch["embedding"]), k, skip_self))
             return pa.Table.from_batches(parts)
 
-        local = qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")).applyInArrow(pair, schema)
+        local = qb.groupBy("asked_dim", "qb", "vb").cogroup(vb.groupBy("dim", "qb", "vb")).applyInArrow(pair, schema)
     return topk_scored(local, ["query_id"], "score", ["vec_id"], k)
 
 
@@ -331,6 +339,46 @@ def overfetch(n: int, k: int) -> int:
     return min(n, max(2 * k, k))
 
 
+ScoreFn = Callable[[list[str], list[str]], Sequence[float]]
+_MODELS: dict[str, ScoreFn] = {}  # of this Python worker, so that a model is loaded once in each
+
+
+def score_pairs(pairs: DataFrame, keys: Cols, name: str, load: Callable[[], ScoreFn], batch: int = 64) -> DataFrame:
+    """(query_id, keys, score) of (query_id, keys, pair_query, text) from a model that scores pairs of texts.
+
+    `load` makes the model under `name` once in a worker; it is asked in batches of one query's pairs. If it fails or
+    answers with another number of scores, the query has no scores at all, and a re-rank keeps its order.
+    """
+    keys = list(keys)
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            scores = pd.Series(np.nan, pdf.index, dtype=float)
+            for _, rows in pdf.groupby("query_id", sort=False, dropna=False):
+                for at in range(0, len(rows), batch):
+                    part = rows.iloc[at : at + batch]
+                    try:
+                        if name not in _MODELS:
+                            _MODELS[name] = load()
+                        got = _MODELS[name](part["pair_query"].tolist(), part["text"].tolist())
+                    except Exception:  # whatever a model raises, the query falls back
+                        got = ()
+                    if len(got) == len(part):
+                        scores[part.index] = np.asarray(got, float)
+            yield pdf[["query_id", *keys]].assign(score=scores)
+
+    texts = pairs.select("query_id", *keys, F.coalesce("pair_query", F.lit("")).alias("pair_query"), F.coalesce("text", F.lit("")).alias("text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name not in ("pair_query", "text"))
+    scored = texts.repartition("query_id").sortWithinPartitions("query_id", *keys).mapInPandas(score, f"{fields}, score double")
+    failed = F.max(F.col("score").isNull() | F.isnan("score")).over(Window.partitionBy("query_id"))
+    return scored.withColumn("_failed", failed).filter(~F.col("_failed")).drop("_failed")
+
+
+def rerank_text(query: Column, rewrite: Column, status: Column) -> Column:
+    """What a re-ranker reads as the query: the rewrite too where it succeeded."""
+    return F.when(status == "success", F.concat(query, F.lit("\n"), rewrite)).otherwise(query)
+
+
 def parent_identity(df: DataFrame) -> Column:
     """First usable of parent id, parent title, clean headings, chunk number."""
     has = set(df.columns)
@@ -377,37 +425,49 @@ def page_projection(ranking: DataFrame) -> DataFrame:
 
 def retrieve(
     queries: DataFrame,
-    search: Callable[[DataFrame], DataFrame],
+    search: Callable[[DataFrame, int], DataFrame],
     keys: Cols,
     candidate_k: int,
     final_k: int,
     scores: DataFrame | None = None,
     chunks: DataFrame | None = None,
     mode: str = "r2",
+    score: tuple[str, Callable[[], ScoreFn]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Search, fuse the rewrite where needed, re-rank, diversify; returns (final ranking, telemetry).
 
-    Queries that need no rewrite never enter the second search.
+    ``queries`` carry (query_id, query_text, rewrite, scope_language). Originals and rewrites go through one search;
+    a query that needs no rewrite is in it once. Scores are given, or come from the hook ``score`` (its name and
+    loader), which reads the candidates' ``text`` in ``chunks``. Twice the final number of candidates is re-ranked.
     """
+    keys = list(keys)
     status = (
         rewrite_status(F.col("query_text"), F.col("rewrite"), F.col("scope_language"))
         if mode == "r2"
         else F.lit("not_needed")
     )
     q = queries.withColumn("rewrite_status", status)
-    original = search(q.select("query_id", "query_text"))
-    again = q.filter(F.col("rewrite_status") == "success").select(
-        "query_id", F.col("rewrite").alias("query_text")
-    )
-    candidates = original
-    if mode == "r2":
-        candidates = rewrite_fuse(original, search(again), q, keys, candidate_k)
-    ranked = rerank_with_scores(candidates, scores, keys, candidate_k) if scores is not None else candidates
+    asks = [F.struct(F.lit(0).alias("ordinal"), F.col("query_text").alias("text")), F.when(F.col("rewrite_status") == "success", F.struct(F.lit(1).alias("ordinal"), F.col("rewrite").alias("text")))]
+    tagged = q.select("query_id", F.explode(F.array_compact(F.array(*asks))).alias("ask"))
+    tagged = tagged.select(F.struct("query_id", "ask.ordinal").alias("query_id"), F.col("ask.text").alias("query_text"))
+    depth = overfetch(candidate_k, final_k)
+    found = search(tagged, depth).select("query_id.*", *keys, "rank", F.col("score").alias("own"))
+    # One ranking alone keeps its order under fusion, so all queries pass it; those without a second keep their scores.
+    fused = rrf_fuse(found, keys, depth, payload=["own"])
+    twice = q.filter("rewrite_status = 'success'").select("query_id", F.lit(True).alias("_twice"))
+    merged = fused.join(twice, "query_id", "left")
+    merged = merged.select("query_id", *keys, "rank", F.when(F.col("_twice"), F.col("score")).otherwise(F.col("own")).alias("score"))
+    candidates = write_table(merged, fresh_path(q.sparkSession, "candidates"))  # read three times below
+    if score is not None:
+        pair_query = rerank_text(F.col("query_text"), F.col("rewrite"), F.col("rewrite_status"))
+        pairs = candidates.select("query_id", *keys).join(chunks.select(*keys, "text"), keys).join(q.select("query_id", pair_query.alias("pair_query")), "query_id")
+        scores = score_pairs(pairs, keys, *score)
+    ranked = rerank_with_scores(candidates, scores, keys, depth) if scores is not None else candidates
     if chunks is not None:
-        ranked = ranked.join(chunks, list(keys))
+        ranked = ranked.join(chunks.drop("text"), keys)
     final = diversify(ranked, final_k)
-    found = candidates.select("query_id").distinct().withColumn("_hit", F.lit(1))
-    telemetry = q.join(found, "query_id", "left").select(
+    hit = candidates.select("query_id").distinct().withColumn("_hit", F.lit(1))
+    telemetry = q.join(hit, "query_id", "left").select(
         "query_id",
         "rewrite_status",
         F.when(F.col("rewrite_status") == "success", 2).otherwise(1).alias("search_count"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.operators import corpus as C
+from corpuslens.operators import relational as B
 from corpuslens.plans import twin as S
 from corpuslens.plans.registry import query
 from corpuslens.sources import views
@@ -495,6 +496,21 @@ def multi_document_evidence(spark, sf):
     return C.multi_document_evidence(parented(spark, sf)).select("doc_id", "group_key", "coverage_key", "parent_title", "page", "page_end", "text")
 
 
+@query("c18_multi_document_support", S.ctes(*GROUPS) + "SELECT s.doc_id, s.chunk_index, s.group_key, g.coverage_key, s.text FROM sg2 s JOIN sg3 g ON g.doc_id=s.doc_id AND g.group_key=s.group_key")
+def multi_document_support(spark, sf):
+    return C.multi_document_support(parented(spark, sf)).select("doc_id", "chunk_index", "group_key", "coverage_key", "text")
+
+
+@query(
+    "a17_corpus_totals",
+    S.ctes(*PARENTS)
+    + "SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(DISTINCT (doc_id, page)) AS pages, count(DISTINCT (doc_id, parent_id)) FILTER (WHERE parent_id IS NOT NULL) AS units, "
+    "CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(greatest(1, CAST(round_even(length(text)/4.0::DOUBLE, 0) AS BIGINT))) AS BIGINT) AS tokens FROM pt GROUP BY source",
+)
+def corpus_totals(spark, sf):
+    return B.corpus_stats(parented(spark, sf), ["source"], page="page", unit="parent_id")
+
+
 EVIDENCE = (
     *PARENTS,
     f"e0 AS (SELECT *, coalesce(parent_id, {S.q(C.UNTITLED)}) AS k FROM pt)",

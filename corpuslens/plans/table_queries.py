@@ -7,14 +7,18 @@ import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import json as J
+from corpuslens.functions import text as T
 from corpuslens.operators import ordering as O
 from corpuslens.operators import quality as Q
 from corpuslens.operators import relational as B
+from corpuslens.operators.json_index import build_json_index, search_json_index
 from corpuslens.plans import twin as S
 from corpuslens.plans.order_queries import exam
 from corpuslens.plans.registry import query
 from corpuslens.session import fresh_path
-from corpuslens.sources import readers, views
+from corpuslens.sources import paging as P
+from corpuslens.sources import readers, store, views
 from corpuslens.sources.tables import table
 
 NOW = datetime.datetime(2000, 1, 1)
@@ -104,6 +108,23 @@ def list_chunks(spark, sf):
     return B.list_chunks(views.chunks(spark, sf), source="src3", limit=256).select("doc_id", "chunk_index", "text")
 
 
+@query(
+    "s6_scroll_pages",
+    S.ctes(S.CHUNKS, "l AS (SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, text, row_number() OVER (ORDER BY doc_id, chunk_index) AS r FROM v_chunks WHERE source <> 'src3')")
+    + "SELECT doc_id, chunk_index, text, CAST((r-1)//100 AS INT) AS page FROM l WHERE r <= 300",
+)
+def scroll_pages(spark, sf):
+    """Three pages of a hundred chunks, each asked for with the token of the one before."""
+    path = fresh_path(spark, "listing")
+    P.write_listing(views.chunks(spark, sf), path)
+    pages, token = None, None
+    for number in range(3):
+        rows, token = P.page(spark, path, 100, token, F.col("source") != "src3")
+        rows = rows.select("doc_id", "chunk_index", "text", F.lit(number).alias("page"))
+        pages = rows if pages is None else pages.unionByName(rows)
+    return pages
+
+
 @query("s7_manifest_verify", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0")
 def manifest_verify(spark, sf):
     d = views.docs(spark, sf).withColumn("p", F.col("doc_id").cast("string"))
@@ -121,6 +142,65 @@ def write_chunks(spark, sf):
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(
+    "s8_document_sidecars",
+    S.ctes(
+        S.CHUNKS,
+        "d AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END AS text FROM documents WHERE doc_id % 5 > 0 OR doc_id % 3 = 0)",
+        "u AS (SELECT doc_id, count(*) AS n, sum(length(text)) AS chars FROM v_chunks GROUP BY doc_id)",
+    )
+    + "SELECT doc_id, source AS owner, lang, length(text) AS char_count, sha256(text) AS sha256, coalesce(n, 0) AS n_units, coalesce(chars, 0)::BIGINT AS unit_chars FROM d LEFT JOIN u USING (doc_id)",
+)
+def document_sidecars(spark, sf):
+    """Two runs: the second brings back every third document with another text; every fifth came in no run but that."""
+    path = fresh_path(spark, "sidecars")
+    d = views.docs(spark, sf).select("doc_id", F.col("source").alias("owner"), "lang", "text")
+    units = views.chunks(spark, sf).select("doc_id", F.col("chunk_index").alias("unit_no"), F.length("text").alias("chars"))
+    first, second = F.col("doc_id") % 5 > 0, F.col("doc_id") % 3 == 0
+    store.write_documents(d.filter(first), units.filter(first), path, 0)
+    store.write_documents(d.filter(second).withColumn("text", F.concat("text", F.lit(" again"))), units.filter(second), path, 1)
+    r = store.read_documents(spark, path)
+    facts = F.from_json("metadata", "lang string, char_count long, sha256 string")
+    listed = F.from_json("document_map", "units array<struct<chars:long>>")["units"]
+    total = F.aggregate(listed, F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    return r.select("doc_id", "owner", facts["lang"].alias("lang"), facts["char_count"].alias("char_count"), facts["sha256"].alias("sha256"), F.size(listed).cast("long").alias("n_units"), total.alias("unit_chars"))
+
+
+# ---------------------------------------------------------------------------------------------- columns
+
+def nested_events(spark, sf):
+    """Events with a nested JSON object."""
+    user = F.struct((F.col("user_id") % 4).alias("tier"), F.col("event_type").alias("last"))
+    body = F.to_json(F.struct(user.alias("user"), F.array("event_type", F.lit("all")).alias("tags"), F.array(F.struct(F.col("event_id").alias("id"))).alias("items")))
+    return table(spark, sf, "events").select("event_id", body.alias("body"))
+
+
+@query("f_json_containment", "SELECT event_id FROM events WHERE user_id % 4 = 2 AND event_type = 'view'")
+def json_containment(spark, sf):
+    """From the stored index of paths and scalars."""
+    rows, path = nested_events(spark, sf), fresh_path(spark, "json-index")
+    build_json_index(rows, path, "event_id", "body")
+    return search_json_index(spark, path, rows, "event_id", "body", {"tags": ["all", "view"], "user": {"tier": 2}}).select("event_id")
+
+
+@query("f_json_digest", "SELECT event_id, sha256('{\"a\":[1,{\"y\":null,\"z\":\"' || event_type || '\"}],\"k\":' || user_id || '}') AS digest FROM events")
+def json_digest(spark, sf):
+    """Digests of objects whose keys and spaces differ from row to row."""
+    odd = F.concat(F.lit('{"k": '), F.col("user_id").cast("string"), F.lit(', "a":\n[1, {"z": "'), F.col("event_type"), F.lit('", "y": null}]}'))
+    even = F.concat(F.lit('{"a":[1,{"y":null, "z":"'), F.col("event_type"), F.lit('"}], "k":'), F.col("user_id").cast("string"), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", J.json_digest(F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)).alias("digest"))
+
+
+@query(
+    "f_layout_text",
+    "SELECT doc_id, regexp_replace(" + S.visible("text") + " || ' ۱۳' || (doc_id % 10) || ' می' || chr(8204) || 'رود', " + r"'\s+([.!?؟،؛:])', '\1', 'g') AS text FROM documents",
+)
+def layout_text(spark, sf):
+    """Texts with a reversed right-to-left number and a split verb at their end."""
+    broken = F.concat("text", F.lit("  ۳۱"), (F.col("doc_id") % 10).cast("string"), F.lit(" \tمی رود"))
+    return views.docs(spark, sf).select("doc_id", T.layout_text(broken).alias("text"))
+
+
 @query("s9_count_indexed", S.ctes(S.CHUNKS) + "SELECT count(*) AS n, count(*) FILTER (WHERE source='src2') AS n_src2 FROM v_chunks")
 def count_indexed(spark, sf):
     return B.count_indexed(views.chunks(spark, sf), n_src2=F.col("source") == "src2")

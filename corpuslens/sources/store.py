@@ -81,3 +81,61 @@ def upsert(rows: DataFrame, touched: DataFrame, path: str, keys: Cols, version:
     pointer = [(b, w, buckets, version) for b, w in sorted(now.items())] or [(-1, version, buckets, version)]
     table = spark.createDataFrame(pointer, POINTER).coalesce(1)
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{path}/pointer")
+
+
+# ---------------------------------------------------------------------------------------------------
+# several outputs of one run
+
+COMMITTED = "tables int, run long"
+
+
+def last_run(spark: SparkSession, path: str) -> int | None:
+    """The newest run that is finished as a whole."""
+    try:
+        return spark.read.schema(COMMITTED).parquet(f"{path}/committed").agg(F.max("run")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_together(tables: dict[str, DataFrame], touched: DataFrame, path: str, keys: Cols, run: int, buckets: int = BUCKETS) -> None:
+    """Put the rows of several tables in the place of those that they had of the touched keys, all or none of them.
+
+    Each table is a store of its own; the run is committed by one small file when all have been written, and readers
+    take every table as of the last committed run. A run that ends half-way is not seen and can be repeated.
+    """
+    for name, rows in tables.items():
+        upsert(rows, touched, f"{path}/{name}", keys, run, buckets)
+    mark = touched.sparkSession.createDataFrame([(len(tables), run)], COMMITTED).coalesce(1)
+    mark.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/committed")
+
+
+def read_together(spark: SparkSession, path: str, name: str, schema: StructType | str) -> DataFrame:
+    run = last_run(spark, path)
+    return read_store(spark, f"{path}/{name}", schema, run) if run is not None else spark.createDataFrame([], schema)
+
+
+NORMALIZED = "doc_id long, owner string, text string, metadata string"
+DOCUMENT_MAP = "doc_id long, owner string, document_map string"
+
+
+def write_documents(docs: DataFrame, units: DataFrame, path: str, run: int, buckets: int = BUCKETS) -> None:
+    """Per document its normalised text with a metadata object, and beside it a map of its units, committed together.
+
+    ``docs``: (doc_id, owner, text) and further columns, which go into the metadata with the text's digest and length;
+    ``units``: (doc_id, unit_no) and further columns, the entries of the map in order.
+    """
+    extra = [c for c in docs.columns if c not in ("doc_id", "owner", "text")]
+    facts = F.struct("doc_id", *extra, F.length("text").alias("char_count"), F.sha2("text", 256).alias("sha256"))
+    normalized = docs.select("doc_id", "owner", "text", F.to_json(facts).alias("metadata"))
+    entry = F.struct("unit_no", *[c for c in units.columns if c not in ("doc_id", "unit_no")])
+    listed = units.groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("units"))).alias("document_map"))
+    maps = docs.select("doc_id", "owner").join(listed, "doc_id", "left").withColumn("document_map", F.coalesce("document_map", F.lit('{"units":[]}')))
+    write_together({"normalized": normalized, "document_map": maps}, docs.select("doc_id"), path, ["doc_id"], run, buckets)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, owner, text, metadata, document_map of the last whole run."""
+    normalized = read_together(spark, path, "normalized", NORMALIZED)
+    return normalized.join(read_together(spark, path, "document_map", DOCUMENT_MAP).drop("owner"), "doc_id")

@@ -18,7 +18,7 @@ from corpuslens.operators import corpus as C
 from corpuslens.operators.ordering import latest_per_key
 from corpuslens.session import use_utc
 from corpuslens.sources.readers import write_table
-from corpuslens.sources.store import BUCKETS, read_store, upsert
+from corpuslens.sources.store import BUCKETS, read_together, write_together
 from corpuslens.sources.tables import spread
 
 Cols = Sequence[str]
@@ -91,7 +91,7 @@ def ingest_stream(stream: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 
     Cleaned text and profiles are written once per epoch and read back: both outputs start from the files
     instead of repeating the work, and a lost executor costs no recomputation. Only buckets of the batch's documents
-    are rewritten; the status comes last, so a document that is listed has its chunks.
+    are rewritten, and chunks and status are committed together.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -112,8 +112,7 @@ def ingest_stream(stream: DataFrame, path: str, buckets: int = BUCKETS) -> None:
         chunks = C.assign_chunks_to_units(C.chunk_structured(blocks), C.build_units(blocks, fit))
         write_table(chunks.limit(0), f"{path}/chunk_schema")
         touched = texts.select("doc_id")
-        upsert(chunks, touched, f"{path}/chunks", ["doc_id"], epoch, buckets)
-        upsert(status, touched, f"{path}/status", ["doc_id"], epoch, buckets)
+        write_together({"chunks": chunks, "status": status}, touched, path, ["doc_id"], epoch, buckets)
 
     drain(stream, path, "append", each)
 
@@ -121,7 +120,7 @@ def ingest_stream(stream: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 def ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Index and status as of the last finished batch."""
     chunks = spark.read.parquet(f"{path}/chunk_schema").schema
-    return read_store(spark, f"{path}/chunks", chunks), read_store(spark, f"{path}/status", STATUS)
+    return read_together(spark, path, "chunks", chunks), read_together(spark, path, "status", STATUS)
 
 
 # ---------------------------------------------------------------------------------------------------
