@@ -41,10 +41,10 @@ def stored_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
         batch_rows(df.sparkSession, BATCH_ROWS)
 
 
-def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, label: str, *partition_by: str, path: str | None = None) -> DataFrame:
     """The rows after a round trip through a table in the shared folder, which cuts the lineage."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = path or fresh_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     schema = df.schema
     del df
@@ -52,6 +52,12 @@ def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more: what was made of it is stored."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """Rows dealt over all shuffle partitions; small rows that stand for much work must not be put together again."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, dealt, output, scan, stored, stored_map, unused_name
+from corpuslens.llm.common import arrow_map, dealt, discard, output, scan, stored, stored_map, unused_name
+from corpuslens.session import fresh_path
 
 LENGTH = 200
 #: Bytes of an anchor, and of a symbol of the transforms (LENGTH is a multiple of it).
@@ -333,24 +334,32 @@ def _merged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, key, first, last: runs of places where strings of `length` bytes start that start elsewhere too.
+    """doc_id, key, runs (first, last): runs of places where strings of `length` bytes start that start elsewhere too.
 
     docs has doc_id, text and key, a hash of both; rows equal in both are told apart by nothing and share their runs.
     """
-    found = stored(arrow_map(docs.select("key", "text"), partial(_anchored, length=length), "anchor long, context long, key long, often int"), "anchors")
+    spark = docs.sparkSession
+    anchors = fresh_path(spark, "anchors")
+    found = stored(arrow_map(docs.select("key", "text"), partial(_anchored, length=length), "anchor long, context long, key long, often int"), "anchors", path=anchors)
     of_anchor = found.groupBy("anchor").agg(F.sum("often").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
-    kind = F.when(F.col("n") > HOT_ROWS, 2).when(F.col("a") != F.col("b"), 1).otherwise(0)
+    kind = F.when(F.col("a") == F.col("b"), 0).when(F.col("n") > HOT_ROWS, 2).otherwise(1)
     of_anchor = of_anchor.where("n > 1").select("anchor", kind.alias("kind"))
     known = found.select("anchor", "key").join(of_anchor, "anchor").groupBy("key")
     known = known.agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("anchor"))).alias(f"k{k}") for k in (0, 1, 2)])
+    del found, of_anchor
+    known = stored(known, "shared-anchors")
+    discard(spark, anchors)
     rows = docs.select("doc_id", "key", "text").join(known.hint("shuffle_hash"), "key")
     parts = arrow_map(rows.select("doc_id", "key", "text", "k0", "k1", "k2"), partial(_contexts, length=length), CONTEXTS)
     parts = stored(parts, "contexts", "kind")
     texts = dealt(parts.where("kind = 'text'").select("anchor", "context", "often", "bytes"), "anchor").sortWithinPartitions("anchor", "context")
     judged = stored_map(texts, partial(_merged, length=length), "context long, from_ long, to_ long", 4000, "repeated")
-    runs = parts.where("kind = 'run'").select("doc_id", "key", "first", "last")
-    opened = parts.where("kind = 'open'").select("doc_id", "key", "context", "first").join(judged, "context")
-    return runs.union(opened.select("doc_id", "key", (F.col("first") + F.col("from_")).alias("first"), (F.col("first") + F.col("to_")).alias("last")))
+    judged = judged.groupBy("context").agg(F.collect_list(F.struct("from_", "to_")).alias("judged"))
+    runs = parts.where("kind = 'run'").select("doc_id", "key", F.array(F.struct("first", "last")).alias("runs"))
+    # One row a context on the one side, one a text and context on the other: places are laid out inside the rows.
+    opened = parts.where("kind = 'open'").groupBy("doc_id", "key", "context").agg(F.collect_list("first").alias("places")).join(judged, "context")
+    spread = F.transform("places", lambda p: F.transform("judged", lambda r: F.struct((p + r["from_"]).alias("first"), (p + r["to_"]).alias("last"))))
+    return runs.union(opened.select("doc_id", "key", F.flatten(spread).alias("runs")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -388,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *named)
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows, length)
-    spans = spans.groupBy("key", "doc_id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    spans = spans.groupBy("key", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
     spans = spans.withColumnsRenamed({"key": "s_key", "doc_id": "s_doc"}).hint("shuffle_hash")
     joined = rows.join(spans, (F.col("key") == F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_doc")), "left")
     columns = [F.col(f"carried_{i}") for i in range(len(named))]
