@@ -355,9 +355,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = dealt(parts.where("kind = 'text'").select("anchor", "context", "often", "bytes"), "anchor").sortWithinPartitions("anchor", "context")
     judged = stored_map(texts, partial(_merged, length=length), "context long, from_ long, to_ long", 4000, "repeated")
     judged = judged.groupBy("context").agg(F.collect_list(F.struct("from_", "to_")).alias("judged"))
-    runs = parts.where("kind = 'run'").select("doc_id", "key", F.array(F.struct("first", "last")).alias("runs"))
+    runs = parts.where("kind = 'run'").groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     # One row a context on the one side, one a text and context on the other: places are laid out inside the rows.
-    opened = parts.where("kind = 'open'").groupBy("doc_id", "key", "context").agg(F.collect_list("first").alias("places")).join(judged, "context")
+    opened = parts.where("kind = 'open'").groupBy("doc_id", "key", "context").agg(F.collect_set("first").alias("places")).join(judged, "context")
     spread = F.transform("places", lambda p: F.transform("judged", lambda r: F.struct((p + r["from_"]).alias("first"), (p + r["to_"]).alias("last"))))
     return runs.union(opened.select("doc_id", "key", F.flatten(spread).alias("runs")))
 
@@ -397,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *named)
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows, length)
-    spans = spans.groupBy("key", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    spans = spans.groupBy("key", "doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     spans = spans.withColumnsRenamed({"key": "s_key", "doc_id": "s_doc"}).hint("shuffle_hash")
     joined = rows.join(spans, (F.col("key") == F.col("s_key")) & F.col("doc_id").eqNullSafe(F.col("s_doc")), "left")
     columns = [F.col(f"carried_{i}") for i in range(len(named))]
