@@ -40,21 +40,25 @@ def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarr
     """Symbols, their document ends, and rules of ids whose documents end where `ends` is true.
 
     Re-Pair in passes: a pass counts all pairs inside documents, gives the most frequent ones a nonterminal each, and
-    replaces them from the left without overlap; the next pass sees the new symbols, until no pair is frequent.
+    replaces them from the left without overlap; the next pass sees the new symbols, until no pair is frequent. Once a
+    pass has left none of the frequent pairs over, only pairs with one of its nonterminals can become frequent, so the
+    next one looks at those places and no others.
     """
     symbols, rules = tokens, []
+    due: np.ndarray | None = None  # places that may begin a frequent pair; all of them at first
     while len(symbols) >= 2:
         # Two symbols of 16 bits make a 32-bit pair, else a 64-bit one.
         narrow = first + len(rules) + PASS_RULES < 1 << 16
         kind, half, bits = (np.uint32, 16, 32) if narrow else (np.uint64, 32, 64)
         mix, shift = kind(_MIX & (2**bits - 1) | 1), kind(bits - _SLOTS)
         symbols = symbols.astype(kind)
-        pairs = symbols[:-1] << kind(half) | symbols[1:]
-        inside = ~ends[:-1]
-        ordered = np.sort(pairs[inside])
+        places = np.flatnonzero(~ends[:-1] if due is None else due[:-1] & ~ends[:-1])
+        pairs = symbols[places] << kind(half) | symbols[places + 1]
+        ordered = np.sort(pairs)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.array([], int)
         uses = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(uses >= MIN_USES)
+        left_over = len(often) > PASS_RULES
         often = often[np.argsort(-uses[often], kind="stable")][:PASS_RULES]
         if not len(often):
             break
@@ -64,19 +68,33 @@ def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarr
         slots, which = np.full(1 << _SLOTS, kind(2**bits - 1)), np.zeros(1 << _SLOTS, np.int32)
         slots[slot_of[::-1]] = chosen[::-1]
         which[slot_of[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-        place = pairs * mix >> shift
-        hit = np.flatnonzero((slots[place] == pairs) & inside)
+        slot = pairs * mix >> shift
+        held = slots[slot]
+        match = held == pairs
+        hit, pair_of = places[match], which[slot[match]]
         if not len(hit):
             break
         run = np.concatenate([[True], np.diff(hit) != 1])
         since = np.arange(len(hit)) - np.flatnonzero(run)[np.cumsum(run) - 1]
-        hit = hit[since % 2 == 0]  # neighbouring hits overlap: every second one of a run
-        used, index = np.unique(which[place[hit]], return_inverse=True)
-        symbols[hit] = kind(first + len(rules)) + index.astype(kind)
-        rules.extend((int(p) >> half, int(p) & (1 << half) - 1) for p in chosen[used])
-        ends[hit] = ends[hit + 1]
+        hit, pair_of = hit[since % 2 == 0], pair_of[since % 2 == 0]  # neighbouring hits overlap: every second one of a run
+        taken = np.bincount(pair_of, minlength=len(chosen)) > 0
+        used, number = np.flatnonzero(taken), (np.cumsum(taken) - 1).astype(kind)
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
+        if left_over:
+            due = None
+        else:
+            waiting = np.zeros(len(symbols), bool)
+            waiting[places[(held != kind(2**bits - 1)) & ~match]] = True  # pairs of a slot that another had, and others in it
+            due = waiting
+        symbols[hit] = kind(first + len(rules)) + number[pair_of]
+        ends[hit] = ends[hit + 1]
+        if due is not None:
+            due[hit] = True
+            before = hit[hit > 0] - 1
+            due[np.where(keep[before], before, before - 1)] = True  # the place before, which may be replaced itself
+            due = due[keep]
+        rules.extend((int(p) >> half, int(p) & (1 << half) - 1) for p in chosen[used])
         symbols, ends = symbols[keep], ends[keep]
     return symbols, ends, np.array(rules, "<u4").reshape(-1, 2)
 

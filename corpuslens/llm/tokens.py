@@ -68,23 +68,33 @@ class WordTokenizer:
 
         Words of a to z pass the normaliser and the splitter as they are, so they go to the merges at once.
         """
-        plain: dict[str, tuple[str, str]] = {}
+        merges, code, known = self.library.model.tokenize, self.code, self.known
+        others = []
         for word in words:
+            if word.isascii() and word.islower() and word.isalpha():
+                known[word] = array(code, [t.id for t in merges(word)]).tobytes()
+            else:
+                others.append(word)
+        plain: dict[str, tuple[str, str]] = {}
+        rest = []
+        for word in others:
             match = _PLAIN.fullmatch(word)
             if match:
                 plain[word] = match[1].lower(), match[2]
-        rest = [w for w in words if w not in plain]
-        due = {w for w in rest if self.mark not in w}
-        for stem, end in plain.values():
-            due.add(stem)
-            due.add(end)
-        due.discard("")
-        due = [w for w in due if w not in self.known]
-        found = self._call([w for w in due if not (w.isascii() and w.isalpha())])
-        merges = self.library.model.tokenize
-        found.update((w, array(self.code, [t.id for t in merges(w)]).tobytes()) for w in due if w.isascii() and w.isalpha())
-        find = lambda w: found[w] if w in found else self.known[w]
-        self.known.update({w: find(stem) + find(end) for w, (stem, end) in plain.items()} | {w: found[w] if self.mark not in w else self._bytes(w) for w in rest})
+            else:
+                rest.append(word)
+        due = {part for pair in plain.values() for part in pair}
+        due.update(w for w in rest if self.mark not in w)
+        found = {w: known[w] for w in due & known.keys()}
+        asked = []
+        for word in due - known.keys():
+            if word.isascii() and word.isalpha():
+                found[word] = array(code, [t.id for t in merges(word)]).tobytes()
+            else:
+                asked.append(word)
+        found.update(self._call(asked))
+        known.update((w, found[stem] + found[end]) for w, (stem, end) in plain.items())
+        known.update((w, found[w] if self.mark not in w else self._bytes(w)) for w in rest)
 
     def _bytes(self, word: str) -> bytes:
         return np.array(self._ids(word), self.dtype).tobytes()
