@@ -73,18 +73,25 @@ def bm25_topk(
     )
     summary = [F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg")]
     vocabulary = q.select(*scope, "term").distinct()
-    hits = (
-        pool.select(*scope, *keys, "_len", F.explode("_t").alias("term"))
-        .withColumn("term", F.lower("term"))
-        .join(ship(vocabulary), [*scope, "term"], "left_semi")
-    )
-    hits = hits.repartition(*keys) if small else hits
-    postings = hits.groupBy(*scope, *keys, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    counted = [*scope, *keys, "_len", "term"]
+    if small:
+        # The empty term stands for the chunk itself, so postings and statistics come from one pass over the texts. It is
+        # told apart by an aggregate: filters on keys would sink below the exchange, which could then not be shared.
+        tokens = F.concat(F.array(F.lit("")), "_t")
+        each = pool.select(*scope, *keys, "_len", F.explode(tokens).alias("term")).withColumn("term", F.coalesce(F.lower("term"), F.lit("")))
+        asked = each.join(F.broadcast(vocabulary.withColumn("_asked", F.lit(True))), [*scope, "term"], "left")
+        kept = asked.filter(F.col("_asked") | (F.col("term") == "")).select(*counted).repartition(*keys)
+        held = kept.groupBy(*counted).agg(F.count(F.lit(1)).alias("_tf"), F.max(F.col("term") == "").alias("_chunk"))
+        postings, chunk_rows = (held.filter(c).drop("_chunk") for c in (~F.col("_chunk"), F.col("_chunk")))
+    else:
+        hits = pool.select(*scope, *keys, "_len", F.explode("_t").alias("term")).withColumn("term", F.lower("term"))
+        hits = hits.join(vocabulary, [*scope, "term"], "left_semi")
+        postings, chunk_rows = hits.groupBy(*counted).agg(F.count(F.lit(1)).alias("_tf")), pool
     df = postings.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_df"))
     if scope:
-        df = df.join(pool.groupBy(*scope).agg(*summary), scope)
+        df = df.join(chunk_rows.groupBy(*scope).agg(*summary), scope)
     else:
-        df = df.withColumn("_s", pool.agg(F.struct(*summary).alias("_s")).scalar()).select("*", "_s.*").drop("_s")
+        df = df.withColumn("_s", chunk_rows.agg(F.struct(*summary).alias("_s")).scalar()).select("*", "_s.*").drop("_s")
     weighted = q.join(df, [*scope, "term"]).withColumn(
         "_w", F.col("qtf") * F.ln(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     )
@@ -103,9 +110,13 @@ def term_overlap_topk(queries: DataFrame, chunks: DataFrame, keys: Cols, k: int,
     """Rank by the number of shared distinct terms; ties go to the lower key."""
     q = queries.select("query_id", F.explode(T.term_set(F.col("query_text"))).alias("term"))
     body = F.concat_ws(" ", F.col(title), F.col("text")) if title else F.col("text")
+    terms = chunks.select(*keys, F.explode(T.term_set(body)).alias("term"))
     if shippable(q):
-        q, chunks = F.broadcast(q), chunks.repartition(*keys)
-    hits = chunks.select(*keys, F.explode(T.term_set(body)).alias("term")).join(q, "term")
+        # Terms that are asked for meet by chunk, so that the counts need no further exchange; texts stay where they are.
+        asked = F.broadcast(q.select("term").distinct())
+        hits = terms.join(asked, "term", "left_semi").repartition(*keys).join(F.broadcast(q), "term")
+    else:
+        hits = terms.join(q, "term")
     scored = hits.groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("overlap"))
     return topk(scored, ["query_id"], [F.col("overlap").desc(), *[F.col(c).asc() for c in keys]], k)
 

@@ -120,7 +120,7 @@ def dense_topk_approx(spark, sf):
     """Results from the stored index of each vector whose id 100 divides, vectors indexed, and whether their mean recall is 0.9."""
     path = fresh_path(spark, "vector-index")
     X.build_vector_index(vectors(spark, sf), path, dim=64)
-    asks = vectors(spark, sf).filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    asks = views.vector_queries(spark, sf).select("query_id", "embedding")
     near = X.search_vector_index(spark, path, asks, K, X.probes_for(spark, path, K, 0.97), skip_self=True)
     near = write_table(near.select("query_id", F.col("vec_id").alias("item")), fresh_path(spark, "near"))
     exact = R.dense_topk(asks, vectors(spark, sf), K, skip_self=True).select("query_id", F.col("vec_id").alias("item"))
@@ -175,7 +175,7 @@ HYBRID = (
     S.dense(K),
     "dr AS (SELECT query_id, vec_id AS doc_id, 0 AS ordinal, rank, score FROM de_top)",
     "lab AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, CASE WHEN a.label=b.label THEN 1.0 ELSE 0.0 END + 1.0/(1+abs(a.vec_id-b.vec_id)) AS score "
-    "FROM embeddings a JOIN embeddings b ON abs(a.vec_id-b.vec_id) BETWEEN 1 AND 20)",
+    "FROM embeddings a JOIN embeddings b ON abs(a.vec_id-b.vec_id) BETWEEN 1 AND 20 WHERE a.vec_id % 100 = 0)",
     "lr AS (SELECT query_id, doc_id, 1 AS ordinal, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, doc_id) AS rank FROM lab) WHERE rank<=10)",
     "hr AS (SELECT * FROM dr UNION ALL SELECT * FROM lr)",
     S.rrf("hr", "doc_id", K),
@@ -185,7 +185,7 @@ HYBRID = (
 def neighbour_ranking(spark, sf) -> DataFrame:
     """A second ranking of vectors by label agreement and id distance, within twenty ids."""
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    near = e.select("vec_id", "label", F.explode(F.sequence(F.col("vec_id") - 20, F.col("vec_id") + 20)).alias("o"))
+    near = e.filter("vec_id % 100 = 0").select("vec_id", "label", F.explode(F.sequence(F.col("vec_id") - 20, F.col("vec_id") + 20)).alias("o"))
     other = e.select(F.col("vec_id").alias("o"), F.col("label").alias("_l2"))
     gap = F.abs(F.col("vec_id") - F.col("o"))
     s = near.filter(gap > 0).join(other, "o").select(
@@ -377,16 +377,16 @@ def evaluate_run_means(spark, sf):
 
 TREC = (
     *HYBRID,
-    "v_vqrels AS (SELECT a.vec_id AS query_id, b.vec_id AS item, 1 AS grade FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id)",
+    "v_vqrels AS (SELECT a.vec_id AS query_id, b.vec_id AS item, 1 AS grade FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id WHERE a.vec_id % 100 = 0)",
     "v_runs AS (SELECT 'dense' AS stage, query_id, doc_id AS item, rank FROM dr UNION ALL SELECT 'lexical', query_id, doc_id, rank FROM lr UNION ALL "
     "SELECT 'hybrid', query_id, doc_id, rank FROM rrf_top)",
 )
 
 
 def label_qrels(spark, sf) -> DataFrame:
-    """Vectors sharing a label are relevant to each other."""
+    """Vectors that share a query's label are relevant to it."""
     e = table(spark, sf, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("query_id")), e.select("label", F.col("vec_id").alias("item"))
+    a, b = views.vector_queries(spark, sf).select("label", "query_id"), e.select("label", F.col("vec_id").alias("item"))
     return a.join(b, "label").filter("query_id <> item").select("query_id", "item", F.lit(1).alias("grade"))
 
 

@@ -67,16 +67,21 @@ def word_runs(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.explode(F.transform(shingles(F.col("w")), lambda run: F.xxhash64(run))).alias("run"))
 
 
+MAX_BROADCAST_RUNS = 1_000_000  # (query, run) rows of 16 bytes that may be shipped to every task
+
+
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
     """Query and document pairs sharing a run of eight words, grade 2."""
     q = word_runs(queries(spark, sf), "query_id", "query_text")
     d = word_runs(docs(spark, sf), "doc_id", "text")
+    if q.limit(MAX_BROADCAST_RUNS + 1).count() <= MAX_BROADCAST_RUNS:
+        q = F.broadcast(q)  # other runs of the documents end where they arise
     return q.join(d, "run").groupBy("query_id", F.col("doc_id").alias("item")).agg(F.lit(2).alias("grade"))
 
 
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector asks for its neighbours."""
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    """Every hundredth vector asks for its neighbours among all."""
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
 def usage(spark: SparkSession, sf: str) -> DataFrame:
