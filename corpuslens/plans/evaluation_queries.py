@@ -29,9 +29,56 @@ ANSWERED = (
 )
 
 
+def tailed(a, tails: dict[int, str], base: int):
+    """Answers with a further end that depends on the turn."""
+    tail = F.lit("")
+    for turn, text in tails.items():
+        tail = F.when(F.col("turn") % base == turn, F.lit(text)).otherwise(tail)
+    return a.withColumn("answer", F.concat("answer", tail))
+
+
+def tailed_sql(name: str, tails: dict[int, str], base: int) -> str:
+    cases = " ".join(f"WHEN {turn} THEN {S.q(text)}" for turn, text in tails.items())
+    return f"{name} AS (SELECT query_id, conv_id, turn, query, answer || CASE turn % {base} {cases} ELSE '' END AS answer FROM an)"
+
+
+# Norm and tokens of answers in Latin script.
+MACROS = (
+    "nrm AS (SELECT query_id, {norm} AS norm, {question} AS qnorm FROM {frame})",
+    "tok AS (SELECT query_id, {tokens} AS tokens, list_filter({topic}, lambda t: NOT list_contains({stop}, t) AND NOT regexp_matches(t, '^[0-9]+$')) AS topic FROM nrm)",
+)
+
+
+def _norm_sql(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^a-z0-9؀-ۿ.%<>=]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _tokens_sql(x: str) -> str:
+    stemmed = "CASE WHEN regexp_matches(t, '^[a-z]{5,}ly$') THEN left(t, length(t)-2) WHEN regexp_matches(t, '^[a-z]{4,}s$') THEN left(t, length(t)-1) ELSE t END"
+    stop = "[" + ", ".join(S.q(w) for w in V.SCORE_STOPWORDS) + "]"
+    return f"list_filter(list_transform(regexp_extract_all({x}, '{V.SCORE_TOKEN}'), lambda t: {stemmed}), lambda t: NOT list_contains({stop}, t))"
+
+
+def word_ctes(frame: str) -> tuple[str, ...]:
+    parts = {
+        "frame": frame, "norm": _norm_sql("answer"), "question": _norm_sql("query"), "tokens": _tokens_sql("norm"), "topic": _tokens_sql("qnorm"),
+        "stop": "[" + ", ".join(S.q(w) for w in V.QUESTION_STOPWORDS) + "]",
+    }
+    out = []
+    for macro in MACROS:
+        for name, text in parts.items():
+            macro = macro.replace("{" + name + "}", text)
+        out.append(macro)
+    return tuple(out)
+
+
+ENDS = {1: " ...", 3: "\nInsufficient information.", 4: "\nUnable to generate it."}
+
+
 def answer_tasks(spark, sf):
-    """Concepts are the answer's own last line and, every other turn, words it lacks; claims likewise."""
-    a = answered(spark, sf)
+    """Concepts are the answer's own last line and, every other turn, words it lacks; claims likewise. Some answers are
+    cut, refuse or report a failure."""
+    a = tailed(answered(spark, sf), ENDS, 5)
     last = F.element_at(F.split("answer", "\n"), -1)
     absent = F.lit("zzz qqq 77.5")
     c = F.col("conv_id")
@@ -48,35 +95,44 @@ def answer_tasks(spark, sf):
 @query(
     "v7_score_answers",
     S.ctes(
-        ANSWERED,
-        "s AS (SELECT query_id, conv_id, conv_id%3=0 AS ex, CASE WHEN conv_id%5=0 THEN 1.0 WHEN conv_id%2=0 THEN 0.5 ELSE 1.0 END AS cov, conv_id%5=0 AS noc, conv_id%7=0 AS forb, conv_id%4=1 AS una FROM an)",
+        ANSWERED, tailed_sql("an2", ENDS, 5), *word_ctes("an2"),
+        "s AS (SELECT query_id, conv_id, conv_id%3=0 AS ex, CASE WHEN conv_id%5=0 THEN 1.0 WHEN conv_id%2=0 THEN 0.5 ELSE 1.0 END AS cov, conv_id%5=0 AS noc, conv_id%7=0 AS forb, conv_id%4=1 AS una, conv_id%4=0 AS able, "
+        f"regexp_matches(answer, {S.q(V.REFUSAL)}) AND NOT regexp_matches(query, {S.q(V.EXCLUSION_QUESTION)}) AS ref, regexp_matches(answer, {S.q(V.TRUNCATION)}) AS cut, "
+        f"regexp_matches(answer, {S.q(V.GENERIC_FAILURE)}) AS gen, len(list_intersect(topic, tokens)) > 0 AS met FROM an2 JOIN tok USING (query_id))",
+        "r AS (SELECT *, una AND ref AND met AND NOT forb AS right_refusal FROM s)",
     )
-    + "SELECT query_id, ex AS normalized_answer_match, ex OR (cov=1.0 AND NOT forb AND NOT una) OR (noc AND ex) AS acceptable_answer_match, CAST(cov AS DOUBLE) AS required_concept_coverage, forb AS forbidden_claim, "
-    "false AS refusal_detected, false AS truncation FROM s",
+    + "SELECT query_id, ex AS normalized_answer_match, ex OR right_refusal OR (cov=1.0 AND NOT forb AND NOT una AND NOT ref) OR (noc AND ex) AS acceptable_answer_match, CAST(cov AS DOUBLE) AS required_concept_coverage, forb AS forbidden_claim, "
+    "ref AS refusal_detected, right_refusal AS refusal_correct, able AND ref AS false_refusal, gen AS generic_failure, cut AS truncation FROM r",
 )
 def score_answers(spark, sf):
     t = answer_tasks(spark, sf)
     s = V.score_answers(t.drop("answer"), t.select("query_id", "answer"))
-    return s.select("query_id", "normalized_answer_match", "acceptable_answer_match", "required_concept_coverage", "forbidden_claim", "refusal_detected", "truncation")
+    flags = ["refusal_detected", "refusal_correct", "false_refusal", "generic_failure", "truncation"]
+    return s.select("query_id", "normalized_answer_match", "acceptable_answer_match", "required_concept_coverage", "forbidden_claim", *flags)
+
+
+CONCLUSIONS = {1: "\n\nTherefore it requires care.", 2: "\n\nAnd so on."}
 
 
 @query(
     "v8_score_summaries",
     S.ctes(
-        ANSWERED,
-        "s AS (SELECT query_id, conv_id, turn, CASE WHEN conv_id%3=0 THEN 0.5 ELSE 1.0 END AS kc, CASE WHEN conv_id%5=0 THEN 0.5 ELSE 0.0 END AS con, conv_id%2=0 AS need, turn%3+1 AS least FROM an)",
+        ANSWERED, tailed_sql("an2", CONCLUSIONS, 3), *word_ctes("an2"),
+        "s AS (SELECT query_id, conv_id, turn, CASE WHEN conv_id%3=0 THEN 0.5 ELSE 1.0 END AS kc, CASE WHEN conv_id%5=0 THEN 0.5 ELSE 0.0 END AS con, conv_id%2=0 AS need, turn%3+1 AS least, CASE WHEN conv_id%4=0 THEN 0.5 ELSE 1.0 END AS sec, "
+        f"regexp_matches(norm, {S.q(V.CONCLUSION_WORDS)}) OR len(list_filter([" + ", ".join(S.q(x) for x in V.CONCLUSION_CUES) + "], lambda w: contains("
+        + _norm_sql(r"list_filter(regexp_split_to_array(answer, '\n\s*\n+'), lambda x: trim(x, ' ' || chr(10)) <> '')[-1]") + ", w))) >= 2 AS ends FROM an2 JOIN nrm USING (query_id))",
     )
-    + "SELECT query_id, 1.0::DOUBLE AS section_coverage, CAST(kc AS DOUBLE) AS key_claim_recall, NOT need AS conclusion_coverage, CAST(con AS DOUBLE) AS contamination_rate, round(least(1.0, 2.0::DOUBLE/least),6) AS page_diversity, "
-    "kc=1.0 AND con=0.0 AND NOT need AND least<=2 AS passed FROM s",
+    + "SELECT query_id, CAST(sec AS DOUBLE) AS section_coverage, CAST(kc AS DOUBLE) AS key_claim_recall, NOT need OR ends AS conclusion_coverage, CAST(con AS DOUBLE) AS contamination_rate, round(least(1.0, 2.0::DOUBLE/least),6) AS page_diversity, "
+    "sec=1.0 AND kc=1.0 AND con=0.0 AND (NOT need OR ends) AND least<=2 AS passed FROM s",
 )
 def score_summaries(spark, sf):
-    a = answered(spark, sf)
+    a = tailed(answered(spark, sf), CONCLUSIONS, 3)
     last = F.element_at(F.split("answer", "\n"), -1)
     first = F.split("answer", "\n")[0]
     c = F.col("conv_id")
     tasks = a.select(
         "query_id",
-        F.array(first).alias("required_sections"),
+        F.when(c % 4 == 0, F.array(first, F.lit("zzz qqq 77.5"))).otherwise(F.array(first)).alias("required_sections"),
         F.when(c % 3 == 0, F.array(last, F.lit("zzz qqq 77.5"))).otherwise(F.array(last)).alias("required_key_claims"),
         F.when(c % 5 == 0, F.array(first, F.lit("zzz"))).otherwise(F.array(F.lit("zzz"))).alias("contamination_blacklist"),
         (c % 2 == 0).alias("conclusion_required"),
