@@ -192,15 +192,17 @@ def anchor_sample(df: DataFrame, keys: Cols, order: Cols, wide: bool = False) ->
     return numbered.filter(F.array_contains(picks, F.col("_pos"))).drop("_pos", "_n")
 
 
+PACK_BLOCK = 256  # elements packed before their batch numbers are put behind those of earlier blocks
+
+
 def pack_array(sizes: Column, budget: int, max_items: int | None = None) -> Column:
     """Batch number (1-based) of every element when packed in order; a batch restarts when the next
-    element would pass the budget. An oversize element still gets a batch of its own."""
-    start = F.struct(
-        F.lit(0).alias("batch"),
-        F.lit(0).cast("long").alias("used"),
-        F.lit(0).alias("count"),
-        F.array().cast("array<int>").alias("out"),
-    )
+    element would pass the budget. An oversize element still gets a batch of its own.
+
+    Elements are taken in blocks: appending to an array copies it, so only short ones grow element by element.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), none.alias("out"))
 
     def step(acc: Column, size: Column) -> Column:
         full = (acc["used"] + size > budget) & (acc["count"] > 0)
@@ -215,7 +217,15 @@ def pack_array(sizes: Column, budget: int, max_items: int | None = None) -> Colu
             F.concat(acc["out"], F.array(batch)).alias("out"),
         )
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    def block(acc: Column, some: Column) -> Column:
+        begin = F.struct(acc["s"]["batch"].alias("batch"), acc["s"]["used"].alias("used"), acc["s"]["count"].alias("count"), none.alias("out"))
+        packed = F.aggregate(some, begin, step)
+        return F.struct(packed.alias("s"), F.concat(acc["blocks"], F.array(acc["s"]["out"])).alias("blocks"))
+
+    n_blocks = F.ceil(F.size(sizes) / PACK_BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(n_blocks, F.lit(1))), lambda i: F.slice(sizes, (i - 1) * PACK_BLOCK + 1, PACK_BLOCK))
+    whole = F.struct(start.alias("s"), F.array().cast("array<array<int>>").alias("blocks"))
+    return F.aggregate(blocks, whole, block, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["s"]["out"]))
 
 
 def pack_by_budget(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.numeric import one_if
 from corpuslens.operators.ordering import topk, union_stages
+from corpuslens.session import fresh_path
+from corpuslens.sources.readers import write_table
 
 Cols = Sequence[str]
 
@@ -187,33 +189,33 @@ def diverse_sample(
     """Seeded greedy choice preferring unseen documents, then real ones, with a cap on fixtures.
 
     Spark reduces the candidates to the rows a greedy pass could ever take: per stratum and document the first
-    quota rows, and of those documents the first ``sum(quotas) + quota``. That bounded set (a few hundred rows,
-    whatever the input) is walked in order.
+    quota rows, and of those documents the first ``sum(quotas) + quota``. Each unit of quota is then one minimum over
+    that small table; only the chosen row comes to the driver, which keeps what has been taken.
     """
-    total = sum(quotas.values())
+    spark, total = candidates.sparkSession, sum(quotas.values())
     fixture = F.col(document).startswith(fixture_prefix)
     h = candidates.withColumns({"_h": stable_hash(seed, F.col(key)), "_fx": fixture}).filter(F.col(stratum).isin(*quotas))
     per_doc = topk(h, [stratum, document], [F.col("_h")], max(quotas.values()), "_d")
     heads = topk(per_doc.filter("_d = 1"), [stratum, "_fx"], [F.col("_h")], total + max(quotas.values()), "_r")
     pool = per_doc.join(heads.select(stratum, document), [stratum, document], "left_semi")
-    rows = pool.select(stratum, key, document, "_h", "_fx").collect()
+    pool = write_table(pool.select(stratum, key, document, "_h", "_fx"), fresh_path(spark, "candidates"))
     chosen: list[tuple] = []
-    taken: set = set()
     seen: set = set()
     fixtures = 0
     for name, quota in quotas.items():
         for _ in range(quota):
-            options = [r for r in rows if r[0] == name and r[1] not in taken and (not r[4] or fixtures < cap)]
-            if not options:
+            options = pool.filter((F.col(stratum) == name) & ~F.col(key).isin([c[2] for c in chosen]))
+            options = options if fixtures < cap else options.filter(~F.col("_fx"))
+            place = F.struct(F.col(document).isin(sorted(seen)).alias("seen"), "_fx", "_h", F.col(key).alias("key"), F.col(document).alias("document"))
+            best = options.agg(F.min(place)).first()[0]
+            if best is None:
                 raise ValueError(f"cannot satisfy stratum {name}")
-            best = min(options, key=lambda r: (r[2] in seen, r[4], r[3]))
-            taken.add(best[1])
-            seen.add(best[2])
-            fixtures += int(best[4])
-            chosen.append((len(chosen) + 1, best[0], best[1]))
+            seen.add(best["document"])
+            fixtures += int(best["_fx"])
+            chosen.append((len(chosen) + 1, name, best["key"]))
     types = candidates.schema
     schema = f"pick int, `{stratum}` string, `{key}` {types[key].dataType.simpleString()}"
-    picks = candidates.sparkSession.createDataFrame(chosen, schema)
+    picks = spark.createDataFrame(chosen, schema)
     return candidates.join(F.broadcast(picks), [stratum, key])  # one row per unit of quota
 
 

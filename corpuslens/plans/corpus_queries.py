@@ -321,12 +321,34 @@ def profile_corpus(spark, sf):
     )
 
 
-@query(
-    "c11_garbled_pages",
-    S.ctes(S.PAGES) + f"SELECT doc_id, CAST(page AS INT) AS page, CASE WHEN {S.count_re('text', '[' + AR + ']')} < 30 THEN false END AS garbled FROM v_pages",
-)
+LATIN, PERSIAN = "abcdefghijklmnopqrstuvwxyz", "ابپتثجچحخدذرزژسشصضطظعغفقکگ"
+FA_TEXT = f"translate(lower(replace(text, chr(10), ' ')), '{LATIN}', '{PERSIAN}')"
+
+
+def _garbled_sql() -> str:
+    stop = "[" + ", ".join(S.q(w) for w in C.FA_STOPWORDS) + "]"
+    word = f"trim(regexp_replace({S.fold('t')}, '[{C.FA_MARKS}]', '', 'g'), {S.q(C.FA_EDGE)})"
+    return S.ctes(
+        S.PAGES,
+        f"f AS (SELECT doc_id, page, CASE (doc_id + page) % 4 WHEN 0 THEN {FA_TEXT} WHEN 1 THEN replace({FA_TEXT}, ' ', ' است ') WHEN 2 THEN replace(replace({FA_TEXT}, ' ', ' است '), 'ث', 'ثًٌّ') ELSE replace(text, chr(10), ' ') END AS t FROM v_pages)",
+        f"j AS (SELECT doc_id, page, {S.visible('t')} AS j FROM f)",
+        f"c AS (SELECT *, length(regexp_replace(j, '[^{C.FA_LETTERS}]+', '', 'g')) AS fa, length(regexp_replace(j, '[^A-Za-z]+', '', 'g')) AS la, length(regexp_replace(j, '[^{C.FA_MARKS}]+', '', 'g')) AS marks, "
+        f"list_filter(list_transform(regexp_split_to_array(j, '\\s+'), lambda t: {word}), lambda t: t <> '') AS toks FROM j)",
+        f"n AS (SELECT *, len(toks) AS n, len(list_filter(toks, lambda t: list_contains({stop}, t))) AS hits FROM c)",
+    ) + (
+        "SELECT doc_id, CAST(page AS INT) AS page, fa >= 30 AND fa::DOUBLE / greatest(fa + la, 1) >= 0.35 AND (marks::DOUBLE / greatest(fa, 1) > 0.10 OR (n >= 10 AND hits::DOUBLE / greatest(n, 1) < 0.03)) AS garbled FROM n"
+    )
+
+
+@query("c11_garbled_pages", _garbled_sql())
 def garbled_pages(spark, sf):
-    return C.garbled_pages(views.pages(spark, sf)).select("doc_id", "page", "garbled")
+    """Pages in Latin letters, in Persian ones without any frequent word, with such words, and with marks besides."""
+    one_line = F.replace("text", F.lit("\n"), F.lit(" "))
+    fa = F.translate(F.lower(one_line), LATIN, PERSIAN)
+    words = F.replace(fa, F.lit(" "), F.lit(" است "))
+    m = (F.col("doc_id") + F.col("page")) % 4
+    text = F.when(m == 0, fa).when(m == 1, words).when(m == 2, F.replace(words, F.lit("ث"), F.lit("ثًٌّ"))).otherwise(one_line)
+    return C.garbled_pages(views.pages(spark, sf).withColumn("text", text)).select("doc_id", "page", "garbled")
 
 
 @query(

@@ -477,37 +477,57 @@ def table_pages(spark, sf):
     return E.table_pages(q, p.select("doc_id", "page", text.alias("text")))
 
 
+TABLE_TERMS = "list_filter({terms}, lambda t: NOT list_contains({stop}, t))"
+
+
+def _table_terms(x: str) -> str:
+    return TABLE_TERMS.format(terms=S.terms(x), stop=lst(E.TABLE_STOPWORDS))
+
+
 @query(
     "c21_table_lookup",
     S.ctes(
         *ROWS,
         "o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY page, k) AS row_no FROM dg)",
-        "h AS (SELECT g, length(g)%2=0 AS premise FROM dg GROUP BY g)",
-        "t AS (SELECT o.*, premise FROM o JOIN h USING (g) WHERE k=2)",
+        "h AS (SELECT g, length(g)%2=0 AS premise, length(g)%3=0 AS named, 'Which option is the ' || arg_max(label, k) AS ask FROM dg GROUP BY g)",
+        "t AS (SELECT o.*, premise FROM o JOIN h USING (g) WHERE k=2 AND NOT named)",
         "c AS (SELECT t.g, arg_min(o.label, o.row_no) AS fix FROM t JOIN o ON o.g=t.g AND o.row_no<>t.row_no AND o.value='۰٫۳۵' WHERE premise AND t.value<>'۰٫۳۵' GROUP BY t.g)",
+        f"w AS (SELECT o.g, o.label, o.value, o.k, o.row_no, {_table_terms('ask')} AS qt, {_table_terms('o.label')} AS lt FROM o JOIN h ON h.g=o.g AND named)",
+        "v AS (SELECT *, len(list_intersect(qt, lt)) AS hits FROM w)",
+        "b AS (SELECT * FROM v WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY hits::DOUBLE/greatest(len(lt),1) DESC, hits DESC, row_no) = 1)",
     )
-    + "SELECT t.g, label, value, CAST(k AS INT) AS rank, 'rank' AS matched_by, CASE WHEN premise THEN value='۰٫۳۵' END AS premise_correct, fix AS correction FROM t LEFT JOIN c USING (g)",
+    + "SELECT t.g, label, value, CAST(k AS INT) AS rank, 'rank' AS matched_by, CASE WHEN premise THEN value='۰٫۳۵' END AS premise_correct, fix AS correction FROM t LEFT JOIN c USING (g) "
+    "UNION ALL SELECT g, label, value, CAST(k AS INT), 'label', NULL, NULL FROM b WHERE hits >= 2",
 )
 def table_lookup(spark, sf):
+    """A third of the tables are asked by the label of their last rank, the others by rank, half of those with a premise."""
     from pyspark.sql import Window
 
     rows = E.extract_ranked_rows(part_tables(spark, sf), ["g"], "page")
     rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("g").orderBy("page", "row_no")))
-    q = rows.select("g").distinct().withColumn("query_text", F.when(F.length("g") % 2 == 0, "Is the rank second at 0.35?").otherwise("Which was ranked 2"))
+    by_rank = F.when(F.length("g") % 2 == 0, "Is the rank second at 0.35?").otherwise("Which was ranked 2")
+    last = rows.groupBy("g").agg(F.max_by("label", "rank").alias("last"))
+    q = last.select("g", F.when(F.length("g") % 3 == 0, F.concat(F.lit("Which option is the "), "last")).otherwise(by_rank).alias("query_text"))
     return E.table_lookup(q, rows, "g")
 
 
 @query(
     "c22_extract_relations",
-    "SELECT o_custkey AS g, CAST(arg_min(o_orderkey % 90 + 1, o_orderkey) AS VARCHAR) AS people, CAST(arg_min(o_orderkey % 40 + 2, o_orderkey) AS VARCHAR) AS factors, "
-    "round(arg_min(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey % 80 + 10) / 100.0::DOUBLE END, o_orderkey), 4) AS kappa FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY o_custkey "
-    "UNION ALL SELECT o_custkey, NULL, NULL, NULL FROM orders GROUP BY o_custkey HAVING bool_and(o_orderkey % 4 = 0)",
+    "SELECT o_custkey AS g, CAST(arg_min(o_orderkey % 90 + 1, o_orderkey) FILTER (WHERE o_orderkey % 4 <> 0) AS VARCHAR) AS people, CAST(arg_min(o_orderkey % 40 + 2, o_orderkey) FILTER (WHERE o_orderkey % 4 <> 0) AS VARCHAR) AS factors, "
+    "round(arg_min((o_orderkey % 80 + 10) / 100.0::DOUBLE, o_orderkey) FILTER (WHERE o_orderkey % 4 <> 0), 4) AS kappa, "
+    "arg_min(['cost','service quality','time'][o_orderkey % 3 + 1], o_orderkey) FILTER (WHERE o_orderkey % 5 = 1) AS criterion, "
+    "arg_min(translate('0.' || (o_orderkey % 8 + 11), '0123456789.', '۰۱۲۳۴۵۶۷۸۹٫'), o_orderkey) FILTER (WHERE o_orderkey % 5 = 1) AS weight, "
+    "arg_min((o_orderkey % 50) || ',' || (o_orderkey % 30) || '.5,7', o_orderkey) FILTER (WHERE o_orderkey % 7 = 2) AS variance FROM orders GROUP BY o_custkey",
 )
 def extract_relations(spark, sf):
-    """A methods sentence per order; every fourth one lacks the agreement value."""
+    """A methods sentence per order; some lack the agreement value, some name a criterion or explained variance."""
     i = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     tail = F.when(i % 4 == 0, ".").otherwise(F.concat(F.lit(" and reached Cohen's kappa of 0."), s(i % 80 + 10), F.lit(".")))
-    text = F.concat(F.lit("We spoke with "), s(i % 90 + 1), F.lit(" experts, found "), s(i % 40 + 2), F.lit(" key factors"), tail)
+    name = F.element_at(F.array(F.lit("cost"), F.lit("service quality"), F.lit("time")), (i % 3 + 1).cast("int"))
+    criterion = F.when(i % 5 == 1, F.concat(F.lit(" The "), name, F.lit(" criterion had a weight of 0."), s(i % 8 + 11), F.lit(" and was the most important."))).otherwise("")
+    variance = F.when(i % 7 == 2, F.concat(F.lit(" They explained "), s(i % 50), F.lit("%, "), s(i % 30), F.lit(".5% and 7% of the variance."))).otherwise("")
+    text = F.concat(F.lit("We spoke with "), s(i % 90 + 1), F.lit(" experts, found "), s(i % 40 + 2), F.lit(" key factors"), tail, criterion, variance)
     p = table(spark, sf, "orders").select(F.col("o_custkey").alias("g"), i.alias("page"), F.lit("body").alias("parent_role"), text.alias("text"))
-    return E.extract_relations(p, ["g"]).select("g", "people", "factors", F.round("kappa", 4).alias("kappa"))
+    r = E.extract_relations(p, ["g"])
+    return r.select("g", "people", "factors", F.round("kappa", 4).alias("kappa"), "criterion", "weight", F.array_join("variance", ",").alias("variance"))

@@ -139,12 +139,15 @@ def throttle_stream(spark, sf):
     return J.results(spark, path)
 
 
-@query("x5_dedupe_events", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
+@query(
+    "x5_dedupe_events",
+    "WITH d AS (SELECT event_id, event_type, unnest(range(1 + event_id % 3)) AS copy FROM events) SELECT event_type, count(DISTINCT event_id) AS n, CAST(sum(DISTINCT event_id) AS BIGINT) AS ids FROM d GROUP BY event_type",
+)
 def dedupe_events(spark, sf):
-    """Every event is delivered twice."""
+    """Events are delivered once, twice or three times."""
     path = fresh_path(spark, "dedupe")
-    twice = J.table_stream(spark, sf, "events").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    J.drain_append(J.dedupe_events(twice, ["event_id"], "ts").drop("copy"), path)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("event_id") % 3))
+    J.drain_append(J.dedupe_events(J.table_stream(spark, sf, "events").withColumn("copy", copies), ["event_id"], "ts").drop("copy"), path)
     return J.results(spark, path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 

@@ -632,7 +632,20 @@ def candidates(spark, sf):
     return views.docs(spark, sf).select(F.col("lang").alias("stratum"), F.col("doc_id").cast("string").alias("query_id"), name.alias("filename"))
 
 
-@query("q3_diverse_sample")
+@query(
+    "q3_diverse_sample",
+    S.ctes(
+        "cand AS (SELECT lang AS stratum, CAST(doc_id AS VARCHAR) AS query_id, CASE WHEN doc_id % 10 = 0 THEN 'fixture-' || source ELSE source END AS filename, doc_id % 10 = 0 AS fx, sha256('17:' || doc_id) AS h FROM documents)",
+        f"due AS (SELECT [{', '.join(S.q(name) for name, quota in QUOTAS.items() for _ in range(quota))}] AS names)",
+        "pick AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS seen, 0 AS fixtures UNION ALL "
+        "SELECT n + 1, list_append(taken, best.query_id), list_append(seen, best.filename), fixtures + best.fx::INT FROM (SELECT n, taken, seen, fixtures, "
+        "arg_min(struct_pack(query_id := c.query_id, filename := c.filename, fx := c.fx), struct_pack(s := list_contains(seen, c.filename), f := c.fx, h := c.h)) AS best "
+        "FROM pick, due, cand c WHERE c.stratum = names[n + 1] AND NOT list_contains(taken, c.query_id) AND (NOT c.fx OR fixtures < 2) GROUP BY n, taken, seen, fixtures))",
+        "done AS (SELECT taken FROM pick ORDER BY n DESC LIMIT 1)",
+        "chosen AS (SELECT unnest(taken) AS query_id, unnest(range(1, len(taken) + 1)) AS pick FROM done)",
+    )
+    + "SELECT stratum, query_id, filename, CAST(pick AS INT) AS pick FROM chosen JOIN cand USING (query_id)",
+)
 def diverse_sample(spark, sf):
     return Q.diverse_sample(candidates(spark, sf), QUOTAS, 17)
 
