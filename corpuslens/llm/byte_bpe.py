@@ -19,6 +19,8 @@ MEMORY_PIECES, MEMORY_PAIRS = 400_000, 600_000
 #: Pieces of a text that are held at once.
 BLOCK_PIECES = 200_000
 LONG_TEXT = 1_000_000
+#: Ids whose bytes are gathered at once.
+DECODED_IDS = 500_000
 
 
 class ByteBpe:
@@ -43,6 +45,10 @@ class ByteBpe:
             self.matcher.add_word(token.decode("latin-1"), (len(token), i))
         self.matcher.make_automaton()
         self.pattern = regex.compile(pattern)
+        self.widths = np.zeros(max(self.tokens) + 1, np.int64)
+        self.widths[list(self.width)] = list(self.width.values())
+        self.begins = np.cumsum(self.widths) - self.widths
+        self.table = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), np.uint8)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter_of: dict[int, int] = {}
         self.halves_of: dict[int, tuple[int, int] | None] = {}
@@ -151,6 +157,18 @@ class ByteBpe:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids in a row, and where each id's bytes end; every id copies its run out of one table."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.widths) and self.widths[ids].all()):
+            raise KeyError("an id is not in the vocabulary")
+        parts, ends = [np.zeros(0, np.uint8)], np.cumsum(self.widths[ids]) if len(ids) else np.zeros(0, np.int64)
+        for block in np.split(ids, range(DECODED_IDS, len(ids), DECODED_IDS)):
+            lengths = self.widths[block]
+            source = np.repeat(self.begins[block] - (np.cumsum(lengths) - lengths), lengths)
+            source += np.arange(len(source))
+            parts.append(self.table[source])
+        return np.concatenate(parts), ends
+
 
 class _Pieces(dict):
     """Pieces already encoded, in two halves: when the new one is full it becomes the old one, from which pieces that
@@ -189,10 +207,11 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     bpe = byte_bpe(path, pattern)
     for batch in batches:
         ids = batch.column(1)
-        at = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
-        flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
-        data = [bpe.decode(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(data, pa.binary())], names=["doc_id", "ids", "decoded"])
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        data, ends = bpe.bytes_of(ids.flatten().to_numpy(zero_copy_only=False))
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
