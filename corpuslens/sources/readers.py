@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,10 +67,19 @@ def read_goldset(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of lines that are not JSON objects. Gold-set files are small; each is read as one text."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    bad = F.try_parse_json(F.col("line")).isNull()
-    return lines.filter((F.trim("line") != "") & bad).select((F.col("i") + 1).alias("line_no"), "line")
+    """(line_no, line) of lines that are not JSON objects, blank ones aside.
+
+    Files are read line by line in splits. The lines of each split are counted, and the counts of a file's earlier
+    splits give each line its number, so no file has to fit a task.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = read.select(F.col("value").alias("line"), *place, F.monotonically_increasing_id().alias("at"))
+    held = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift")
+    bad = lines.filter((F.trim("line") != "") & F.try_parse_json(F.col("line")).isNull())
+    return bad.join(held.select("file", "start", shift), ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def write_chunks(chunks: DataFrame, path: str, owner: str = "source") -> None:
