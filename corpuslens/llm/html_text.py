@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,27 +53,54 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class _Open(NamedTuple):
+    """An open element: what a line in it has to know, so that no line walks up the tree."""
+
+    tag: str
+    number: int
+    side: bool  # outside the article
+    doubt: int  # number of the nearest element in doubt, 0: none
+    container: int  # number of the nearest container, itself included
+    list_: int  # number of the nearest list, itself included
+    listed: int  # number of the list of the nearest item, -1: an item without a list, 0: no item
+
+
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    container: int
+    declared: bool  # inside an article or main element
+    side: bool
+    listed: int
+    doubt: int
+
+
 class _Lines(HTMLParser):
-    """Parser events gathered into lines: the text between two block tags, with its tags, links and place in the tree."""
+    """Parser events gathered into lines: the text between two block tags, with its tags, links and place in the tree.
+
+    Elements are numbered as they open, so those inside an element have the numbers from its own to `last`.
+    """
 
     def __init__(self, words: bool = True) -> None:
         super().__init__(convert_charrefs=True)
         self.words, self.worded = words, False  # whether class and id count, and whether they have
-        self.open: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number, outside the article, numbers of those in doubt
+        self.open: list[_Open] = []
+        self.many: Counter[str] = Counter()  # open elements by tag
         self.numbers = self.links = self.articles = 0
         self.whole: set[int] = set()  # numbers of article and main elements
+        self.above: dict[int, int] = {}  # of containers
+        self.last: dict[int, int] = {}
+        self.doubts: dict[int, list[int]] = {}  # of elements in doubt: the next one above, first and last line
         self.text: list[str] = []
         self.linked, self.tags = 0, 0
-        self.found: list[tuple[str, int, int, tuple[int, ...], bool, int, tuple[int, ...]]] = []
+        self.found: list[_Line] = []
 
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            side = bool(self.open) and self.open[-1][2]
-            doubts = self.open[-1][3] if self.open else ()
-            items = [i for i, x in enumerate(self.open) if x[0] == "li"]
-            listed = max([n for tag, n, *_ in self.open[: items[-1]] if tag in ("ul", "ol", "menu")], default=-1) if items else 0
-            self.found.append((text, self.tags, min(self.linked, len(text)), tuple(n for tag, n, *_ in self.open if tag in CONTAINERS), side, listed, doubts))
+            at = self.open[-1] if self.open else _Open("", 0, False, 0, 0, 0, 0)
+            self.found.append(_Line(text, self.tags, min(self.linked, len(text)), at.container, self.articles > 0, at.side, at.listed, at.doubt))
             self.tags = 0
         self.text.clear()
         self.linked = 0
@@ -89,16 +118,23 @@ class _Lines(HTMLParser):
                 self._close(tag, stop={"ul", "ol", "dl", "table", "select"})
         if tag in VOID:
             return
-        side, doubts = self.open[-1][2:] if self.open else (False, ())
+        up = self.open[-1] if self.open else _Open("", 0, False, 0, 0, 0, 0)
         self.numbers += 1
-        mark = None if side else self._side(tag, attrs)
-        if mark is None and not side:
-            doubts = (*doubts, self.numbers)
-        self.open.append((tag, self.numbers, side or mark is True, doubts))
+        number, doubt, container = self.numbers, up.doubt, up.container
+        mark = None if up.side else self._side(tag, attrs)
+        if mark is None and not up.side:
+            self.doubts[number] = [doubt, len(self.found), -1]
+            doubt = number
+        if tag in CONTAINERS:
+            self.above[number] = container
+            container = number
+        list_ = number if tag in ("ul", "ol", "menu") else up.list_
+        self.open.append(_Open(tag, number, up.side or mark is True, doubt, container, list_, (up.list_ or -1) if tag == "li" else up.listed))
+        self.many[tag] += 1
         self.links += tag == "a"
         if tag in ("article", "main"):
             self.articles += 1
-            self.whole.add(self.numbers)
+            self.whole.add(number)
 
     def _side(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
         """Whether an element is not the article's; None if only a part of a name in class or id says so."""
@@ -138,22 +174,38 @@ class _Lines(HTMLParser):
         self._close(tag, stop=() if tag not in INLINE else {"article", "section", "div", "p", "li", "td", "body"})
 
     def _close(self, tag: str, stop) -> None:
+        if not self.many[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
+            name = self.open[i].tag
             if name == tag:
-                for closed, *_ in self.open[i:]:
-                    self.links -= closed == "a"
-                    self.articles -= closed in ("article", "main")
-                del self.open[i:]
+                self._end(i)
                 return
             if name in stop:
                 return
 
+    def _end(self, first: int) -> None:
+        """The elements from this place of the stack on are over."""
+        for x in self.open[first:]:
+            self.many[x.tag] -= 1
+            self.links -= x.tag == "a"
+            self.articles -= x.tag in ("article", "main")
+            if x.number in self.above:
+                self.last[x.number] = self.numbers
+            if x.number in self.doubts:
+                self.doubts[x.number][2] = len(self.found)
+        del self.open[first:]
+
     def handle_data(self, data: str) -> None:
         self.text.append(data)
         if self.links:
             self.linked += len(data.strip())
 
+    def finish(self) -> None:
+        self.close()
+        self.line()
+        self._end(0)
+
 
 def _smoothed(ratios: np.ndarray) -> np.ndarray:
     reach = math.ceil(2 * SIGMA)
@@ -162,10 +214,10 @@ def _smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
-def _content(lines: list[tuple], sides: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+def _content(lines: list[_Line], sides: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Characters outside links of each line, none at a side, and whether its smoothed ratio makes it content."""
-    plain = np.array([0 if side else len(x[0]) - x[2] for x, side in zip(lines, sides, strict=True)], float)
-    ratios = _smoothed(plain / np.maximum(1, [x[1] for x in lines]))
+    plain = np.array([0 if side else len(x.text) - x.linked for x, side in zip(lines, sides, strict=True)], float)
+    ratios = _smoothed(plain / np.maximum(1, [x.tags for x in lines]))
     return plain, (ratios >= ratios.std()) & (plain > 0)
 
 
@@ -185,46 +237,61 @@ def main_text(html: str | None) -> str:
     for words in (True, False):
         parser = _Lines(words)
         parser.feed(html)
-        parser.close()
-        parser.line()
-        text = _article(parser.found, parser.whole)
+        parser.finish()
+        text = _article(parser)
         if text or not parser.worded:
             break
     return text
 
 
-def _article(lines: list[tuple], whole: set[int]) -> str:
+def _set_aside(page: _Lines) -> list[bool]:
+    """Lines outside the article, by name or because an element in doubt around them has not more content than other text."""
+    lines, sides = page.found, [x.side for x in page.found]
+    if not page.doubts:
+        return sides
+    plain, content = _content(lines, sides)
+    worth = [0.0 if side else weight - len(x.text) / 2 for x, side, weight in zip(lines, sides, np.where(content, plain, 0.0).tolist(), strict=True)]
+    total = np.concatenate([[0.0], np.cumsum(worth)])
+    out: dict[int, bool] = {0: False}
+    for number, (up, first, last) in page.doubts.items():  # outer ones first
+        out[number] = out[up] or bool(total[last] <= total[first])
+    return [side or out[x.doubt] for x, side in zip(lines, sides, strict=True)]
+
+
+def _region(page: _Lines, held: list[int]) -> int | None:
+    """The smallest container around all containers held, or the article or main element around that."""
+    if not held or min(held) == 0:
+        return None
+    at, low, high = held[0], min(held), max(held)
+    while at and not (at <= low and high <= page.last[at]):
+        at = page.above[at]
+    up = at
+    while up and up not in page.whole:
+        up = page.above[up]
+    return up or at or None
+
+
+def _article(page: _Lines) -> str:
+    lines = page.found
     if not lines:
         return ""
-    sides = [x[4] for x in lines]
-    if any(x[6] for x in lines):
-        plain, content = _content(lines, sides)
-        dense: dict[int, float] = {}
-        for x, side, weight in zip(lines, sides, np.where(content, plain, 0.0).tolist(), strict=True):
-            if not side:
-                for number in x[6]:
-                    dense[number] = dense.get(number, 0.0) + weight - len(x[0]) / 2
-        sides = [side or any(dense[n] <= 0 for n in x[6]) for x, side in zip(lines, sides, strict=True)]
+    sides = _set_aside(page)
     plain, content = _content(lines, sides)
     weights = np.where(content, plain, 0.0) if content.any() else plain
-    declared = np.array([not whole.isdisjoint(x[3]) for x in lines])
+    declared = np.array([x.declared for x in lines])
     only_declared = weights[declared].sum() >= REGION_SHARE * weights.sum() and declared.any()
-    held = [lines[i][3] for i in np.flatnonzero((weights > 0) & (declared | (not only_declared)))]
-    common = []
-    for numbers in zip(*held, strict=False):
-        if len(set(numbers)) > 1:
-            break
-        common.append(numbers[0])
-    region = max([n for n in common if n in whole], default=common[-1] if common else None)
-    first = int(np.flatnonzero(weights > 0)[0]) if held else 0
-    mixed = {x[5] for x in lines if x[5] and x[2] < len(x[0]) - 1}
+    holding = np.flatnonzero((weights > 0) & (declared | (not only_declared)))
+    region = _region(page, [lines[i].container for i in holding])
+    first = int(np.flatnonzero(weights > 0)[0]) if len(holding) else 0
+    mixed = {x.listed for x in lines if x.listed and x.linked < len(x.text) - 1}
     kept = []
-    for i, (text, _, linked, path, _, listed, _) in enumerate(lines):
-        if sides[i] or (region is not None and region not in path) or (only_declared and not declared[i]):
+    for i, x in enumerate(lines):
+        inside = region is None or region <= x.container <= page.last[region]
+        if sides[i] or not inside or (only_declared and not declared[i]):
             continue
-        if listed and linked >= len(text) - 1 and not declared[i] and (listed in mixed or i < first):
+        if x.listed and x.linked >= len(x.text) - 1 and not declared[i] and (x.listed in mixed or i < first):
             continue
-        kept.append(text)
+        kept.append(x.text)
     return " ".join(kept)
 
 

@@ -222,3 +222,12 @@ def test_pipeline_on_odd_and_empty_documents(spark, sf, odd_docs, no_docs):
 )
 def test_the_whole_article_stays(page, text):
     assert html_text.main_text(page) == text
+
+
+def test_deeply_nested_pages_take_linear_time():
+    import time
+
+    page = "<div>" * 60_000 + "text " * 20 + "".join("<div>some words here, more of them</p></section>" for _ in range(20_000))
+    start = time.process_time()
+    text = html_text.main_text(page)
+    assert text.startswith("text text") and text.count("some words") == 20_000 and time.process_time() - start < 5
