@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import BATCH_ROWS, output, scan, stored, stored_map
 
 #: Bytes of the texts of a tile (one document may have more), and terms of a block of items (one item may have more).
-TILE_BYTES, BLOCK_TERMS = 4_000_000, 8192
+TILE_BYTES, BLOCK_TERMS = 2_000_000, 8192
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TILE = "tile long, n_docs long, n_terms long, doc_ids array<long>, lengths binary, terms array<string>, counts array<long>, docs binary, tfs binary"
@@ -50,7 +50,9 @@ def _tile(ids: pa.Array, texts: pa.Array, classes: np.ndarray, number: int) -> p
     edges = ends[1:-1][ends[1:-1] < len(data)]
     begins[edges] = inside[edges]
     starts = np.flatnonzero(begins)
-    token_ends = np.append(np.cumsum(inside)[starts] - 1, inside.sum()).astype(np.int64)
+    kept = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    token_ends = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
+    del kept
     tokens = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(token_ends), pa.py_buffer(data[inside]))
     coded = tokens.dictionary_encode()
     doc_of = np.searchsorted(ends, starts, side="right") - 1
@@ -215,7 +217,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, tile_bytes: in
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tiles = stored_map(texts, partial(_tiles, most=tile_bytes), TILE, BATCH_ROWS, "postings")
+    tiles = stored_map(texts, partial(_tiles, most=tile_bytes), TILE, BATCH_ROWS // 2, "postings")
     n_docs, n_terms = (x or 0 for x in tiles.agg(F.sum("n_docs"), F.sum("n_terms")).first())
     shared = stored(shared_sets(_weighted(items, tiles, n_docs)), "item-paths")
     n_blocks = -(-(shared.agg(F.sum(F.size("terms"))).first()[0] or 1) // block_terms)
