@@ -8,10 +8,10 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, dealt, output, scan, stored, stored_map
+from corpuslens.llm.common import arrow_map, dealt, output, scan, stored, stored_map, unused_name
 from corpuslens.llm.components import components, forest
 
 BITS = 64
@@ -349,13 +349,16 @@ def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
 
     A link is an exact Jaccard similarity of the sets of distinct shingles (by 64-bit hashes) of at least `similarity`;
     the number of rows has no part in it. Equal texts are near-duplicates, empty and null ones too. Of rows that share
-    a doc_id one stays; rows with a null doc_id stay all; all columns are kept; an empty table gives no rows.
+    a doc_id the one with the smallest text stays; rows with a null doc_id stay all; all columns are kept; an empty table gives no rows.
     """
     rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     found = components(similar_links(docs, size, similarity))
-    gone = found.where("node > component").select(F.col("node").alias("_gone_id"))
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti").where("doc_id is not null")
-    kept = kept.dropDuplicates(["doc_id"]) if ids < rows else kept
+    mark, place = unused_name("_gone_id", docs.columns), unused_name("_place", docs.columns)
+    gone = found.where("node > component").select(F.col("node").alias(mark))
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(mark), "left_anti").where("doc_id is not null")
+    if ids < rows:
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").cast("string").asc_nulls_first(), *[F.xxhash64(F.col(f"`{c}`").cast("string")) for c in docs.columns])
+        kept = kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return kept.union(docs.where("doc_id is null"))
 
 

@@ -174,3 +174,19 @@ def test_bitmaps_are_runs_and_the_plan_is_native(spark, no_docs):
     assert line_dedup.keep_bitmaps(no_docs).count() == 0 and line_dedup.without_shared_lines(no_docs).count() == 0
     plan = line_dedup.without_shared_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+
+
+# --- near-duplicates with odd columns
+
+
+def test_one_row_of_a_repeated_id_stays_and_names_may_clash(spark):
+    from corpuslens.llm import simhash
+
+    words = [" ".join(f"w{(i * 37 + j * j) % 991}" for j in range(40)) for i in range(6)]
+    rows = [(1, words[0], 1, "a"), (1, words[1], 1, "b"), (2, words[0], 1, "c"), (3, words[2], 1, "d"), (4, words[2] + " more", 1, "e"), (None, words[2], 1, "f"), (5, None, 1, "g"), (6, "", 1, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone_id int, _place string").repartition(3)
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    first = min(words[0], words[1])
+    assert got == {(1, first), (3, words[2]), (None, words[2]), (5, None)}
