@@ -224,7 +224,8 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, tile_bytes: in
     ordered = shared.repartitionByRange(n_blocks, "path").sortWithinPartitions("path", "item_id")
     blocks = stored_map(ordered, partial(_blocks, most=block_terms), BLOCK, BATCH_ROWS, "item-blocks")
     asks = blocks.withColumnRenamed("terms", "q_terms").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = tiles.withColumn("shard", F.pmod(F.xxhash64("tile"), F.lit(shards)).cast("int")).join(asks, "shard")
+    # Blocks are there once a shard, so a broadcast would grow with the number of shards.
+    pairs = tiles.withColumn("shard", F.pmod(F.xxhash64("tile"), F.lit(shards)).cast("int")).join(asks.hint("merge"), "shard")
     best = stored_map(pairs, partial(_scored, k=k, n_docs=n_docs, n_terms=max(n_terms, 1)), "item_id long, shard int, doc_id long, score long", 8, "tile-tops")
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     for keys in (["item_id", "shard"], ["item_id"]):

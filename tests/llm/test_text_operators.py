@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -59,9 +60,40 @@ def test_rules_on_odd_rows(odd_docs, no_docs):
     assert quality_rules.cascade(no_docs).count() == 0 and quality_rules.graded(no_docs).count() == 0
 
 
-def test_rule_order_is_rejections_per_cost(odd_docs):
-    order = [r.name for r in quality_rules.ordered_rules(odd_docs, quality_rules.BASE + quality_rules.FURTHER)]
-    assert sorted(order) == sorted(r.name for r in quality_rules.BASE + quality_rules.FURTHER)
+def test_rule_order_is_rejections_per_cost(odd_docs, monkeypatch):
+    """With a clock that gives each rule a known cost above the cost of reading."""
+    rules = quality_rules.BASE + quality_rules.FURTHER
+    rejected = {r.name: odd_docs.count() - quality_rules.cascade(odd_docs, [r]).count() for r in rules}
+    for costs in ([5.0, 2.0, 3.0, 4.0, 2.5, 6.0], [0.5, 9.0, 1.0, 1.0, 1.0, 0.1]):
+        ticks = iter([t for cost in (1.0, 1.0, *[1.0 + c for c in costs]) for t in (0.0, cost)])
+        monkeypatch.setattr(quality_rules, "time", SimpleNamespace(perf_counter=lambda ticks=ticks: next(ticks)))
+        cost = dict(zip(rejected, costs, strict=True))
+        order = [r.name for r in quality_rules.ordered_rules(odd_docs, rules)]
+        assert order == sorted(rejected, key=lambda name: (-rejected[name] / cost[name], name))
+    assert len(set(rejected.values())) > 2
+
+
+def test_classifier_is_a_plain_discriminant(spark):
+    """Scores against densities of class covariances that numpy takes from all rows at once."""
+    d = len(quality_model.STATISTICS)
+    rng = np.random.default_rng(5)
+    mixing = rng.normal(size=(2, d, d))
+    x = [rng.normal(size=(n, d)) @ mixing[k] + k for k, n in ((0, 70), (1, 25))]
+    rows = [(row.tolist(), k) for k in (0, 1) for row in x[k]]
+    model = quality_model.fit(spark.createDataFrame(rows, "x array<double>, label int").repartition(4))
+    n = np.array([70.0, 25.0])
+    covariances = [np.cov(part.T, bias=True) for part in x]
+    pooled = sum(m * c for m, c in zip(n, covariances, strict=True)) / n.sum()
+    logs = []
+    points = np.concatenate([x[0][:9], x[1][:9], rng.normal(size=(9, d))])
+    for k in (0, 1):
+        share = max(quality_model.POOLED_SHARE, d / (d + n[k]))
+        covariance = (1 - share) * covariances[k] + share * pooled + quality_model.RIDGE * np.trace(pooled) / d * np.eye(d)
+        away = points - x[k].mean(axis=0)
+        squares = (away * np.linalg.solve(covariance, away.T).T).sum(axis=1)
+        logs.append(np.log(n[k] / n.sum()) - 0.5 * np.linalg.slogdet(covariance)[1] - 0.5 * squares)
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    assert np.allclose(model.scores(points), want, rtol=1e-6, atol=1e-9)
 
 
 def test_classifier_on_held_out_rows(spark, odd_docs, no_docs):
