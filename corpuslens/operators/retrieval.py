@@ -36,12 +36,14 @@ def query_terms(queries: DataFrame, keep: Cols, pattern: str = T.TOKEN, dedupe:
     return counted.withColumn("qtf", F.lit(1).cast("long")) if dedupe else counted
 
 
-MAX_BROADCAST_TERMS = 2_000_000  # (query, term) rows that may be shipped to every task
+MAX_BROADCAST_TERMS = 2_000_000  # (query, term) rows that may be shipped to every task,
+MAX_BROADCAST_BYTES = 128 << 20  # and their size, 32 bytes a row beside the term
 
 
 def shippable(q: DataFrame) -> bool:
-    """Whether the (query, term) frame stays under the row bound; a small look at the queries only."""
-    return q.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    """Whether the (query, term) frame stays under the bounds of rows and bytes; a small look at the queries only."""
+    head = q.limit(MAX_BROADCAST_TERMS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + 32).alias("bytes")).first()
+    return head["n"] <= MAX_BROADCAST_TERMS and (head["bytes"] or 0) <= MAX_BROADCAST_BYTES
 
 
 def bm25_topk(

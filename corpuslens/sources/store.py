@@ -83,6 +83,24 @@ def upsert(rows: DataFrame, touched: DataFrame, path: str, keys: Cols, version:
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{path}/pointer")
 
 
+def forget(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete what only versions older than the newest `keep` read. Readers of those versions must have ended.
+
+    Which folders these are follows from the pointers. Folders go before pointers, so a run that ends half-way is
+    completed by the next.
+    """
+    old = versions(spark, path)[:-keep]
+    if not old:
+        return
+    pointers = _pointers(spark, path).filter("bucket >= 0").select("bucket", "written", "version")
+    read = pointers.filter(~F.col("version").isin(old)).select("bucket", "written")
+    idle = pointers.filter(F.col("version").isin(old)).select("bucket", "written").distinct().join(read, ["bucket", "written"], "left_anti").collect()
+    folders = [f"{path}/data/bucket={r['bucket']}/written={r['written']}" for r in idle] + [f"{path}/pointer/version={v}" for v in old]
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in folders:
+        files(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files(folder), True)
+
+
 # ---------------------------------------------------------------------------------------------------
 # several outputs of one run
 

@@ -142,6 +142,20 @@ def test_an_update_rewrites_touched_buckets_only(spark):
     assert rows() == [(1, 0, "back")]
 
 
+def test_old_versions_can_be_forgotten(spark):
+    path = fresh_path(spark, "store")
+    for version in range(4):
+        rows = spark.createDataFrame([(i, 0, f"{version}") for i in range(version, 12, version + 1)], CHUNKS)
+        S.upsert(rows, rows.select("doc_id"), path, ["doc_id"], version, buckets=8)
+    want = {v: sorted(tuple(r) for r in S.read_store(spark, path, CHUNKS, v).collect()) for v in (2, 3)}
+    stored = spark.read.parquet(f"{path}/data").inputFiles()
+    S.forget(spark, path, keep=2)
+    assert S.versions(spark, path) == [2, 3] and len(spark.read.parquet(f"{path}/data").inputFiles()) < len(stored)
+    assert {v: sorted(tuple(r) for r in S.read_store(spark, path, CHUNKS, v).collect()) for v in (2, 3)} == want
+    S.forget(spark, path, keep=2)
+    assert S.versions(spark, path) == [2, 3]
+
+
 def test_a_half_written_update_is_not_seen_and_can_be_repeated(spark):
     path = fresh_path(spark, "store")
     one, two = (spark.createDataFrame([(i, 0, t) for i in range(10)], CHUNKS) for t in ("one", "two"))
