@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import arrow_map, dealt, file_at, fresh_path, output, scan, stored
+from corpuslens.llm.common import BATCH_ROWS, arrow_map, dealt, file_at, fresh_path, output, scan, stored_map
 from corpuslens.llm.tokens import word_tokenizer
 
 MAGIC = b"REPAIR01"
@@ -52,8 +52,9 @@ def compress(tokens: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarr
         kind, half, bits = (np.uint32, 16, 32) if narrow else (np.uint64, 32, 64)
         mix, shift = kind(_MIX & (2**bits - 1) | 1), kind(bits - _SLOTS)
         symbols = symbols.astype(kind)
-        places = np.flatnonzero(~ends[:-1] if due is None else due[:-1] & ~ends[:-1])
-        pairs = symbols[places] << kind(half) | symbols[places + 1]
+        inside = ~ends[:-1] if due is None else due[:-1] & ~ends[:-1]
+        places = np.flatnonzero(inside)
+        pairs = (symbols[:-1] << kind(half) | symbols[1:])[inside] if due is None else symbols[places] << kind(half) | symbols[places + 1]
         ordered = np.sort(pairs)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.array([], int)
         uses = np.diff(np.append(starts, len(ordered)))
@@ -231,8 +232,8 @@ def write_token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     folder = fresh_path(docs.sparkSession, "token-files")
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    written = arrow_map(rows, partial(_write, folder=folder, tokenizer=tokenizer), "part int, number int, path string, n_docs long, n_tokens long")
-    listed = stored(written, "token-file-list")
+    # Words that texts of a batch share are looked up once in it, so batches are twice as long as elsewhere.
+    listed = stored_map(rows, partial(_write, folder=folder, tokenizer=tokenizer), "part int, number int, path string, n_docs long, n_tokens long", 2 * BATCH_ROWS, "token-file-list")
     # Files before in the same part, plus all earlier parts: one row a part in the second window.
     before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     parts = listed.groupBy("part").agg(F.sum("n_tokens").alias("of_part"))
