@@ -335,10 +335,11 @@ def previous_turn(turns: DataFrame) -> DataFrame:
 # section lookup
 
 
-def section_lookup(requests: DataFrame, chunks: DataFrame, cap: int = 14) -> DataFrame:
+def section_lookup(requests: DataFrame, chunks: DataFrame, cap: int = 14, pipe_rows: bool = True) -> DataFrame:
     """Chunks asked for by page, role, table/figure or heading terms, thinned evenly to the cap.
 
-    ``requests`` carries (query_id, doc_id, target_section, target_page). Chunks meet requests on doc_id.
+    ``requests`` carries (query_id, doc_id, target_section, target_page). Chunks meet requests on doc_id. A line between
+    pipes makes a chunk a table, unless ``pipe_rows`` is false: then only the words for a table do.
     """
     from corpuslens.operators.ordering import cap_evenly
 
@@ -355,7 +356,7 @@ def section_lookup(requests: DataFrame, chunks: DataFrame, cap: int = 14) -> Dat
     hit = (
         F.when(F.col("target_page").isNotNull(), F.coalesce("page", F.lit(0)) == F.col("target_page"))
         .when(named, role == t)
-        .when(t == "table", words("table", "جدول") | F.col("text").rlike(r"(?m)^\s*\|.+\|\s*$"))
+        .when(t == "table", words("table", "جدول") | (F.lit(pipe_rows) & F.col("text").rlike(r"(?m)^\s*\|.+\|\s*$")))
         .when(t == "figure", words("figure", "شکل"))
         .when(t != "", overlap > 0)
         .otherwise(False)
