@@ -213,11 +213,13 @@ def _nodes(prints: DataFrame, names: list[str], *further: Column) -> tuple[DataF
     return nodes, bridges.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
 
-#: Bands of minima of hashed shingles, and minima of a band: two sets of similarity 0.8 share no band in fewer than one
-#: of a million cases, whatever the number of rows.
-BANDS, BAND_ROWS = 50, 6
-#: Sets of so many shingles in all are hashed at once.
+#: Longs of a fingerprint of distinct shingles, bits of a segment, and bits in which near candidates may differ. Large sets
+#: of similarity 0.8 differ in 15 % of the bits, so some segment has at most one of them except in 3 of 100,000 cases.
+SET_WORDS, SEGMENT_BITS, SET_RADIUS = 8, 16, 128
+#: Sets of so many shingles in all are fingerprinted at once.
 BLOCK_VALUES = 1 << 16
+#: Fingerprints that one task should hold of a segment, pairs compared at once, and pairs of two keys that are many.
+GROUP_ROWS, BLOCK_PAIRS, MANY_PAIRS = 250_000, 1 << 18, 1 << 16
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -226,45 +228,177 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+def set_fingerprints(sets: list[np.ndarray], words: int = SET_WORDS) -> np.ndarray:
+    """SimHash of each set that is not empty, in `words` longs: bit by bit the majority of its hashes; a tie is 0."""
+    lengths = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    values = np.concatenate(sets)
+    prints = np.empty((len(sets), words), np.uint64)
+    for word in range(words):
+        hashes = values * _ODD + np.uint64(word)
+        hashes ^= hashes >> np.uint64(29)
+        hashes *= _ODD
+        hashes ^= hashes >> np.uint64(32)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        prints[:, word] = np.packbits(2 * ones > lengths[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return prints
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A key for each band of each set that is not empty."""
-    starts = np.cumsum([0, *map(len, sets)])[:-1]
-    values = np.concatenate(sets)
-    keys = np.zeros((BANDS, len(sets)), np.uint64)
-    for band in range(BANDS):
-        for row in range(BAND_ROWS):
-            salt = _mixed(np.array([band * BAND_ROWS + row + 1], np.uint64) * _ODD)
-            hashed = (values ^ salt) * _ODD
-            hashed ^= hashed >> np.uint64(32)
-            hashed *= np.uint64(0x94D049BB133111EB)
-            keys[band] = _mixed(keys[band] + np.minimum.reduceat(hashed, starts) + np.uint64(band))
-    return keys.T
-
-
-def _banded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _set_names() -> list[str]:
+    return [f"w{i}" for i in range(SET_WORDS)]
+
+
+def _set_printed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_intdigest
 
     for batch in batches:
         sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
         digests = np.array([[d >> 64, d & (1 << 64) - 1] for d in (xxh3_128_intdigest(s.tobytes()) for s in sets)], np.uint64).reshape(-1, 2).view(np.int64)
-        bands: list = [[]] * len(sets)
+        prints = np.zeros((len(sets), SET_WORDS), np.uint64)
         some, held = [], 0
         for i, s in enumerate(sets):
             if len(s):
                 some.append(i)
                 held += len(s)
             if some and (held >= BLOCK_VALUES or i == len(sets) - 1):
-                for j, keys in zip(some, band_keys([sets[j] for j in some]), strict=True):
-                    bands[j] = keys.view(np.int64)
+                prints[some] = set_fingerprints([sets[j] for j in some])
                 some, held = [], 0
-        columns = [pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "p0", "p1", "bands"])
+        columns = [np.ascontiguousarray(c) for c in (digests[:, 0], digests[:, 1], *prints.view(np.int64).T)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "p0", "p1", *_set_names()])
+
+
+def _places(high: int) -> Column:
+    """Array of (part, low, probe): for each segment where its key stands, and the parts in which it looks up a neighbour.
+
+    A part holds the keys of a segment that share `high` bits. Neighbours by a low bit stand in the same part; of two
+    that differ in a high bit the one with the bit looks up the other.
+    """
+    bits = SEGMENT_BITS - high
+    places = []
+    for number in range(SET_WORDS * 64 // SEGMENT_BITS):
+        word, low = divmod(number * SEGMENT_BITS, 64)
+        key = F.shiftrightunsigned(f"w{word}", low).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
+        part = F.shiftright(key, bits) + F.lit(number << high)
+        rest = key.bitwiseAND(F.lit((1 << bits) - 1)).alias("low")
+        places.append(F.struct(part.alias("part"), rest, F.lit(False).alias("probe")))
+        for bit in range(high):
+            asks = key.bitwiseAND(F.lit(1 << bits + bit)) != 0
+            places.append(F.when(asks, F.struct((part - F.lit(1 << bit)).alias("part"), rest, F.lit(True).alias("probe"))))
+    return F.array_compact(F.array(*places)) if high else F.array(*places)
+
+
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Components after links between places x and y; `root` names the smallest place of each."""
+    a, b = forest(root[x], root[y])
+    moved = np.arange(len(root))
+    moved[a] = b
+    return moved[root]
+
+
+def part_components(low: np.ndarray, probe: np.ndarray, prints: np.ndarray, bits: int, radius: int) -> np.ndarray:
+    """For each row of a part the first row of its component, over pairs whose keys differ in at most one bit and whose
+    fingerprints differ in at most `radius`. Rows are sorted by probe, then by low key; probes meet their own key only.
+
+    Where many rows meet many, rows already in one component are not compared, so a group of near copies costs little.
+    """
+    own = int(np.searchsorted(probe, True))
+    keys, root = low[:own], np.arange(len(low))
+    shown, first, held = np.unique(keys, return_index=True, return_counts=True)
+
+    def meet(rows: np.ndarray, start: np.ndarray, n: np.ndarray) -> None:
+        """Rows against the n rows from start each."""
+        nonlocal root
+        ends, step = np.cumsum(n), 0
+        while step < len(rows):
+            done = int(ends[step - 1]) if step else 0
+            stop = max(step + 1, int(np.searchsorted(ends, done + BLOCK_PAIRS, "right")))
+            c = n[step:stop]
+            x = np.repeat(rows[step:stop], c)
+            y = np.repeat(start[step:stop] - (np.cumsum(c) - c), c) + np.arange(len(x))
+            apart = np.flatnonzero(root[x] != root[y])
+            x, y = x[apart], y[apart]
+            near = _near(prints[x], prints[y], radius)
+            if near.any():
+                root = _joined(root, x[near], y[near])
+            step = stop
+
+    def meet_many(rows: np.ndarray, others: np.ndarray) -> None:
+        nonlocal root
+        for i in range(0, len(rows), 64):
+            block = rows[i : i + 64]
+            for j in range(0, len(others), TILE):
+                tile = others[j : j + TILE]
+                if root[block[0]] == root[block].max():
+                    tile = tile[root[tile] != root[block[0]]]
+                if len(tile):
+                    x, y = np.nonzero(_near(prints[block, None], prints[None, tile], radius))
+                    if len(x):
+                        root = _joined(root, block[x], tile[y])
+
+    def look_up(rows: np.ndarray, wanted: np.ndarray) -> None:
+        """Rows, in the order of the keys they want, against the own rows of those keys."""
+        at = np.minimum(np.searchsorted(shown, wanted), len(shown) - 1)
+        found = shown[at] == wanted
+        rows, at = rows[found], at[found]
+        asking = np.bincount(at, minlength=len(shown))
+        many = asking * held > MANY_PAIRS
+        for k in np.flatnonzero(many).tolist():
+            meet_many(rows[at == k], np.arange(first[k], first[k] + held[k]))
+        few = ~many[at]
+        meet(rows[few], first[at[few]], held[at[few]])
+
+    if own:
+        place = np.arange(own)
+        at = np.searchsorted(shown, keys)
+        many = held * held > MANY_PAIRS
+        for k in np.flatnonzero(many).tolist():
+            meet_many(place[first[k] : first[k] + held[k]], place[first[k] : first[k] + held[k]])
+        few = ~many[at]
+        meet(place[few], first[at[few]], place[few] - first[at[few]])
+        look_up(np.arange(own, len(low)), low[own:])
+        for bit in range(bits):
+            asks = place[keys >> bit & 1 == 1]
+            look_up(asks, keys[asks] - (1 << bit))
+    return root
+
+
+def _near_links(batches: Iterator[pa.RecordBatch], high: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows sorted by part, probe and low key: of each row to the first of its component in the part."""
+    kind = np.dtype([("part", "i4"), ("low", "i4"), ("probe", "?"), ("id", "i8"), ("print", "u8", (SET_WORDS,))])
+    held: list[np.ndarray] = []
+
+    def linked() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        root = part_components(rows["low"], rows["probe"], np.ascontiguousarray(rows["print"]), SEGMENT_BITS - high, radius)
+        rest = np.flatnonzero(rows["id"] != rows["id"][root])
+        return output({"a": (rows["id"][rest], pa.int64()), "b": (rows["id"][root[rest]], pa.int64())})
+
+    for batch in batches:
+        fresh = np.empty(batch.num_rows, kind)
+        for name, column in zip(kind.names[:4], batch.columns, strict=False):
+            fresh[name] = column.to_numpy(zero_copy_only=False)
+        for word in range(SET_WORDS):
+            fresh["print"][:, word] = batch.column(4 + word).to_numpy().view(np.uint64)
+        for piece in np.split(fresh, np.flatnonzero(np.diff(fresh["part"])) + 1):
+            if held and held[-1]["part"][-1] != piece["part"][0]:
+                yield linked()
+                held = []
+            held.append(piece)
+    if held:
+        yield linked()
+
+
+def near_fingerprints(nodes: DataFrame, radius: int = SET_RADIUS) -> DataFrame:
+    """Links (a, b) between rows (id, w0, w1, ...) that have a segment differing in at most one bit and lie within radius.
+
+    Multi-index hashing: a fingerprint stands in one part for each segment and meets the keys of the ball of one bit
+    around its own; all its bits decide. The number of rows sets how many parts there are, never what is compared.
+    """
+    high = max(2, (nodes.count() // GROUP_ROWS).bit_length())
+    rows = nodes.select("id", *_set_names(), F.explode(_places(high)).alias("k"))
+    rows = dealt(rows.select("k.part", "k.low", "k.probe", "id", *_set_names()), "part").sortWithinPartitions("part", "probe", "low")
+    return stored_map(rows, partial(_near_links, high=high, radius=radius), "a long, b long", BUCKET_ROWS, "near-links")
 
 
 def similar_components(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -328,16 +462,15 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -
 def similar_links(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links (a, b) between doc_ids that join what pairs of texts of at least this Jaccard similarity join.
 
-    Candidates are texts that share a band of minima, joined into components; inside each, the distinct shingles of
-    the texts themselves decide. Texts of the same shingles are one node. The links of a key are those to its smallest
-    id, so neither step makes pairs.
+    Candidates come from SimHash fingerprints of the distinct shingles by multi-index hashing and are joined into
+    components; inside each, the distinct shingles of the texts themselves decide. Texts of the same shingles are one
+    node. No pair is a row.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = stored(arrow_map(texts, partial(_banded, size=size), "doc_id long, p0 long, p1 long, bands array<long>"), "shingle-bands")
-    nodes, bridges = _nodes(prints, ["p0", "p1"], F.min("bands").alias("bands"))
-    keys = stored(nodes.select("id", F.explode("bands").alias("key")), "band-keys")
-    least = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
-    found = components(keys.join(least, "key").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    fields = ", ".join(["doc_id long, p0 long, p1 long", *[f"{w} long" for w in _set_names()]])
+    prints = stored(arrow_map(texts, partial(_set_printed, size=size), fields), "set-fingerprints")
+    nodes, bridges = _nodes(prints, ["p0", "p1"], *[F.min(w).alias(w) for w in _set_names()])
+    found = components(near_fingerprints(stored(nodes, "set-nodes")))
     chosen = texts.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "doc_id", "text")
     chosen = dealt(chosen, "component").sortWithinPartitions("component", "doc_id")
     same = prints.where("doc_id is not null").join(nodes.select("id", "p0", "p1"), ["p0", "p1"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

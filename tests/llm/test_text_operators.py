@@ -399,6 +399,39 @@ def test_near_duplicates_are_judged_exactly(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want
 
 
+@pytest.mark.parametrize("many", [1, 1 << 16])
+def test_parts_find_all_pairs_of_neighbouring_keys(monkeypatch, many):
+    monkeypatch.setattr(simhash, "MANY_PAIRS", many)
+    monkeypatch.setattr(simhash, "BLOCK_PAIRS", 50)
+    rng = np.random.default_rng(4)
+    low, probe = rng.integers(0, 16, 300), np.arange(300) >= 220
+    order = np.lexsort((low, probe))
+    low = low[order]
+    prints = rng.integers(0, 2**63, (40, 8), dtype=np.uint64)[rng.integers(0, 40, 300)]
+    prints[np.arange(300), rng.integers(0, 8, 300)] ^= np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64)
+    root = simhash.part_components(low, probe, prints, 4, 10)
+    want = np.arange(300)
+    a, b = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int) <= 10)
+    meet = ~(probe[a] & probe[b]) & (np.bitwise_count(low[a] ^ low[b]) <= np.where(probe[a] | probe[b], 0, 1))
+    for x, y in zip(a[meet], b[meet], strict=True):
+        want[want == max(want[x], want[y])] = min(want[x], want[y])
+    assert 40 < len(set(want.tolist())) < 300
+    assert root.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("rows", [10, 1])
+def test_near_duplicates_come_from_simhash_segments(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)  # more parts, the same links
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 2**63, 200, dtype=np.uint64) for _ in range(40)]
+    sets += [np.concatenate([s[20:], rng.integers(0, 2**63, 20, dtype=np.uint64)]) for s in sets]  # similarity 0.82
+    prints = simhash.set_fingerprints(sets).view(np.int64).tolist()
+    names = ", ".join(["id long", *[f"w{i} long" for i in range(8)]])
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate(prints)], names)
+    got = {(max(r), min(r)) for r in simhash.near_fingerprints(nodes).collect()}
+    assert got == {(40 + i, i) for i in range(40)}
+
+
 def test_added_tokens_are_the_default_calls(spark):
     library = Tokenizer.from_file(WORDS)
     rows = [(1, "plain text"), (2, "the end <|endoftext|> of it"), (3, None), (4, "<|ENDOFTEXT|> Twice"), (5, "<|startoftext|>A\n b<|endoftext|>"), (6, "last")]
