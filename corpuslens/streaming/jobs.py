@@ -89,9 +89,10 @@ def ingest_stream(stream: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     documents. Keys are deterministic, so re-delivery is harmless; a document that got shorter or is rejected leaves no
     chunks of its former self. Of the rows of one document in a batch the greatest text counts.
 
-    Cleaned text and profiles are written once per epoch and read back: both outputs start from the files
-    instead of repeating the work, and a lost executor costs no recomputation. Only buckets of the batch's documents
-    are rewritten, and chunks and status are committed together.
+    Cleaned text, profiles, blocks, chunks and units are written once per epoch and read back: all that needs them
+    starts from the files instead of repeating the work (the range join reads chunks three times and units twice), and
+    a lost executor costs no recomputation. Only buckets of the batch's documents are rewritten, and chunks and status
+    are committed together.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -109,7 +110,9 @@ def ingest_stream(stream: DataFrame, path: str, buckets: int = BUCKETS) -> None:
         )
         fit = profiles.filter(good).select("doc_id", "unit_strategy")
         blocks = write_table(C.split_blocks(spread(texts, "doc_id").join(fit, "doc_id", "left_semi")), f"{path}/blocks/epoch={epoch}")
-        chunks = C.assign_chunks_to_units(C.chunk_structured(blocks), C.build_units(blocks, fit))
+        cut = write_table(C.chunk_structured(blocks), f"{path}/cut/epoch={epoch}")
+        units = write_table(C.build_units(blocks, fit), f"{path}/units/epoch={epoch}")
+        chunks = C.assign_chunks_to_units(cut, units)
         write_table(chunks.limit(0), f"{path}/chunk_schema")
         touched = texts.select("doc_id")
         write_together({"chunks": chunks, "status": status}, touched, path, ["doc_id"], epoch, buckets)

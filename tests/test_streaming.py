@@ -183,3 +183,14 @@ def test_redelivered_documents_stand_in_the_index_once(spark, tmp_path):
     read = lambda df: sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
     assert read(chunks) == read(want) and chunks.count() > 0
     assert {r["doc_id"]: r["status"] for r in status.collect()}.keys() == {1, 3}
+
+
+def test_ingest_cuts_chunks_and_units_once(spark, tmp_path):
+    """The range join reads both several times, so they are tables by then."""
+    path, text = str(tmp_path), "# One\n\n" + "A sentence of the first part. " * 80
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{path}/source")
+    J.ingest_stream(spark.readStream.schema("doc_id long, text string").parquet(f"{path}/source"), path, buckets=2)
+    chunks, _ = J.ingested(spark, path)
+    cut, units = spark.read.parquet(f"{path}/cut"), spark.read.parquet(f"{path}/units")
+    assert units.count() > 0 and chunks.count() > 1
+    assert {r["text"] for r in chunks.collect()} == {r["text"] for r in cut.collect()}
