@@ -213,9 +213,10 @@ def _nodes(prints: DataFrame, names: list[str], *further: Column) -> tuple[DataF
     return nodes, bridges.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
 
-#: Longs of a fingerprint of distinct shingles, bits of a segment, and bits in which near candidates may differ. Large sets
-#: of similarity 0.8 differ in 15 % of the bits, so some segment has at most one of them except in 3 of 100,000 cases.
-SET_WORDS, SEGMENT_BITS, SET_RADIUS = 8, 16, 128
+#: Longs of a fingerprint of distinct shingles, bits of a segment, and bits in which near candidates may differ in the half
+#: that their segment is not in. Large sets of similarity 0.8 differ in 15 % of the bits, so some segment has at most one
+#: of them except in 3 of 100,000 cases.
+SET_WORDS, SEGMENT_BITS, SET_RADIUS = 8, 16, 72
 #: Sets of so many shingles in all are fingerprinted at once.
 BLOCK_VALUES = 1 << 16
 #: Fingerprints that one task should hold of a segment, pairs compared at once, and pairs of two keys that are many.
@@ -268,24 +269,25 @@ def _set_printed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "p0", "p1", *_set_names()])
 
 
-def _places(high: int) -> Column:
-    """Array of (part, low, probe): for each segment where its key stands, and the parts in which it looks up a neighbour.
+def _placed(nodes: DataFrame, high: int) -> DataFrame:
+    """part, low, id and the half of the fingerprint without the segment: two rows a segment, however many parts there are.
 
-    A part holds the keys of a segment that share `high` bits. Neighbours by a low bit stand in the same part; of two
-    that differ in a high bit the one with the bit looks up the other.
+    Keys that differ in at most one bit share their `high` highest or their `high` lowest bits. The even parts of a
+    segment hold the keys of the same highest bits, for neighbours by another bit; the odd parts hold those of the same
+    lowest bits, with the highest bits moved to the end of low, for neighbours by one of these.
     """
-    bits = SEGMENT_BITS - high
-    places = []
-    for number in range(SET_WORDS * 64 // SEGMENT_BITS):
-        word, low = divmod(number * SEGMENT_BITS, 64)
-        key = F.shiftrightunsigned(f"w{word}", low).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
-        part = F.shiftright(key, bits) + F.lit(number << high)
-        rest = key.bitwiseAND(F.lit((1 << bits) - 1)).alias("low")
-        places.append(F.struct(part.alias("part"), rest, F.lit(False).alias("probe")))
-        for bit in range(high):
-            asks = key.bitwiseAND(F.lit(1 << bits + bit)) != 0
-            places.append(F.when(asks, F.struct((part - F.lit(1 << bit)).alias("part"), rest, F.lit(True).alias("probe"))))
-    return F.array_compact(F.array(*places)) if high else F.array(*places)
+    bits, half, segments_each = SEGMENT_BITS - high, SET_WORDS // 2, 64 // SEGMENT_BITS
+    cuts = [divmod(n * SEGMENT_BITS, 64) for n in range(SET_WORDS * segments_each)]
+    keys = [F.shiftrightunsigned(f"w{word}", low).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int") for word, low in cuts]
+    late = F.col("segment") >= half * segments_each
+    others = [F.when(late, F.col(f"w{i}")).otherwise(F.col(f"w{half + i}")).alias(f"w{i}") for i in range(half)]
+    key, first = F.col("key"), F.col("segment") * (2 << high)
+    top, rest, end = F.shiftright(key, bits), key.bitwiseAND(F.lit((1 << bits) - 1)), key.bitwiseAND(F.lit((1 << high) - 1))
+    turned = F.shiftleft(F.shiftright(rest, high), high).bitwiseOR(top)
+    by_top = F.struct((first + top).alias("part"), rest.alias("low"))
+    by_end = F.struct((first + (1 << high) + end).alias("part"), turned.alias("low"))
+    rows = nodes.select("id", *_set_names(), F.posexplode(F.array(*keys)).alias("segment", "key"))
+    return rows.select("id", *others, F.explode(F.array(by_top, by_end)).alias("k")).select("k.part", "k.low", "id", *[f"w{i}" for i in range(half)])
 
 
 def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -364,22 +366,28 @@ def part_components(low: np.ndarray, probe: np.ndarray, prints: np.ndarray, bits
 
 
 def _near_links(batches: Iterator[pa.RecordBatch], high: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows sorted by part, probe and low key: of each row to the first of its component in the part."""
-    kind = np.dtype([("part", "i4"), ("low", "i4"), ("probe", "?"), ("id", "i8"), ("print", "u8", (SET_WORDS,))])
+    """Links of rows sorted by part and low key: of each row to the smallest id of its component in the part.
+
+    A group of near copies meets in many parts; its smallest id is the same in most, so many of its links are equal.
+    """
+    kind = np.dtype([("part", "i4"), ("low", "i4"), ("id", "i8"), ("print", "u8", (SET_WORDS // 2,))])
     held: list[np.ndarray] = []
 
     def linked() -> pa.RecordBatch:
         rows = np.concatenate(held)
-        root = part_components(rows["low"], rows["probe"], np.ascontiguousarray(rows["print"]), SEGMENT_BITS - high, radius)
-        rest = np.flatnonzero(rows["id"] != rows["id"][root])
-        return output({"a": (rows["id"][rest], pa.int64()), "b": (rows["id"][root[rest]], pa.int64())})
+        bits = high if rows["part"][0] >> high & 1 else SEGMENT_BITS - high
+        root = part_components(rows["low"], np.zeros(len(rows), bool), np.ascontiguousarray(rows["print"]), bits, radius)
+        least = rows["id"].copy()
+        np.minimum.at(least, root, rows["id"])
+        rest = np.flatnonzero(rows["id"] != least[root])
+        return output({"a": (rows["id"][rest], pa.int64()), "b": (least[root[rest]], pa.int64())})
 
     for batch in batches:
         fresh = np.empty(batch.num_rows, kind)
-        for name, column in zip(kind.names[:4], batch.columns, strict=False):
+        for name, column in zip(kind.names[:3], batch.columns, strict=False):
             fresh[name] = column.to_numpy(zero_copy_only=False)
-        for word in range(SET_WORDS):
-            fresh["print"][:, word] = batch.column(4 + word).to_numpy().view(np.uint64)
+        for word in range(SET_WORDS // 2):
+            fresh["print"][:, word] = batch.column(3 + word).to_numpy().view(np.uint64)
         for piece in np.split(fresh, np.flatnonzero(np.diff(fresh["part"])) + 1):
             if held and held[-1]["part"][-1] != piece["part"][0]:
                 yield linked()
@@ -389,16 +397,39 @@ def _near_links(batches: Iterator[pa.RecordBatch], high: int, radius: int) -> It
         yield linked()
 
 
+#: Links of which a forest is made at once.
+FOREST_LINKS = 1 << 20
+
+
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forests of the links, many at a time: those of a row, at most one from each of its places, are in one task."""
+    held: list[pa.RecordBatch] = []
+
+    def reduced() -> pa.RecordBatch:
+        a, b = forest(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+        return output({"a": (a, pa.int64()), "b": (b, pa.int64())})
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= FOREST_LINKS:
+            yield reduced()
+            held = []
+    if held:
+        yield reduced()
+
+
 def near_fingerprints(nodes: DataFrame, radius: int = SET_RADIUS) -> DataFrame:
-    """Links (a, b) between rows (id, w0, w1, ...) that have a segment differing in at most one bit and lie within radius.
+    """Links (a, b) that join the rows (id, w0, w1, ...) of which a segment differs in at most one bit and the half of the
+    fingerprint without that segment in at most `radius`.
 
-    Multi-index hashing: a fingerprint stands in one part for each segment and meets the keys of the ball of one bit
-    around its own; all its bits decide. The number of rows sets how many parts there are, never what is compared.
+    Multi-index hashing: a fingerprint stands in two parts for each segment and meets the keys of the ball of one bit
+    around its own; the other half's bits decide, and no more than these are sent. The number of rows sets how many
+    parts there are, never what is compared nor how many rows a fingerprint becomes.
     """
-    high = max(2, (nodes.count() // GROUP_ROWS).bit_length())
-    rows = nodes.select("id", *_set_names(), F.explode(_places(high)).alias("k"))
-    rows = dealt(rows.select("k.part", "k.low", "k.probe", "id", *_set_names()), "part").sortWithinPartitions("part", "probe", "low")
-    return stored_map(rows, partial(_near_links, high=high, radius=radius), "a long, b long", BUCKET_ROWS, "near-links")
+    high = min(SEGMENT_BITS // 2, max(2, (nodes.count() // GROUP_ROWS).bit_length()))
+    rows = dealt(_placed(nodes, high), "part").sortWithinPartitions("part", "low")
+    links = stored_map(rows, partial(_near_links, high=high, radius=radius), "a long, b long", BUCKET_ROWS, "near-links")
+    return stored_map(dealt(links, "a"), _fewer, "a long, b long", BUCKET_ROWS, "near-forests")
 
 
 def similar_components(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -459,6 +490,33 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -
         yield linked()
 
 
+#: Bits for each id in the bitmap of a set of ids, and the most that there are; a longer set makes the bitmap less selective.
+ID_BITS, MOST_BITS = 32, 1 << 27
+
+
+def may_be_among(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs with a boolean `name`: false only where the doc_id is not among the ids (one column, of longs).
+
+    A bitmap of the ids' hashes, of bounded size, goes to every task, so that rows whose bit is not set need no exchange.
+    """
+    size = min(MOST_BITS, max(1 << 15, ids.count() * ID_BITS))
+
+    def slot(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column.cast("long")), F.lit(size))
+
+    def byte(column: Column) -> Column:
+        return F.conv(F.hex(column), 16, 10).cast("int")
+
+    place, block, bits = (unused_name(c, docs.columns) for c in ("_slot", "_block", "_bits"))
+    slots = ids.select(slot(F.col(ids.columns[0])).alias("s"))
+    bitmap = slots.groupBy(F.shiftright("s", 15).alias(block)).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(32767))).alias(bits))
+    rows = docs.withColumn(place, slot(F.col("doc_id"))).join(F.broadcast(bitmap), F.shiftright(place, 15) == F.col(block), "left")
+    at = F.col(place).bitwiseAND(F.lit(32767)).cast("int")
+    held = byte(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1)))
+    is_set = F.coalesce(F.getbit(held, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], is_set.alias(name))
+
+
 def similar_links(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links (a, b) between doc_ids that join what pairs of texts of at least this Jaccard similarity join.
 
@@ -471,7 +529,8 @@ def similar_links(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     prints = stored(arrow_map(texts, partial(_set_printed, size=size), fields), "set-fingerprints")
     nodes, bridges = _nodes(prints, ["p0", "p1"], *[F.min(w).alias(w) for w in _set_names()])
     found = components(near_fingerprints(stored(nodes, "set-nodes")))
-    chosen = texts.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "doc_id", "text")
+    likely = may_be_among(texts, found.select("node"), "_likely").where("_likely")
+    chosen = likely.join(found.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "doc_id", "text")
     chosen = dealt(chosen, "component").sortWithinPartitions("component", "doc_id")
     same = prints.where("doc_id is not null").join(nodes.select("id", "p0", "p1"), ["p0", "p1"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     return arrow_map(chosen, partial(_verified, size=size, similarity=similarity), "a long, b long").union(bridges).union(same)
@@ -486,9 +545,11 @@ def one_of_each_group(docs: DataFrame, size: int = 5, similarity: float = 0.8) -
     """
     rows, ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     found = components(similar_links(docs, size, similarity))
-    mark, place = unused_name("_gone_id", docs.columns), unused_name("_place", docs.columns)
+    mark, place, likely = (unused_name(c, docs.columns) for c in ("_gone_id", "_place", "_likely"))
     gone = found.where("node > component").select(F.col("node").alias(mark))
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(mark), "left_anti").where("doc_id is not null")
+    told = may_be_among(docs.where("doc_id is not null"), gone, likely)
+    judged = told.where(F.col(likely)).join(gone, F.col("doc_id").cast("long") == F.col(mark), "left_anti")
+    kept = told.where(~F.col(likely)).union(judged).drop(likely)
     if ids < rows:
         first = Window.partitionBy("doc_id").orderBy(F.col("text").cast("string").asc_nulls_first(), *[F.xxhash64(F.col(f"`{c}`").cast("string")) for c in docs.columns])
         kept = kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)

@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from corpuslens.llm import byte_bpe, packing, queries, quality_model, quality_rules, simhash, substrings, token_files
+from corpuslens.llm import byte_bpe, components, packing, queries, quality_model, quality_rules, simhash, substrings, token_files
 from corpuslens.llm.tokens import WordTokenizer
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -432,6 +432,48 @@ def test_near_duplicates_come_from_simhash_segments(spark, monkeypatch, rows):
     assert got == {(40 + i, i) for i in range(40)}
 
 
+@pytest.mark.parametrize("rows", [100, 400])
+def test_a_group_of_near_copies_keeps_few_links(spark, rows):
+    rng = np.random.default_rng(6)
+    prints = np.repeat(rng.integers(0, 2**63, (1, 8), dtype=np.uint64), rows, axis=0)
+    for _ in range(12):
+        prints[np.arange(rows), rng.integers(0, 8, rows)] ^= np.uint64(1) << rng.integers(0, 64, rows).astype(np.uint64)
+    names = ", ".join(["id long", *[f"w{i} long" for i in range(8)]])
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate(prints.view(np.int64).tolist())], names)
+    links = simhash.near_fingerprints(nodes).distinct()
+    assert links.count() <= 4 * rows
+    found = components.components(links).collect()
+    assert len(found) == rows and {r["component"] for r in found} == {0}
+
+
+@pytest.mark.parametrize("high", [2, 5, 8])
+def test_places_of_a_fingerprint_do_not_grow_with_the_parts(spark, high):
+    rng = random.Random(7)
+    key = rng.randrange(2**16)
+    keys = [key] + [key ^ 1 << i for i in range(16)] + [key ^ 3, key ^ 1 << 15 ^ 1]
+    names = ", ".join(["id long", *[f"w{i} long" for i in range(8)]])
+    nodes = spark.createDataFrame([(i, *[k] * 8) for i, k in enumerate(keys)], names)
+    places = simhash._placed(nodes, high).collect()
+    assert len(places) == 64 * len(keys)
+    met = collections.defaultdict(set)  # for each segment what meets the first key, in parts where only some bits may differ
+    for r in places:
+        met[r["part"]].add((r["low"], r["id"]))
+    near = set()
+    for part, members in met.items():
+        bits = high if part >> high & 1 else 16 - high
+        for low in (low for low, i in members if i == 0):
+            near |= {i for other, i in members if other == low or (low ^ other).bit_count() == 1 and low ^ other < 1 << bits}
+    assert near >= set(range(17))
+
+
+def test_only_rows_that_may_be_among_the_ids_are_sent(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'x' AS text").union(spark.sql("SELECT CAST(NULL AS LONG), 'y'"))
+    told = simhash.may_be_among(docs, spark.range(0, 5000, 10), "_likely").collect()
+    assert len(told) == 5001 and all(r["_likely"] for r in told if r["doc_id"] is not None and r["doc_id"] % 10 == 0)
+    assert sum(r["_likely"] for r in told) < 800
+    assert not any(r["_likely"] for r in simhash.may_be_among(docs, spark.range(0), "_likely").collect())
+
+
 def test_added_tokens_are_the_default_calls(spark):
     library = Tokenizer.from_file(WORDS)
     rows = [(1, "plain text"), (2, "the end <|endoftext|> of it"), (3, None), (4, "<|ENDOFTEXT|> Twice"), (5, "<|startoftext|>A\n b<|endoftext|>"), (6, "last")]
