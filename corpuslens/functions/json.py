@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -17,20 +18,28 @@ FENCE = r"(?i)^```(?:json)?\s*|\s*```$"
 NUMERIC = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once a row, however often the expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # ---------------------------------------------------------------------------------------------------
 # objects in answers
 
 
-def _pieces(text: Column) -> tuple[Column, Column]:
-    """The text with escaped characters masked (same length), cut into strings, brackets and what lies between."""
-    masked = F.regexp_replace(text, r"(?s)\\.", "__")
-    return masked, F.regexp_extract_all(masked, F.lit(r'"[^"]*"?|[{}\[\]]|[^"{}\[\]]+'), F.lit(0))
+def _masked(text: Column) -> Column:
+    """The text with escaped characters masked (same length)."""
+    return F.when(text.contains("\\"), F.regexp_replace(text, r"(?s)\\.", "__")).otherwise(text)
+
+
+def _pieces(masked: Column) -> Column:
+    """Strings, brackets and what lies between."""
+    return F.regexp_extract_all(masked, F.lit(r'"[^"]*"?|[{}\[\]]|[^"{}\[\]]+'), F.lit(0))
 
 
-def _scan(text: Column) -> Column:
+def _scan(pieces: Column) -> Column:
     """One pass over the pieces: still open brackets (the innermost closer first), where the first value ends, an open
     string, a closer that does not fit."""
-    _, pieces = _pieces(text)
     start = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(False).alias("cut"), F.lit(False).alias("bad"))
 
     def step(s: Column, p: Column) -> Column:
@@ -53,10 +62,12 @@ def _value(text: Column, may_be_cut: bool) -> Column:
 
     What follows a finished value is ignored. Brackets that are missing at the end are added; a string is never closed.
     """
-    s = _scan(text)
-    cut = F.concat(text, s["open"]) if may_be_cut else F.lit(None).cast("string")
-    whole = F.when(s["bad"], F.lit(None).cast("string")).when(s["end"] > 0, F.substring(text, F.lit(1), s["end"])).when(~s["cut"] & (s["open"] != ""), cut)
-    return F.try_parse_json(whole)
+
+    def whole(s: Column) -> Column:
+        cut = F.concat(text, s["open"]) if may_be_cut else F.lit(None).cast("string")
+        return F.when(s["bad"], F.lit(None).cast("string")).when(s["end"] > 0, F.substring(text, F.lit(1), s["end"])).when(~s["cut"] & (s["open"] != ""), cut)
+
+    return F.try_parse_json(let(_scan(_pieces(_masked(text))), whole))
 
 
 def object_of(raw: Column) -> Column:
@@ -65,13 +76,17 @@ def object_of(raw: Column) -> Column:
     Null when the answer begins with another whole JSON value, when a string or a value is cut, or when brackets do not
     fit. Text after a whole object is ignored.
     """
-    body = T.strip(F.regexp_replace(T.strip(T.text_or_empty(raw)), FENCE, ""))
-    masked, _ = _pieces(body)
-    other = masked.rlike(r'^(-?\d|true|false|null|"[^"]*")') | (body.startswith("[") & _value(body, False).isNotNull())
-    start = F.instr(body, "{")
-    candidate = F.substring(body, start, F.length(body))
-    found = _value(candidate, True)
-    return F.when(~other & (start > 0) & F.coalesce(F.schema_of_variant(found), F.lit("")).startswith("OBJECT"), found)
+
+    def of_body(body: Column) -> Column:
+        # Both patterns ask for the beginning alone; a string may be as long as the text.
+        plain = F.when(body.startswith('"'), _masked(body).rlike(r'^"[^"]*"')).otherwise(F.left(body, F.lit(5)).rlike(r"^(-?\d|true|false|null)"))
+        other = plain | (body.startswith("[") & _value(body, False).isNotNull())
+        start = F.instr(body, "{")
+        found = let(F.substring(body, start, F.length(body)), lambda candidate: _value(candidate, True))
+        return F.when(~other & (start > 0), let(found, lambda v: F.when(F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT"), v)))
+
+    stripped = T.strip(T.text_or_empty(raw))
+    return let(let(stripped, lambda t: F.when(t.contains("```"), T.strip(F.regexp_replace(t, FENCE, ""))).otherwise(t)), of_body)
 
 
 # ---------------------------------------------------------------------------------------------------
