@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import partial
 
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import vector as V
 from corpuslens.operators.ordering import topk_scored
-from corpuslens.operators.retrieval import _as_matrix, _local_top, _unit, dense_topk
+from corpuslens.operators.retrieval import PAIRS, dense_topk, nearest_of_blocks
 from corpuslens.session import fresh_path
 from corpuslens.sources.readers import write_table
 
@@ -23,7 +21,6 @@ SAMPLE_ROWS = 100_000
 MAX_CELLS = 4096
 #: Vectors of a list, and queries of a cell, that meet in one task; larger ones are cut into slices.
 LIST_ROWS, ASK_ROWS = 20_000, 2048
-PAIRS = "query_id long, vec_id long, score double"
 
 
 def _comparable(df: DataFrame, dim: int) -> DataFrame:
@@ -60,16 +57,6 @@ def indexed_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/cells").agg(F.sum("n_rows").alias("n_vectors"), F.count(F.lit(1)).alias("n_cells"))
 
 
-def _meet(asks: pa.Table, found: pa.Table, k: int, skip_self: bool) -> pa.Table:
-    """Exact top k of the queries that probe a list, inside one slice of it."""
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    if not asks.num_rows or not found.num_rows:
-        return empty
-    q = _unit(_as_matrix(asks["embedding"].combine_chunks()))
-    parts = [_local_top(asks["query_id"].to_numpy(), q, b["vec_id"].to_numpy(), _as_matrix(b["embedding"]), k, skip_self) for b in found.combine_chunks().to_batches(max_chunksize=10_000)]
-    return pa.Table.from_batches(parts)
-
-
 def probes_for(spark: SparkSession, path: str, k: int, recall: float, sample_rows: int = 256) -> int:
     """Cells to probe so that stored vectors find `recall` of their k nearest others, measured on a sample chosen by id.
 
@@ -114,7 +101,8 @@ def search_vector_index(spark: SparkSession, path: str, queries: DataFrame, k: i
     lists = spark.read.parquet(f"{path}/lists").filter(F.col("cell").isin(wanted)).join(F.broadcast(plan), "cell")
     lists = lists.select("cell", "vec_id", "embedding", number("list_slices", "vec_id").alias("ls"), each("ask_slices").alias("qs"))
     blocks = probed.join(asks, "query_id").join(F.broadcast(plan), "cell")
-    blocks = blocks.select("cell", "query_id", "embedding", number("ask_slices", "query_id").alias("qs"), each("list_slices").alias("ls"))
+    blocks = blocks.select("cell", "query_id", F.col("embedding").alias("asked"), number("ask_slices", "query_id").alias("qs"), each("list_slices").alias("ls"))
     keys = ["cell", "ls", "qs"]
-    local = blocks.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(partial(_meet, k=k, skip_self=skip_self), PAIRS)
+    pairs = lambda asked, found: nearest_of_blocks(asked, found, k, skip_self)
+    local = blocks.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(pairs, PAIRS)
     return topk_scored(local, ["query_id"], "score", ["vec_id"], k)
