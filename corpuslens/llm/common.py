@@ -14,6 +14,9 @@ from corpuslens.session import fresh_path
 
 #: Rows that Spark hands to Python at once; texts can be long, so few rows.
 BATCH_ROWS = 1000
+#: For tables whose rows are megabytes. A row group is held whole by the task that writes it and by each that reads it,
+#: and its size is looked at after a hundred rows at first, however large they are.
+WIDE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,20 +35,20 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def stored_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int, label: str) -> DataFrame:
+def stored_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """The stored result of mapInArrow over batches of another size."""
     batch_rows(df.sparkSession, rows)
     try:
-        return stored(df.mapInArrow(fn, schema), label)
+        return stored(df.mapInArrow(fn, schema), label, options=options)
     finally:
         batch_rows(df.sparkSession, BATCH_ROWS)
 
 
-def stored(df: DataFrame, label: str, *partition_by: str, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, *partition_by: str, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """The rows after a round trip through a table in the shared folder, which cuts the lineage."""
     spark = df.sparkSession
     path = path or fresh_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**(options or {})).partitionBy(*partition_by).parquet(path)
     schema = df.schema
     del df
     gc.collect()  # frames that are no longer referenced let Spark delete their shuffle files

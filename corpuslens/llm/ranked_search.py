@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import BATCH_ROWS, output, scan, stored, stored_map
+from corpuslens.llm.common import BATCH_ROWS, WIDE_ROWS, output, scan, stored, stored_map
 
 #: Bytes of the texts of a tile (one document may have more), and terms of a block of items (one item may have more).
 TILE_BYTES, BLOCK_TERMS = 2_000_000, 8192
@@ -217,16 +217,16 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, tile_bytes: in
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tiles = stored_map(texts, partial(_tiles, most=tile_bytes), TILE, BATCH_ROWS // 2, "postings")
+    tiles = stored_map(texts, partial(_tiles, most=tile_bytes), TILE, BATCH_ROWS // 2, "postings", WIDE_ROWS)
     n_docs, n_terms = (x or 0 for x in tiles.agg(F.sum("n_docs"), F.sum("n_terms")).first())
     shared = stored(shared_sets(_weighted(items, tiles, n_docs)), "item-paths")
     n_blocks = -(-(shared.agg(F.sum(F.size("terms"))).first()[0] or 1) // block_terms)
     ordered = shared.repartitionByRange(n_blocks, "path").sortWithinPartitions("path", "item_id")
-    blocks = stored_map(ordered, partial(_blocks, most=block_terms), BLOCK, BATCH_ROWS, "item-blocks")
+    blocks = stored_map(ordered, partial(_blocks, most=block_terms), BLOCK, BATCH_ROWS, "item-blocks", WIDE_ROWS)
     asks = blocks.withColumnRenamed("terms", "q_terms").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     # Blocks are there once a shard, so a broadcast would grow with the number of shards.
     pairs = tiles.withColumn("shard", F.pmod(F.xxhash64("tile"), F.lit(shards)).cast("int")).join(asks.hint("merge"), "shard")
-    best = stored_map(pairs, partial(_scored, k=k, n_docs=n_docs, n_terms=max(n_terms, 1)), "item_id long, shard int, doc_id long, score long", 8, "tile-tops")
+    best = stored_map(pairs, partial(_scored, k=k, n_docs=n_docs, n_terms=max(n_terms, 1)), "item_id long, shard int, doc_id long, score long", 1, "tile-tops")
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     for keys in (["item_id", "shard"], ["item_id"]):
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
